@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, quality, sharding, token_counts, transducer
+from . import chat, decontam, langid, quality, sharding, token_counts, toxicity, transducer
 from .common import table
 
 #: The tokenizer that queries use; a parameter of the operators.
@@ -48,13 +48,19 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), langid.fold("doc_id", 5)
+    out = toxicity.score(docs, table(spark, sf_dir, "labels"), counting=fold.isin(1, 2, 3), fitting=fold == 4)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
