@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, quality, sharding, token_counts, toxicity, transducer
+from . import bagminhash, chat, decontam, langid, quality, sharding, token_counts, toxicity, transducer
 from .common import table
 
 #: The tokenizer that queries use; a parameter of the operators.
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
@@ -60,7 +64,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_near_duplicates, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
