@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, decontam, langid, quality, sharding, token_counts, toxicity, transducer
+from . import bagminhash, chat, decontam, langid, linededup, quality, sharding, token_counts, toxicity, transducer
 from .common import table
 
 #: The tokenizer that queries use; a parameter of the operators.
@@ -63,8 +63,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_near_duplicates, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_near_duplicates, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
