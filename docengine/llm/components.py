@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import Shelf
 
+#: Nodes of a block; a pair of blocks is handled by one task at once.
+BLOCK = 256
+
 
 def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least node of its component.
@@ -38,42 +41,58 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the nodes whose similarity, found by ``verify``, reaches ``threshold`` within some bucket.
 
     ``members`` is (bucket, node), buckets of at least two nodes. ``verify`` takes pairs (a, b) and returns (a, b, sim); 1 - sim
-    must be a metric. Pairs within a bucket are not listed. In the first round each bucket's least node is compared with the
-    others. Then only buckets count whose remaining nodes are still in different components: 4, 16, 64, ... of their nodes,
-    those of the rarest components first, are compared with the nodes of other components. A node that has been compared with
-    its whole bucket leaves it. A pair is left out only if it is in one component already or if its distances to the
-    bucket's first node differ by more than 1 - threshold, so that it can't reach the threshold. No link is lost, nothing is
-    capped, and a bucket of copies takes about one comparison a node.
+    must be a metric. Pairs within a bucket are not listed. In the first round each bucket's leader, the node that shares most
+    buckets with most others, is compared with the others, which joins copies of one text. Then only buckets count whose
+    remaining nodes are still in different components. They are dealt into blocks of at most BLOCK nodes, and each pair of blocks
+    of a bucket goes to ``within`` as one group (bucket, i, j, node, comp), which returns the links (a, b) found in it. No link
+    is lost and nothing is capped.
+
+    Without ``within`` the rest goes on in rounds: 4, 16, 64, ... nodes of a bucket, those of the rarest components first, are
+    compared with the nodes of other components, and leave the bucket. A pair is left out only if it is in one component
+    already or if its distances to the bucket's leader differ by more than 1 - threshold, so that it can't reach the threshold.
 
     Returns (node, root) of the nodes that have a link."""
     slack = 1 - threshold + 1e-9
-    first = members.groupBy("bucket").agg(F.min("node").alias("first"))
-    star = members.join(first, "bucket").where("node <> first")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    members = shelf.put(members.join(weight, "node").select("bucket", "node", "weight"))
+    first = members.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("first"))
+    star = members.join(first, "bucket").where("node <> first").select("bucket", "node", "first")
     sims = shelf.put(verify(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
     edges = shelf.put(sims.where(F.col("sim") >= threshold).select("a", "b"))
-    # The first nodes are done. What is left of buckets of three or more goes on.
+    # The leaders are done. What is left of buckets of three or more goes on.
     left = star.join(sims, (F.col("first") == F.col("a")) & (F.col("node") == F.col("b"))).select("bucket", "node", (1 - F.col("sim")).alias("d"))
     more = left.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
     left = shelf.put(left.join(more, "bucket"))
-    roots, n = shelf.put(components(shelf, edges)), 4
+    roots, n = components(shelf, edges), 4
     while True:
         named = left.join(roots, "node", "left").select("bucket", "node", "d", F.coalesce("root", "node").alias("comp"))
-        open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+        open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
         named = shelf.put(named.join(open_, "bucket"))
         if named.isEmpty():
             return roots
-        rare = named.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("bucket").orderBy("size", "node")
+        if within:
+            return components(shelf, edges.unionByName(shelf.put(within(_blocks(named)).distinct())))
+        rare = named.groupBy("bucket", "comp").agg(F.count("*").alias("times"))
+        order = Window.partitionBy("bucket").orderBy("times", "node")
         lead = shelf.put(named.join(rare, ["bucket", "comp"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("bucket", F.col("node").alias("lead"), F.col("d").alias("e"), F.col("comp").alias("other")))
         pairs = named.join(lead, "bucket").where((F.col("comp") != F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= slack))
         pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
         found = shelf.put(verify(pairs).where(F.col("sim") >= threshold).select("a", "b"))
         if not found.isEmpty():
             edges = shelf.put(edges.unionByName(found))
-            roots = shelf.put(components(shelf, edges))
+            roots = components(shelf, edges)
         left = shelf.put(named.join(lead, (named["bucket"] == lead["bucket"]) & (named["node"] == lead["lead"]), "left_anti").select("bucket", "node", "d"))
         n *= 4
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """(bucket, i, j, node, comp): each node of a bucket of n blocks in the n pairs (i <= j) that its block takes part in."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = named.select("bucket", "node", "comp", n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("own"))
+    spread = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return spread.select("bucket", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "comp")
