@@ -117,6 +117,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / total if total else 0.0
 
 
+def units(multiset: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set whose Jaccard similarity is the weighted one of multisets: the k-th time of a shingle is an item of its own."""
+    item, times = multiset
+    kth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    return mix(np.repeat(item, times) ^ (kth.astype(U) * U(0x9E3779B97F4A7C15)))
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, seen, node, buckets): seen is a hash of the text, node stands for its words, both null-safe."""
 
@@ -157,6 +164,40 @@ def _verifier(texts: DataFrame):  # noqa: ANN202
     return verify
 
 
+def _within(texts: DataFrame):  # noqa: ANN202
+    """Links of groups (bucket, i, j, node, comp) of at most two blocks, by products of their shingles' incidence matrices."""
+
+    def found(frame):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        frame = frame.drop_duplicates("node")
+        sets = [units(shingles(words(t.encode()))) for t in frame["text"]]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.flatnonzero(times > 1)
+        place = np.full(len(every), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[col]
+        for start in range(0, len(shared), 4096):
+            part = (at >= start) & (at < start + 4096)
+            m = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
+            m[row[part], at[part] - start] = 1
+            both += m @ m.T
+        comp = pd.factorize(frame["comp"])[0]
+        near = (both >= SIMILAR * (size[:, None] + size[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
+        a, b = np.nonzero(np.triu(near, 1))
+        node = frame["node"].to_numpy()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    def within(blocks: DataFrame) -> DataFrame:
+        rows = blocks.join(texts, "node").select("bucket", "i", "j", "node", "comp", "text")
+        return rows.groupBy("bucket", "i", "j").applyInPandas(found, "a binary, b binary")
+
+    return within
+
+
 def classes(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(doc_id, seen, class_id) of every document; seen is xxhash64 of the text."""
     shelf = shelf or Shelf(docs.sparkSession)
@@ -170,7 +211,8 @@ def classes(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     members = shelf.put(spread.join(shared, "bucket").select("bucket", "node"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.seen").alias("at"))
     texts = rows.withColumn("seen", F.xxhash64("text")).join(wanted, (F.col("seen") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.any_value("text").alias("text"))
-    roots = links(shelf, members, _verifier(shelf.put(texts)), SIMILAR)
+    texts = shelf.put(texts)
+    roots = links(shelf, members, _verifier(texts), SIMILAR, _within(texts))
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     known = rooted.join(heads, "root").select(F.col("node"), F.col("head"))

@@ -1,13 +1,13 @@
 """Operator 6, language identification by rank-order profiles of n-grams.
 
-A profile is a list of a language's most frequent n-grams (1 to 3 characters of lower-cased words with a mark on each
-side), most frequent first, equal counts in order of the n-gram. A document's own list is compared with every
+A profile is a list of a language's most frequent n-grams (1 to 3 characters of lower-cased words, which are runs of
+letters, with a mark on each side), most frequent first, equal counts in order of the packed n-gram. A document's own list is compared with every
 language's by the out-of-place distance: the sum, over its n-grams, of how far each has moved, and the length of the list
 for one that the language's list lacks. The nearest language wins; of equals the first by name.
 
 Profiles count every n-gram of all learning rows. Workers count in parts, Spark adds the parts up. An n-gram is packed
-into one integer (21 bits a character), so a word becomes a numpy array once, and a document's list takes one
-concatenation, one sort and one count. A profile has PROFILE entries and there are at most MAX_LANGUAGES of them (checked;
+into one integer (21 bits a character); a text's are made by shifting the array of its code points, and one sort counts
+them. A profile has PROFILE entries and there are at most MAX_LANGUAGES of them (checked;
 the most frequent ones by documents, the rest can't be predicted), which bounds what is sent to workers.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; an empty learning set makes every
@@ -16,8 +16,6 @@ prediction ``und``; repeated rows are predicted each. The score is 1 less the di
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,43 +25,47 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches
 
-PROFILE, ORDERS, MAX_LANGUAGES = 400, 3, 1000
-#: Words and n-grams that a worker holds before it hands on or forgets them.
-CACHE_WORDS, FLUSH_GRAMS = 300_000, 500_000
-WORD = re.compile(r"[^\W\d_]+")
+PROFILE, MAX_LANGUAGES = 400, 1000
+#: Counts that a worker holds before it adds them up and hands them on.
+FLUSH_GRAMS = 2_000_000
+MARK = ord("_")
 UND = "und"
 
 
-class Grams:
-    """Packed n-grams of words, kept for frequent words."""
+_letters: list[np.ndarray] = []
 
-    def __init__(self) -> None:
-        self.cache: dict[str, np.ndarray] = {}
 
-    def of(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            c = np.array([ord(x) for x in f"_{word}_"], np.int64)
-            got = np.concatenate([c[1:-1], *(sum(c[i : len(c) - n + 1 + i] << (21 * (n - 1 - i)) for i in range(n)) for n in range(2, ORDERS + 1))])
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) < 64:
-                self.cache[word] = got
-        return got
+def _is_letter() -> np.ndarray:
+    """Which code points are letters, looked up once per worker."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _letters[0]
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a text in order, and their counts. None if it has no letter."""
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not any(c.isalpha() for w in words for c in w):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.unique(np.concatenate([self.of(w) for w in words]), return_counts=True)
 
-    def profile(self, text: str | None) -> np.ndarray:
-        grams, counts = self.counted(text)
-        return grams[np.argsort(-counts, kind="stable")[:PROFILE]]
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed n-grams of a text in their order, and their counts; none if it has no letter."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter()[codes]
+    if not letter.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = np.where(letter, codes, MARK).astype(np.int64)
+    codes, letter = np.concatenate([[MARK], codes, [MARK]]), np.concatenate([[False], letter, [False]])
+    one = letter | np.concatenate([[True], letter[:-1]])  # one mark between two words
+    codes, letter = codes[one], letter[one]
+    two = (codes[:-1] << 21) | codes[1:]
+    three = ((two[:-1] << 21) | codes[2:])[letter[1:-1]]
+    grams = np.sort(np.concatenate([codes[letter], two, three]))
+    at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[at], np.diff(np.append(at, len(grams)))
 
 
-_grams = Grams()
+def profile(text: str | None) -> np.ndarray:
+    """Packed n-grams of a text by rank, at most PROFILE."""
+    grams, counts = counted(text)
+    if len(grams) > PROFILE:
+        least = np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.argsort(-counts, kind="stable")[:PROFILE]]
 
 
 def learn(docs: DataFrame, lang: Column, text_col: str = "text") -> list[tuple[str, list[int]]]:
@@ -73,24 +75,24 @@ def learn(docs: DataFrame, lang: Column, text_col: str = "text") -> list[tuple[s
     rows = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for name, seen in words.items():
-                keys = np.concatenate([_grams.of(w) for w in seen])
-                times = np.concatenate([np.full(len(_grams.of(w)), n) for w, n in seen.items()])
-                grams, at = np.unique(keys, return_inverse=True)
-                n = np.bincount(at, times).astype(np.int64)
+            for name, parts in held.items():
+                grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
-            words.clear()
+            held.clear()
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = WORD.findall(text.lower())
-                if found:
-                    words.setdefault(name, Counter()).update(found)
-            if sum(map(len, words.values())) > FLUSH_GRAMS:
+                got = counted(text)
+                held.setdefault(name, []).append(got)
+                size += len(got[0])
+            if size > FLUSH_GRAMS:
                 yield from flush()
+                size = 0
         yield from flush()
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -127,7 +129,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not model:
             model.append(Profiles(profiles))
-        got = [model[0].predict(_grams.profile(t)) for t in batch.column(1).to_pylist()]
+        got = [model[0].predict(profile(t)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], "doc_id long, lang_pred string, score double", run)

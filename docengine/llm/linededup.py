@@ -5,13 +5,14 @@ which one line stays: the first by (doc_id, hash of the text, place). Two lines
 similarity of their sets of SHINGLE-character shingles is at least 0.8.
 
 Equal lines are one node from the start, a 64-bit hash. A line's signature is the MINIMA least hashes of its long character
-shingles: those of ANCHOR characters that begin where a word begins (or anywhere in scripts that don't mark words), a line
-without any being one shingle. Every one of the minima is a band of one row. That is selective because long shingles are,
-and its recall is high: three scattered word edits in a line of 55 words leave 0.63 of its long shingles in common, and a
-pair at 0.63 misses all eight least ones with probability 0.0004. Pairs are compared exactly, by :func:`.components.links`,
-which lists no pairs of a group; components come from its distributed union-find.
+shingles: those of 32 characters (12 in lines of less than 120) that begin where a word begins, or anywhere in scripts that
+don't mark words; lines of 96 to 119 characters have both, so that lines of a similar length share a kind, and a line without
+any is one shingle. Every one of the minima is a band of one row. That is selective because long shingles are, and its
+recall is high: three scattered word edits in a line of 55 words leave 0.53 of its long shingles in common, and a pair at 0.53
+misses all six least ones with probability 0.01; at one edit it is below 0.0001. Pairs are compared exactly, by
+:func:`.components.links`, which lists no pairs of a group; components come from its distributed union-find.
 
-Shuffled are hashes only, but for the texts of the nodes that are compared.
+Texts are read twice: once for hashes, which are all that is shuffled, and once for the lines that are compared.
 
 Defined results: a null text has no lines and stays null; lines that are too short stay always; equal texts under one doc_id
 are one document, all its rows losing the same lines; null ids rank last; other columns pass through unread.
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import Shelf
 from .components import links
 
-SHINGLE, ANCHOR, MINIMA, LEAST_CHARS, SIMILAR = 5, 20, 8, 10, 0.8
+SHINGLE, MINIMA, LEAST_CHARS, SIMILAR = 5, 6, 10, 0.8
+#: Lengths of long shingles, and of the lines (from, to) that have them.
+LONG = {12: (0, 120), 32: (96, 1 << 30)}
 SPACES = " \t\n\x0b\x0c\r"
 #: Where a long shingle may begin: after anything but a letter or digit of an alphabet that separates words.
-_START = "(?<![0-9A-Za-z\\u00C0-\\u1FFF])(?=(\\S.{%d}))" % (ANCHOR - 1)
+_START = "(?<![0-9A-Za-z\\u00C0-\\u1FFF])(?=(\\S.{%d}))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,9 +42,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _minima(line: Column) -> Column:
-    long = F.regexp_extract_all(line, F.lit(_START), F.lit(1))
-    whole = F.when(F.size(long) > 0, long).otherwise(F.array(line))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(whole, lambda x: F.xxhash64(x)))), 1, MINIMA)
+    none = F.array().cast("array<string>")
+    n = F.length(line)
+    kinds = [F.when((n >= a) & (n < b), F.regexp_extract_all(line, F.lit(_START % (size - 1)), F.lit(1))).otherwise(none) for size, (a, b) in LONG.items()]
+    least = [F.slice(F.sort_array(F.transform(k, lambda x: F.xxhash64(x))), 1, MINIMA) for k in kinds]
+    both = F.array_distinct(F.concat(*least))
+    return F.when(F.size(both) > 0, both).otherwise(F.array(F.xxhash64(line)))
 
 
 def _shingles(line: Column) -> Column:
@@ -51,13 +57,12 @@ def _shingles(line: Column) -> Column:
 
 
 def _verifier(texts: DataFrame):  # noqa: ANN202
-    """Exact Jaccard similarities; ``texts`` is (node, shingles)."""
+    """Exact Jaccard similarities; ``texts`` is (node, line)."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        b = texts.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(b, "b").join(a, "a")
-        # Sets of too different sizes can't reach the threshold, but links() prunes by exact similarities, so all are compared.
+        a = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
+        b = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
+        both = pairs.join(b, "b").join(a, "a").select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
         both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
         return both.select("a", "b", (F.col("i") / (F.col("m") + F.col("n") - F.col("i"))).alias("sim"))
 
@@ -69,19 +74,19 @@ def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     shelf = shelf or Shelf(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "seen", "place")
-    spread = shelf.put(_lines(docs).select("id", F.explode(_minima(F.col("line"))).alias("bucket")))
+    lines = shelf.put(_lines(docs).select("doc_id", "seen", "place", "id", _minima(F.col("line")).alias("minima")))
+    spread = lines.select("id", F.explode("minima").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
     members = shelf.put(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node")).distinct())
-    shelf.drop(spread)
     wanted = members.select("node").distinct()
-    texts = _lines(docs).join(wanted, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    roots = links(shelf, members, _verifier(shelf.put(texts.select(F.col("id").alias("node"), _shingles(F.col("line")).alias("shingles")))), SIMILAR)
+    texts = _lines(docs).join(wanted, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    roots = links(shelf, members, _verifier(shelf.put(texts.select(F.col("id").alias("node"), "line"))), SIMILAR)
     # Each node's first line, then each component's; lines whose node has one line and no link need no further look.
-    firsts = _lines(docs).groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("times"))
+    firsts = lines.groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("times"))
     rooted = shelf.put(firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").where("times > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     heads = rooted.join(heads, "root").select("id", "head")
-    lost = _lines(docs).select("doc_id", "seen", "place", "id").join(heads, "id")
+    lost = lines.select("doc_id", "seen", "place", "id").join(heads, "id")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("seen") == F.col("head.seen")) & (F.col("place") == F.col("head.place"))
     return lost.where(~kept).groupBy("doc_id", "seen").agg(F.sort_array(F.collect_set("place")).alias("lines"))
 

@@ -60,19 +60,6 @@ class PieceLexicon:
                 state = to
             self.final[state] = i
 
-    def matches(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of every path from the start state that reads text from ``at``, shortest first."""
-        out, state = [], 0
-        arcs, final = self.arcs, self.final
-        for k in range(at, len(text)):
-            to = arcs[state].get(text[k])
-            if to is None:
-                break
-            state = to
-            if final[state] is not None:
-                out.append((k + 1, final[state]))
-        return out
-
 
 class Codec:
     """N, L and B of one model, with encoding by shortest path and decoding."""
@@ -98,26 +85,32 @@ class Codec:
         pairs = m.kind == BPE
         if pairs and (chunk.startswith(SPACE * 2) or SPACE in chunk[1:]):
             return self.merged(chunk)
-        cost: list[float] = [0.0] + [np.inf] * n
+        arcs, final, inf = self.lexicon.arcs, self.lexicon.final, float("inf")
+        cost: list[float] = [0.0] + [inf] * n
         last, back = [UNK] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            if cost[i] == np.inf:
+            if cost[i] == inf:
                 continue
-            single = False
-            for end, piece in self.lexicon.matches(chunk, i):
+            single, state, before, here = False, 0, last[i], cost[i]
+            for end in range(i + 1, n + 1):
+                state = arcs[state].get(chunk[end - 1])
+                if state is None:
+                    break
+                piece = final[state]
+                if piece is None:
+                    continue
                 single |= end == i + 1
                 if pairs:
-                    fits = m.whole(piece) and (i == 0 or m.apart(last[i], piece))
-                    arc = 0.0 if fits else np.inf
-                else:
-                    arc = -m.score[piece]
-                if cost[i] + arc < cost[end]:
-                    cost[end], last[end], back[end] = cost[i] + arc, piece, i
+                    # One path into a position has finite cost, so a position that is reached needs no second look.
+                    if cost[end] == inf and m.whole(piece) and (i == 0 or m.apart(before, piece)):
+                        cost[end], last[end], back[end] = here, piece, i
+                elif here - m.score[piece] < cost[end]:
+                    cost[end], last[end], back[end] = here - m.score[piece], piece, i
             if not single:
                 arc = 0.0 if pairs else -m.unk_score
                 if cost[i] + arc < cost[i + 1]:
                     cost[i + 1], last[i + 1], back[i + 1] = cost[i] + arc, UNK, i
-        if cost[n] == np.inf:
+        if cost[n] == inf:
             return self.merged(chunk)
         parts, at = [], n
         while at:
@@ -155,7 +148,7 @@ class Codec:
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: L and B read backwards, then N's start output removed."""
         surface = self.surface
-        out = b"".join([surface[i] for i in ids])
+        out = b"".join(map(surface.__getitem__, ids))
         if self.model.prefix and out.startswith(b" "):
             out = out[1:]
         return out.decode("utf-8", "replace")
