@@ -23,7 +23,6 @@ columns pass through it unread.
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, map_batches, small_batches
-from .components import links
+from .common import Shelf, map_batches
+from .components import links, verifier, within
 from .decontam import words
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
@@ -140,62 +139,8 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("seen"), "text"), ["doc_id", "seen", "text"], "doc_id long, seen long, node binary, buckets array<long>", run)
 
 
-def _verifier(texts: DataFrame):  # noqa: ANN202
-    """Exact similarities of pairs of nodes; ``texts`` is (node, text). The first node's text is read once a run of pairs."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        small_batches(pairs.sparkSession)
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-
-        def run(batches):  # noqa: ANN001, ANN202
-            for batch in batches:
-                sims = []
-                rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                for _, same in groupby(rows, key=lambda r: r[0]):
-                    left = None
-                    for _, x, y in same:
-                        left = left or shingles(words(x.encode()))
-                        sims.append(similarity(left, shingles(words(y.encode()))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, sim double")
-
-    return verify
-
-
-def _within(texts: DataFrame):  # noqa: ANN202
-    """Links of groups (bucket, i, j, node, comp) of at most two blocks, by products of their shingles' incidence matrices."""
-
-    def found(frame):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        frame = frame.drop_duplicates("node")
-        sets = [units(shingles(words(t.encode()))) for t in frame["text"]]
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        shared = np.flatnonzero(times > 1)
-        place = np.full(len(every), -1)
-        place[shared] = np.arange(len(shared))
-        at = place[col]
-        for start in range(0, len(shared), 4096):
-            part = (at >= start) & (at < start + 4096)
-            m = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
-            m[row[part], at[part] - start] = 1
-            both += m @ m.T
-        comp = pd.factorize(frame["comp"])[0]
-        near = (both >= SIMILAR * (size[:, None] + size[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
-        a, b = np.nonzero(np.triu(near, 1))
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"a": node[a], "b": node[b]})
-
-    def within(blocks: DataFrame) -> DataFrame:
-        rows = blocks.join(texts, "node").select("bucket", "i", "j", "node", "comp", "text")
-        return rows.groupBy("bucket", "i", "j").applyInPandas(found, "a binary, b binary")
-
-    return within
+def text_units(text: str) -> np.ndarray:
+    return np.sort(units(shingles(words(text.encode()))))
 
 
 def classes(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
@@ -212,7 +157,7 @@ def classes(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.seen").alias("at"))
     texts = rows.withColumn("seen", F.xxhash64("text")).join(wanted, (F.col("seen") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.any_value("text").alias("text"))
     texts = shelf.put(texts)
-    roots = links(shelf, members, _verifier(texts), SIMILAR, _within(texts))
+    roots = links(shelf, members, verifier(texts, text_units, "binary"), SIMILAR, within(texts, text_units, "binary", SIMILAR))
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     known = rooted.join(heads, "root").select(F.col("node"), F.col("head"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, small_batches
 
 #: Nodes of a block; a pair of blocks is handled by one task at once.
 BLOCK = 256
+#: Items of sets that a worker keeps, so that a text met in several groups is taken apart once.
+CACHE_ITEMS = 4_000_000
 
 
 def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, within: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the nodes whose similarity, found by ``verify``, reaches ``threshold`` within some bucket.
 
     ``members`` is (bucket, node), buckets of at least two nodes. ``verify`` takes pairs (a, b) and returns (a, b, sim); 1 - sim
@@ -51,12 +56,7 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     of a bucket goes to ``within`` as one group (bucket, i, j, node, comp), which returns the links (a, b) found in it. No link
     is lost and nothing is capped.
 
-    Without ``within`` the rest goes on in rounds: 4, 16, 64, ... nodes of a bucket, those of the rarest components first, are
-    compared with the nodes of other components, and leave the bucket. A pair is left out only if it is in one component
-    already or if its distances to the bucket's leader differ by more than 1 - threshold, so that it can't reach the threshold.
-
     Returns (node, root) of the nodes that have a link."""
-    slack = 1 - threshold + 1e-9
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     members = shelf.put(members.join(weight, "node").select("bucket", "node", "weight"))
@@ -65,29 +65,16 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     sims = shelf.put(verify(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
     edges = shelf.put(sims.where(F.col("sim") >= threshold).select("a", "b"))
     # The leaders are done. What is left of buckets of three or more goes on.
-    left = star.join(sims, (F.col("first") == F.col("a")) & (F.col("node") == F.col("b"))).select("bucket", "node", (1 - F.col("sim")).alias("d"))
+    left = star.select("bucket", "node")
     more = left.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
-    left = shelf.put(left.join(more, "bucket"))
-    roots, n = components(shelf, edges), 4
-    while True:
-        named = left.join(roots, "node", "left").select("bucket", "node", "d", F.coalesce("root", "node").alias("comp"))
-        open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
-        named = shelf.put(named.join(open_, "bucket"))
-        if named.isEmpty():
-            return roots
-        if within:
-            return components(shelf, edges.unionByName(shelf.put(within(_blocks(named)).distinct())))
-        rare = named.groupBy("bucket", "comp").agg(F.count("*").alias("times"))
-        order = Window.partitionBy("bucket").orderBy("times", "node")
-        lead = shelf.put(named.join(rare, ["bucket", "comp"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("bucket", F.col("node").alias("lead"), F.col("d").alias("e"), F.col("comp").alias("other")))
-        pairs = named.join(lead, "bucket").where((F.col("comp") != F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= slack))
-        pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        found = shelf.put(verify(pairs).where(F.col("sim") >= threshold).select("a", "b"))
-        if not found.isEmpty():
-            edges = shelf.put(edges.unionByName(found))
-            roots = components(shelf, edges)
-        left = shelf.put(named.join(lead, (named["bucket"] == lead["bucket"]) & (named["node"] == lead["lead"]), "left_anti").select("bucket", "node", "d"))
-        n *= 4
+    left = left.join(more, "bucket")
+    roots = shelf.put(components(shelf, edges))
+    named = left.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
+    named = shelf.put(named.join(open_, "bucket"))
+    if named.isEmpty():
+        return roots
+    return components(shelf, edges.unionByName(shelf.put(within(_blocks(named)).distinct())))
 
 
 def _blocks(named: DataFrame) -> DataFrame:
@@ -96,3 +83,98 @@ def _blocks(named: DataFrame) -> DataFrame:
     dealt = named.select("bucket", "node", "comp", n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("own"))
     spread = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return spread.select("bucket", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "comp")
+
+
+class _Sets:
+    """``sets_of`` of texts by node, kept in a bounded cache."""
+
+    def __init__(self, sets_of: Callable[[str], np.ndarray]) -> None:
+        self.sets_of, self.kept, self.items = sets_of, {}, 0
+
+    def of(self, node: object, text: str) -> np.ndarray:
+        got = self.kept.get(node)
+        if got is None:
+            got = self.sets_of(text)
+            if self.items + len(got) > CACHE_ITEMS:
+                self.kept, self.items = {}, 0
+            self.kept[node] = got
+            self.items += len(got)
+        return got
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct items."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def verifier(texts: DataFrame, sets_of: Callable[[str], np.ndarray], kind: str) -> Callable[[DataFrame], DataFrame]:
+    """Exact similarities of pairs of nodes; ``texts`` is (node, text), ``sets_of`` makes a text a sorted array of distinct items."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        small_batches(pairs.sparkSession)
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = _Sets(sets_of)
+            for batch in batches:
+                rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                sims = [jaccard(sets.of(x, s), sets.of(y, t)) for x, y, s, t in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, sim double")
+
+    return verify
+
+
+def _near(sets: list[np.ndarray], comps: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets of different components that reach the threshold, by products of incidence matrices."""
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(every), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[col]
+    for start in range(0, len(shared), 4096):
+        part = (at >= start) & (at < start + 4096)
+        m = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
+        m[row[part], at[part] - start] = 1
+        both += m @ m.T
+    comp = np.unique(comps, return_inverse=True)[1]
+    near = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
+    return np.nonzero(np.triu(near, 1))
+
+
+def within(texts: DataFrame, sets_of: Callable[[str], np.ndarray], kind: str, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """Links of groups (bucket, i, j, node, comp) of at most two blocks each. Rows stream by sorted, a group is held at once."""
+
+    def find(blocks: DataFrame) -> DataFrame:
+        small_batches(blocks.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = _Sets(sets_of)
+            rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for _, group in groupby(rows, key=lambda r: r[:3]):
+                found = {r[3]: (r[4], r[5]) for r in group}
+                nodes, comps = list(found), [c for c, _ in found.values()]
+                if len(set(comps)) < 2:
+                    continue
+                mine = [sets.of(n, t) for n, (_, t) in found.items()]
+                if len(nodes) <= 4:
+                    links = [(x, y) for x in range(len(nodes)) for y in range(x + 1, len(nodes)) if comps[x] != comps[y] and jaccard(mine[x], mine[y]) >= threshold - 1e-9]
+                    a, b = [x for x, _ in links], [y for _, y in links]
+                else:
+                    a, b = _near(mine, comps, threshold)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a]), pa.array([nodes[y] for y in b])], names=["a", "b"])
+
+        rows = blocks.join(texts, "node").select("bucket", "i", "j", "node", "comp", "text")
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, f"a {kind}, b {kind}")
+
+    return find

@@ -1,16 +1,16 @@
-"""Operator 10, fuzzy line deduplication by MinHash. DataFrame functions only.
+"""Operator 10, fuzzy line deduplication by MinHash. Signatures and comparisons in numpy, see the README on the native form.
 
 Lines of LEAST_CHARS characters or more (white space at the ends aside) that resemble each other are one component, of
 which one line stays: the first by (doc_id, hash of the text, place). Two lines resemble each other if the Jaccard
 similarity of their sets of SHINGLE-character shingles is at least 0.8.
 
-Equal lines are one node from the start, a 64-bit hash. A line's signature is the MINIMA least hashes of its long character
-shingles: those of 32 characters (12 in lines of less than 120) that begin where a word begins, or anywhere in scripts that
-don't mark words; lines of 96 to 119 characters have both, so that lines of a similar length share a kind, and a line without
-any is one shingle. Every one of the minima is a band of one row. That is selective because long shingles are, and its
-recall is high: three scattered word edits in a line of 55 words leave 0.53 of its long shingles in common, and a pair at 0.53
-misses all six least ones with probability 0.01; at one edit it is below 0.0001. Pairs are compared exactly, by
-:func:`.components.links`, which lists no pairs of a group; components come from its distributed union-find.
+Equal lines are one node from the start, a 64-bit hash. A line's signature is HASHES MinHash values of its long character
+shingles: those of 24 characters (12 in lines of less than 96; lines of 72 to 95 have both kinds, so that lines of a similar
+length share one), and a line too short for any has its own hash. Every value is a band of one row. That is selective because
+long shingles are, and its recall is high: three scattered word edits in a line of 330 characters leave 0.58 of its long
+shingles in common, and a pair at 0.58 misses all seven bands with probability 0.002; at one edit it is below 0.00001. Pairs
+are compared exactly, by :func:`.components.links`, which lists no pairs of a group; components come from its distributed
+union-find.
 
 Texts are read twice: once for hashes, which are all that is shuffled, and once for the lines that are compared.
 
@@ -20,18 +20,27 @@ are one document, all its rows losing the same lines; null ids rank last; other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
-from .components import links
+from .bagminhash import mix
+from .common import Shelf, map_batches
+from .components import links, verifier, within
 
-SHINGLE, MINIMA, LEAST_CHARS, SIMILAR = 5, 6, 10, 0.8
+SHINGLE, HASHES, LEAST_CHARS, SIMILAR = 5, 7, 10, 0.8
 #: Lengths of long shingles, and of the lines (from, to) that have them.
-LONG = {12: (0, 120), 32: (96, 1 << 30)}
+LONG = {12: (12, 96), 24: (72, 1 << 62)}
+#: Characters whose hashes are made at once; a longer line is one part of its own.
+PART_CHARS = 1 << 18
 SPACES = " \t\n\x0b\x0c\r"
-#: Where a long shingle may begin: after anything but a letter or digit of an alphabet that separates words.
-_START = "(?<![0-9A-Za-z\\u00C0-\\u1FFF])(?=(\\S.{%d}))"
+U = np.uint64
+_SEEDS = np.random.default_rng(10).integers(1, 1 << 62, HASHES, np.uint64) | U(1)
+LINES = "doc_id long, seen long, place int, id long, minima array<long>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,32 +50,84 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def _minima(line: Column) -> Column:
-    none = F.array().cast("array<string>")
-    n = F.length(line)
-    kinds = [F.when((n >= a) & (n < b), F.regexp_extract_all(line, F.lit(_START % (size - 1)), F.lit(1))).otherwise(none) for size, (a, b) in LONG.items()]
-    least = [F.slice(F.sort_array(F.transform(k, lambda x: F.xxhash64(x))), 1, MINIMA) for k in kinds]
-    both = F.array_distinct(F.concat(*least))
-    return F.when(F.size(both) > 0, both).otherwise(F.array(F.xxhash64(line)))
-
-
-def _shingles(line: Column) -> Column:
-    n = F.length(line)
-    cut = F.regexp_extract_all(line, F.lit("(?=(.{%d}))" % SHINGLE), F.lit(1))
-    return F.array_distinct(F.when(n >= SHINGLE, cut).otherwise(F.array(line)))
-
-
-def _verifier(texts: DataFrame):  # noqa: ANN202
-    """Exact Jaccard similarities; ``texts`` is (node, line)."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
-        both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
-        return both.select("a", "b", (F.col("i") / (F.col("m") + F.col("n") - F.col("i"))).alias("sim"))
-
-    return verify
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+
+
+def _window(codes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all windows of ``size`` characters, put together from windows of powers of two."""
+    width, have = 1, mix(codes + U(0x9E3779B97F4A7C15))
+    out, done = None, 0
+    while True:
+        if size & width:
+            rest = len(codes) - size + 1
+            if rest <= 0:
+                return np.empty(0, U)
+            piece = have[done : done + rest]
+            out = piece if out is None else mix(out * U(0xD1342543DE82EF95) + piece)
+            done += width
+        width *= 2
+        if width > size:
+            return out
+        have = mix(have[: len(have) - width // 2] * U(0x2545F4914F6CDD1D) + have[width // 2 :])
+
+
+def shingle_set(line: str) -> np.ndarray:
+    """Sorted distinct hashes of a line's SHINGLE-character shingles; a shorter line is one shingle."""
+    codes = _codes(line)
+    return np.unique(_window(codes, min(SHINGLE, len(codes)))) if len(codes) else np.empty(0, U)
+
+
+def minima(lines: list[str]) -> list[np.ndarray]:
+    """The MinHash values of each line, as signed integers."""
+    size = np.array([len(x) for x in lines])
+    first = np.cumsum(size) - size
+    codes = _codes("".join(lines))
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    for width, (low, high) in LONG.items():
+        have = np.flatnonzero((size >= low) & (size < high))
+        if not len(have):
+            continue
+        hashes = _window(codes, width)
+        # Windows [first, first + n) of a line, and between them those that run over its end, which are dropped.
+        bounds = np.column_stack([first[have], first[have] + size[have] - width + 1]).ravel()
+        hashes = np.append(hashes, np.zeros(width, U))
+        values = np.column_stack([np.minimum.reduceat((hashes ^ s) * s, bounds)[::2] for s in _SEEDS])
+        values = mix(values + U(width) + np.arange(HASHES, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)).view(np.int64)
+        for i, v in zip(have.tolist(), values, strict=True):
+            out[i].append(v)
+    own = [None if o else np.array([xxhash.xxh64_intdigest(x.encode())], U).view(np.int64) for o, x in zip(out, lines, strict=True)]
+    return [np.unique(np.concatenate(o)) if o else w for o, w in zip(out, own, strict=True)]
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, seen, place, id, minima) of every line that takes part, in one narrow pass; ids are Spark's xxhash64 of lines."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            values = minima([h[3] for h in held])
+            ids = np.array([xxhash.xxh64_intdigest(h[3].encode(), 42) for h in held], U).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            doc, seen, place, _ = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seen, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), lists], names=["doc_id", "seen", "place", "id", "minima"])
+
+        for doc, seen, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for place, raw in enumerate(text.split("\n") if text is not None else ()):
+                line = raw.strip(SPACES)
+                if len(line) >= LEAST_CHARS:
+                    held.append((doc, seen, place, line))
+                    chars += len(line)
+                    if chars >= PART_CHARS:
+                        yield flush()
+                        held, chars = [], 0
+        if held:
+            yield flush()
+
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("seen"), "text"), ["doc_id", "seen", "text"], LINES, run)
 
 
 def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
@@ -74,13 +135,14 @@ def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     shelf = shelf or Shelf(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "seen", "place")
-    lines = shelf.put(_lines(docs).select("doc_id", "seen", "place", "id", _minima(F.col("line")).alias("minima")))
+    lines = shelf.put(signed(docs))
     spread = lines.select("id", F.explode("minima").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
     members = shelf.put(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node")).distinct())
     wanted = members.select("node").distinct()
     texts = _lines(docs).join(wanted, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    roots = links(shelf, members, _verifier(shelf.put(texts.select(F.col("id").alias("node"), "line"))), SIMILAR)
+    texts = shelf.put(texts.select(F.col("id").alias("node"), F.col("line").alias("text")))
+    roots = links(shelf, members, verifier(texts, shingle_set, "long"), SIMILAR, within(texts, shingle_set, "long", SIMILAR))
     # Each node's first line, then each component's; lines whose node has one line and no link need no further look.
     firsts = lines.groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("times"))
     rooted = shelf.put(firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").where("times > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first"))
