@@ -53,8 +53,8 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     must be a metric. Pairs within a bucket are not listed. In the first round each bucket's leader, the node that shares most
     buckets with most others, is compared with the others, which joins copies of one text. Then only buckets count whose
     remaining nodes are still in different components. They are dealt into blocks of at most BLOCK nodes, and each pair of blocks
-    of a bucket goes to ``within`` as one group (bucket, i, j, node, comp), which returns the links (a, b) found in it. No link
-    is lost and nothing is capped.
+    of a bucket goes to ``within`` as one group (bucket, i, j, node, comp), which returns links (a, b) that
+    span those in it. No link is lost and nothing is capped.
 
     Returns (node, root) of the nodes that have a link."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
@@ -70,7 +70,10 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     left = left.join(more, "bucket")
     roots = shelf.put(components(shelf, edges))
     named = left.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
+    # Near copies share several buckets: of buckets with the same nodes, told by 128 bits, one is looked into.
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in (1, 2)]
+    open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), *marks).where("x <> y")
+    open_ = open_.groupBy("size", "mark1", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     named = shelf.put(named.join(open_, "bucket"))
     if named.isEmpty():
         return roots
@@ -131,8 +134,8 @@ def verifier(texts: DataFrame, sets_of: Callable[[str], np.ndarray], kind: str)
     return verify
 
 
-def _near(sets: list[np.ndarray], comps: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets of different components that reach the threshold, by products of incidence matrices."""
+def _near(sets: list[np.ndarray], comps: list, threshold: float) -> tuple[list[int], list[int]]:
+    """Index pairs that span the links between sets of different components, by products of incidence matrices."""
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), size)
     every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -148,7 +151,25 @@ def _near(sets: list[np.ndarray], comps: list, threshold: float) -> tuple[np.nda
         both += m @ m.T
     comp = np.unique(comps, return_inverse=True)[1]
     near = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
-    return np.nonzero(np.triu(near, 1))
+    return forest(near)
+
+
+def forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix: fewer than its rows, with the same components."""
+    a: list[int] = []
+    b: list[int] = []
+    unseen = np.ones(len(near), bool)
+    for start in range(len(near)):
+        stack = [start] if unseen[start] else []
+        unseen[start] = False
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(near[x] & unseen)
+            unseen[new] = False
+            a += [x] * len(new)
+            b += new.tolist()
+            stack += new.tolist()
+    return a, b
 
 
 def within(texts: DataFrame, sets_of: Callable[[str], np.ndarray], kind: str, threshold: float) -> Callable[[DataFrame], DataFrame]:
