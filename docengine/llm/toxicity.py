@@ -9,9 +9,10 @@ what both share. For a character c after a history h:
 
 and P_class = P_shared(c | h') if the class never saw h. D_class is n1 / (n1 + 2 n2) of its counts. Only the difference of
 the two log-likelihoods decides, and in it P_shared cancels wherever neither class saw hc: then it is that of the classes'
-backoff weights. So what is sent to workers is one number for each n-gram seen and one for each history. They are put into
-2 ** TABLE_BITS hashed places (n-grams that fall together share their weighted mean), which bounds the table however much
-text it comes from.
+backoff weights. So the model is a table of one number for each n-gram seen and one for each history. It stays a Spark table
+by their exact keys, whatever its size: the distinct words of the texts are broken up and joined to it, and a word's numbers are
+added up in units of 1 / UNIT, so that no order of summing matters. The most frequent words, at most HOT_WORDS, are sent to
+workers; the words of a text that aren't among them are joined by Spark, which gives the same values.
 
 A word's difference is the sum over its characters. A text's features are the mean over its words, the largest mean of a
 window of WINDOW consecutive words, and the mean of its TOP_WORDS highest words, all normalised by length; a logistic curve turns them into the score. It is fitted on
@@ -32,16 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shelf, map_batches, small_batches
 
-ORDER, WINDOW, TOP_WORDS, TABLE_BITS, FIT_ROWS = 8, 8, 4, 22, 200_000
+ORDER, WINDOW, TOP_WORDS, FIT_ROWS = 8, 8, 4, 200_000
+#: Words that workers hold, none of HOT_CHARS characters or more; steps of their counts, a factor of 2 each; units of a difference.
+HOT_WORDS, HOT_CHARS, HOT_STEPS, UNIT = 200_000, 64, 8, 1e9
 #: Lengths of the shared levels below ORDER, and their discount.
 BACKOFF, DISCOUNT = (5, 3, 1), 0.75
-CACHE_WORDS, FLUSH_WORDS = 300_000, 200_000
+FLUSH_WORDS = 200_000
 FEATURES = ["mean", "stretch", "top"]
 WORD = re.compile(r"[^\W\d_]+")
 PAD = "_"
@@ -84,11 +86,15 @@ def gram_counts(docs: DataFrame, labels: DataFrame, chosen: Column) -> DataFrame
     return rows.mapInArrow(count, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def marks(labels: DataFrame) -> DataFrame:
+    """(label_id, toxic) of every labelled document."""
+    rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
+    return rows.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic, text) of the documents with a label."""
-    marks = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
-    marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")
+    return docs.select("doc_id", "text").join(marks(labels), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")
 
 
 def _shared(grams: DataFrame) -> DataFrame:
@@ -112,9 +118,11 @@ def _shared(grams: DataFrame) -> DataFrame:
     return per.select("gram", F.aggregate("x", F.lit(1.0 / max(chars or 1, 1)), mix).alias("p"))
 
 
-def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Places and log-likelihood differences (toxic less ordinary) of n-grams and of histories, at most 2 ** TABLE_BITS."""
-    shelf = Shelf(counts.sparkSession)
+def model(counts: DataFrame, shelf: Shelf) -> DataFrame:
+    """(key, v) of every n-gram ("g" before it) and history ("h"), v in units of 1 / UNIT.
+
+    A history's v is the classes' difference after it if neither saw what comes; an n-gram's is what seeing it adds to that. So a
+    word's difference is the sum over all its keys that are here, as every n-gram's history is here too."""
     counts = shelf.put(counts)
     discounts = counts.agg(*[F.sum(F.when(F.col(f"n{k}") == i, 1).otherwise(0)).alias(f"d{k}{i}") for k in (0, 1) for i in (1, 2)]).first()
     d = [(discounts[f"d{k}1"] or 0) / ((discounts[f"d{k}1"] or 0) + 2 * (discounts[f"d{k}2"] or 0) or 1) for k in (0, 1)]
@@ -127,71 +135,139 @@ def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen = (F.greatest(F.col(f"n{k}") - d[k], F.lit(0.0)) + d[k] * F.col(f"types{k}") * F.col("p")) / F.col(f"h{k}")
         return F.when(F.col(f"h{k}") > 0, seen).otherwise(F.col("p"))
 
+    def units(x: Column) -> Column:
+        return F.round(x * UNIT).cast("long")
+
     back = [F.when(F.col(f"h{k}") > 0, d[k] * F.col(f"types{k}") / F.col(f"h{k}")).otherwise(1.0) for k in (0, 1)]
-    grams = rows.join(sums, "history").select(F.concat(F.lit("g"), "gram").alias("key"), F.log(of(1) / of(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("n"))
-    histories = sums.select(F.concat(F.lit("h"), "history").alias("key"), F.log(back[1] / back[0]).alias("v"), (F.col("h0") + F.col("h1")).alias("n"))
-    folded = grams.unionByName(histories).withColumn("at", F.xxhash64("key").bitwiseAND((1 << TABLE_BITS) - 1))
-    table = folded.groupBy("at").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).cast("float").alias("v")).toArrow().sort_by("at")
-    return table.column("at").to_numpy().astype(np.int32), table.column("v").to_numpy()
-
-
-def _spark_hash(key: str) -> int:
-    """Spark's xxhash64 of a string."""
-    return xxhash.xxh64_intdigest(key.encode(), 42) & ((1 << TABLE_BITS) - 1)
-
-
-class Scorer:
-    """The difference of log-likelihoods of words, and the features of texts."""
-
-    def __init__(self, at: np.ndarray, v: np.ndarray) -> None:
-        dense = np.full(1 << TABLE_BITS, np.nan, np.float32)
-        dense[at] = v
-        self.table = memoryview(dense)
-        self.cache: dict[str, float] = {}
-
-    def word(self, word: str) -> float:
-        got = self.cache.get(word)
-        if got is None:
-            got, table = 0.0, self.table
-            for g in grams_of(word):
-                v = table[_spark_hash("g" + g)]
-                if v != v:  # the gram wasn't seen
-                    v = table[_spark_hash("h" + g[:-1])]
-                got += v if v == v else 0.0
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) < 64:
-                self.cache[word] = got
-        return got
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words:
-            return 0.0, 0.0, 0.0
-        x = np.fromiter(map(self.word, words), np.float64, len(words))
-        size = min(WINDOW, len(x))
-        total = np.concatenate([[0.0], np.cumsum(x)])
-        top = np.partition(x, -TOP_WORDS)[-TOP_WORDS:] if len(x) > TOP_WORDS else x
-        return float(x.mean()), float((total[size:] - total[:-size]).max() / size), float(top.mean())
-
-
-_scorers: dict[str, Scorer] = {}
-
-
-def features(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], keep: str, kind: str) -> DataFrame:
-    """(keep, FEATURES) of each row's text, in one narrow pass."""
-    key = uuid.uuid4().hex
-    shared = rows.sparkSession.sparkContext.broadcast((table[0].tobytes(), table[1].tobytes()))
+    after = units(F.log(back[1] / back[0]))
+    grams = rows.join(sums, "history").select(F.concat(F.lit("g"), "gram").alias("key"), (units(F.log(of(1) / of(0))) - after).alias("v"))
+    return shelf.put(grams.unionByName(sums.select(F.concat(F.lit("h"), "history").alias("key"), after.alias("v"))))
+
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _scorers:
-            _scorers.clear()
-            at, v = shared.value
-            _scorers[key] = Scorer(np.frombuffer(at, np.int32), np.frombuffer(v, np.float32))
-        got = [_scorers[key].features(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], names=[keep, *FEATURES])
+def word_scores(docs: DataFrame, table: DataFrame, shelf: Shelf) -> DataFrame:
+    """(word, n, v) of every distinct word of the texts: how often it occurs, and its difference."""
 
-    return map_batches(rows, [keep, "text"], f"{keep} {kind}, " + ", ".join(f"{f} double" for f in FEATURES), run)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(WORD.findall((text or "").lower()))
+                if len(seen) > FLUSH_WORDS:
+                    yield flush()
+        yield flush()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        found: list[str] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "key"])
+            ids.clear()
+            found.clear()
+            return out
+
+        for batch in batches:
+            for i, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g in grams_of(word):
+                    found += ["g" + g] if g[:-1] == PAD else ["g" + g, "h" + g[:-1]]
+                ids += [i] * (len(found) - len(ids))
+                if len(ids) > FLUSH_WORDS:
+                    yield flush()
+        yield flush()
+
+    small_batches(docs.sparkSession)
+    words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = shelf.put(words.withColumn("id", F.monotonically_increasing_id()))
+    # Every word begins with the same history, which is no key of a join.
+    start = table.where(F.col("key") == "h" + PAD).first()
+    sums = words.select("id", "word").mapInArrow(keys, "id long, key string").join(table, "key").groupBy("id").agg(F.sum("v").alias("v"))
+    value = (F.coalesce("v", F.lit(0)) + F.lit(start["v"] if start else 0)) / UNIT
+    return shelf.put(words.join(sums, "id", "left").select("word", "n", value.alias("v")))
+
+
+def hot_words(scores: DataFrame) -> tuple[dict[str, float], bool]:
+    """The most frequent words' differences, at most HOT_WORDS, and whether these are all words."""
+    short = F.length("word") < HOT_CHARS
+    steps = scores.groupBy(F.when(short, F.floor(F.log2("n") * HOT_STEPS)).alias("step")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, None
+    for step, words in sorted(((r["step"], r["words"]) for r in steps if r["step"] is not None), reverse=True):
+        total += words
+        if total > HOT_WORDS:
+            break
+        least = step
+    if least is None:
+        return {}, not steps
+    hot = scores.where(short & (F.floor(F.log2("n") * HOT_STEPS) >= least)).select("word", "v").toArrow()
+    return dict(zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True)), hot.num_rows == sum(r["words"] for r in steps)
+
+
+def features_of(x: np.ndarray) -> tuple[float, float, float]:
+    """FEATURES of a text by the differences of its words, in order."""
+    if not len(x):
+        return 0.0, 0.0, 0.0
+    size = min(WINDOW, len(x))
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    top = np.partition(x, -TOP_WORDS)[-TOP_WORDS:] if len(x) > TOP_WORDS else x
+    return float(x.mean()), float((total[size:] - total[:-size]).max() / size), float(top.mean())
+
+
+_hot: dict[str, dict[str, float]] = {}
+
+
+def features(docs: DataFrame, scores: DataFrame, shelf: Shelf) -> DataFrame:
+    """(doc_id, FEATURES) of each row's text.
+
+    One narrow pass looks up the words that workers hold. A text that has others leaves the values it has and the words it lacks;
+    those are joined to ``scores`` (no frequent word is among them) and come back to their row."""
+    hot, whole = hot_words(scores)
+    key = uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = ", ".join(f"{f} double" for f in FEATURES)
+
+    def look_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if key not in _hot:
+            _hot.clear()
+            _hot[key] = shared.value
+        held, got, values, slots, rare = _hot[key], [], [], [], []
+        for text in batch.column(2).to_pylist():
+            words = WORD.findall(text.lower()) if text else []
+            x = [held.get(w) for w in words]
+            lacks: dict[str, int] = {}
+            at = [lacks.setdefault(w, len(lacks)) for w, v in zip(words, x, strict=True) if v is None]
+            x = np.array(x, np.float64)
+            got.append((None, None, None) if at else features_of(x.astype(np.float32).astype(np.float64)))
+            values.append(x.astype(np.float32) if at else None)
+            slots.append(at or None)
+            rare.append(list(lacks) or None)
+        columns = [pa.array([g[i] for g in got], pa.float64()) for i in range(3)]
+        more = [pa.array(values, pa.list_(pa.float32())), pa.array(slots, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *more], names=["row", "doc_id", *FEATURES, "given", "slots", "rare"])
+
+    def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = []
+        for values, slots, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            x = np.array(values, np.float64)
+            x[np.isnan(x)] = np.array(found, np.float32)[slots]
+            got.append(features_of(x))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], names=["doc_id", *FEATURES])
+
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    first = map_batches(rows, ["row", "doc_id", "text"], f"row long, doc_id {kind}, {named}, given array<float>, slots array<int>, rare array<string>", look_up)
+    if whole:
+        return shelf.put(first.select("doc_id", *FEATURES))
+    first = shelf.put(first)
+    lacking = first.where("rare is not null").select("row", F.posexplode("rare").alias("k", "word")).join(scores.select("word", "v"), "word")
+    found = lacking.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("found"))
+    filled = first.where("rare is not null").select("row", "doc_id", "given", "slots").join(found, "row")
+    filled = map_batches(filled, ["doc_id", "given", "slots", "found"], f"doc_id {kind}, {named}", fill)
+    return shelf.put(first.where("rare is null").select("doc_id", *FEATURES).unionByName(filled))
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -212,15 +288,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, counting: Column, fitting: Column) -> DataFrame:
     """(doc_id, score, predicted) of every document. ``counting`` and ``fitting`` choose, by id, the labelled rows that
     counts and the curve come from; they must not overlap."""
-    docs = docs.select("doc_id", "text")
-    ids = docs.where("doc_id is not null")
-    table = model(gram_counts(ids, labels, counting))
-    rows = labelled(ids.where(fitting), labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", "text")
-    known = features(rows, table, "toxic", "int").toPandas()
+    docs, shelf = docs.select("doc_id", "text"), Shelf(docs.sparkSession)
+    table = model(gram_counts(docs.where("doc_id is not null"), labels, counting), shelf)
+    found = features(docs, word_scores(docs, table, shelf), shelf)
+    rows = found.where("doc_id is not null").where(fitting).join(marks(labels), F.col("doc_id") == F.col("label_id"))
+    known = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", *FEATURES).toPandas()
     y = known["toxic"].to_numpy(float)
     ok = 0 < y.sum() < len(y)
     w = fit(known[FEATURES].to_numpy(), y) if ok else np.zeros(len(FEATURES) + 1)
     line = sum((F.lit(float(a)) * F.col(f) for a, f in zip(w, FEATURES, strict=False)), F.lit(float(w[-1])))
     value = 1 / (1 + F.exp(-line)) if ok else F.lit(0.0)
-    out = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), table, "doc_id", "long")
-    return out.select("doc_id", value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -1,5 +1,6 @@
 """The ten operators and the pipeline against brute force, exact round trips, SQL and held-out labels; and edge cases."""
 
+import functools
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -195,6 +196,62 @@ def test_toxicity(spark, sf_dir, texts):
         assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.7
 
 
+def brute_differences(rows):
+    """Differences of words by the formula, with nothing hashed; rows are (toxic, text)."""
+    n = (Counter(), Counter())
+    for toxic, text in rows:
+        for w in toxicity.WORD.findall(text.lower()):
+            n[toxic].update(toxicity.grams_of(w))
+    grams = set(n[0]) | set(n[1])
+    chains = {g: [g, *(g[-m:] for m in toxicity.BACKOFF if len(g) > m)] for g in grams}
+    reach = defaultdict(set)
+    for c in chains.values():
+        for longer, part in zip(c, c[1:], strict=False):
+            reach[part].add(longer)
+    chars, total, kinds = len({g[-1] for g in grams}), Counter(), Counter()
+    for part, longer in reach.items():
+        total[part[:-1], len(part)] += len(longer)
+        kinds[part[:-1], len(part)] += 1
+
+    def shared(g):
+        p = 1 / chars
+        for part in reversed(chains[g][1:]):
+            at = part[:-1], len(part)
+            p = (len(reach[part]) - toxicity.DISCOUNT + toxicity.DISCOUNT * kinds[at] * p) / total[at]
+        return p
+
+    d, after, types = [], (Counter(), Counter()), (Counter(), Counter())
+    for k in (0, 1):
+        once, twice = (sum(x == i for x in n[k].values()) for i in (1, 2))
+        d.append(min(max(once / (once + 2 * twice or 1), 0.1), 0.95))
+        for g, x in n[k].items():
+            after[k][g[:-1]] += x
+            types[k][g[:-1]] += 1
+
+    def log_p(k, g):
+        h, p = g[:-1], shared(g) if g in grams else 1.0
+        return np.log((max(n[k][g] - d[k], 0) + d[k] * types[k][h] * p) / after[k][h] if after[k][h] else p)
+
+    return functools.cache(lambda word: sum(log_p(1, g) - log_p(0, g) for g in toxicity.grams_of(word)))
+
+
+@pytest.mark.parametrize("hot", [toxicity.HOT_WORDS if hasattr(toxicity, "HOT_WORDS") else None, 300, 0])
+def test_toxicity_is_exact(spark, sf_dir, texts, hot, monkeypatch):
+    monkeypatch.setattr(toxicity, "HOT_WORDS", hot)
+    toxic = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
+    docs, labels, shelf = table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), table(spark, sf_dir, "labels"), Shelf(spark)
+    word = brute_differences([(toxic[i], t) for i, t in texts.items() if i % 6 == 0 and t and toxic.get(i) is not None])
+    scores = toxicity.word_scores(docs, toxicity.model(toxicity.gram_counts(docs, labels, F.col("doc_id") % 6 == 0), shelf), shelf)
+    want = {w for i, t in texts.items() if i % 3 == 0 and t for w in toxicity.WORD.findall(t.lower())}
+    got = {r.word: r.v for r in scores.collect()}
+    assert set(got) == want and all(abs(got[w] - word(w)) < 1e-6 for w in want)
+    found = {r.doc_id: r for r in toxicity.features(docs, scores, shelf).collect()}
+    assert set(found) == {i for i in texts if i % 3 == 0}
+    for i, r in found.items():
+        x = np.array([word(w) for w in toxicity.WORD.findall((texts[i] or "").lower())])
+        assert (r["mean"], r.stretch, r.top) == pytest.approx(toxicity.features_of(x), abs=1e-4)
+
+
 def brute_hits(text, windows):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, items = set(), set()
