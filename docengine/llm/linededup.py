@@ -4,13 +4,10 @@ Lines of LEAST_CHARS characters or more (white space at the ends aside) that res
 which one line stays: the first by (doc_id, hash of the text, place). Two lines resemble each other if the Jaccard
 similarity of their sets of SHINGLE-character shingles is at least 0.8.
 
-Equal lines are one node from the start, a 64-bit hash. A line's signature is HASHES MinHash values of its long character
-shingles: those of 24 characters (12 in lines of less than 96; lines of 72 to 95 have both kinds, so that lines of a similar
-length share one), and a line too short for any has its own hash. Every value is a band of one row. That is selective because
-long shingles are, and its recall is high: three scattered word edits in a line of 330 characters leave 0.58 of its long
-shingles in common, and a pair at 0.58 misses all seven bands with probability 0.002; at one edit it is below 0.00001. Pairs
-are compared exactly, by :func:`.components.links`, which lists no pairs of a group; components come from its distributed
-union-find.
+Equal lines are one node from the start, a 64-bit hash. A line of any length has BANDS buckets, each a hash of ROWS MinHash
+values of the very shingles that are compared, so that a pair at 0.8 shares none with probability (1 - 0.8**4)**14 = 0.0006,
+however long its lines are and wherever they differ. Pairs are compared exactly, by :func:`.components.links`, which lists no
+pairs of a group; components come from its distributed union-find.
 
 Texts are read twice: once for hashes, which are all that is shuffled, and once for the lines that are compared.
 
@@ -32,15 +29,13 @@ from .bagminhash import mix
 from .common import Shelf, map_batches
 from .components import links, verifier, within
 
-SHINGLE, HASHES, LEAST_CHARS, SIMILAR = 5, 7, 10, 0.8
-#: Lengths of long shingles, and of the lines (from, to) that have them.
-LONG = {12: (12, 96), 24: (72, 1 << 62)}
+SHINGLE, BANDS, ROWS, LEAST_CHARS, SIMILAR = 5, 14, 4, 10, 0.8
 #: Characters whose hashes are made at once; a longer line is one part of its own.
 PART_CHARS = 1 << 18
 SPACES = " \t\n\x0b\x0c\r"
 U = np.uint64
-_SEEDS = np.random.default_rng(10).integers(1, 1 << 62, HASHES, np.uint64) | U(1)
-LINES = "doc_id long, seen long, place int, id long, minima array<long>"
+_SEEDS = np.random.default_rng(10).integers(1, 1 << 62, BANDS * ROWS, np.uint64) | U(1)
+LINES = "doc_id long, seen long, place int, id long, buckets array<long>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -78,42 +73,37 @@ def shingle_set(line: str) -> np.ndarray:
     return np.unique(_window(codes, min(SHINGLE, len(codes)))) if len(codes) else np.empty(0, U)
 
 
-def minima(lines: list[str]) -> list[np.ndarray]:
-    """The MinHash values of each line, as signed integers."""
+def buckets(lines: list[str]) -> np.ndarray:
+    """The BANDS buckets of each line of SHINGLE characters or more, a row of signed integers each."""
     size = np.array([len(x) for x in lines])
     first = np.cumsum(size) - size
-    codes = _codes("".join(lines))
-    out: list[list[np.ndarray]] = [[] for _ in lines]
-    for width, (low, high) in LONG.items():
-        have = np.flatnonzero((size >= low) & (size < high))
-        if not len(have):
-            continue
-        hashes = _window(codes, width)
-        # Windows [first, first + n) of a line, and between them those that run over its end, which are dropped.
-        bounds = np.column_stack([first[have], first[have] + size[have] - width + 1]).ravel()
-        hashes = np.append(hashes, np.zeros(width, U))
-        values = np.column_stack([np.minimum.reduceat((hashes ^ s) * s, bounds)[::2] for s in _SEEDS])
-        values = mix(values + U(width) + np.arange(HASHES, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)).view(np.int64)
-        for i, v in zip(have.tolist(), values, strict=True):
-            out[i].append(v)
-    own = [None if o else np.array([xxhash.xxh64_intdigest(x.encode())], U).view(np.int64) for o, x in zip(out, lines, strict=True)]
-    return [np.unique(np.concatenate(o)) if o else w for o, w in zip(out, own, strict=True)]
+    hashes = _window(_codes("".join(lines)), SHINGLE)
+    # Windows [first, first + n) of a line, and between them those that run over its end, which are dropped.
+    bounds = np.column_stack([first, first + size - SHINGLE + 1]).ravel()
+    hashes = np.append(hashes, np.zeros(SHINGLE, U))
+    out = np.empty((len(lines), BANDS), U)
+    for band in range(BANDS):
+        key = np.full(len(lines), band + 1, U)
+        for s in _SEEDS[band * ROWS : (band + 1) * ROWS]:
+            key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat((hashes ^ s) * s, bounds)[::2])
+        out[:, band] = key
+    return out.view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, seen, place, id, minima) of every line that takes part, in one narrow pass; ids are Spark's xxhash64 of lines."""
+    """(doc_id, seen, place, id, buckets) of every line that takes part, in one narrow pass; ids are Spark's xxhash64 of lines."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         chars = 0
 
         def flush() -> pa.RecordBatch:
-            values = minima([h[3] for h in held])
+            values = buckets([h[3] for h in held])
             ids = np.array([xxhash.xxh64_intdigest(h[3].encode(), 42) for h in held], U).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             doc, seen, place, _ = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seen, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), lists], names=["doc_id", "seen", "place", "id", "minima"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seen, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), lists], names=["doc_id", "seen", "place", "id", "buckets"])
 
         for doc, seen, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for place, raw in enumerate(text.split("\n") if text is not None else ()):
@@ -136,7 +126,7 @@ def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "seen", "place")
     lines = shelf.put(signed(docs))
-    spread = lines.select("id", F.explode("minima").alias("bucket"))
+    spread = lines.select("id", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
     members = shelf.put(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node")).distinct())
     wanted = members.select("node").distinct()

@@ -309,6 +309,24 @@ def test_line_dedup(spark, sf_dir, texts):
     assert left == {i: t if i not in want else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i]) for i, t in few.items()}
 
 
+@pytest.mark.parametrize("length, edits", [(11, 0), (60, 1), (96, 2), (140, 3), (330, 7), (1000, 21)])
+def test_similar_lines_meet(spark, length, edits):
+    rng = np.random.default_rng(length)
+    pairs = []
+    while len(pairs) < 400:
+        a = rng.integers(97, 123, length)
+        b = a.copy()
+        for k in range(edits):
+            b[(2 * k + 1) * length // (2 * edits)] = 48 + k % 10
+        a, b = ("".join(map(chr, x)) for x in (a, b if edits else [*b, 46]))
+        sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in (a, b)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.9
+        pairs.append((a, b))
+    docs = spark.createDataFrame([(k, line) for k, pair in enumerate(pairs) for line in pair], "doc_id long, text string").coalesce(1)
+    met = Counter((r.doc_id, r.bucket) for r in linededup.signed(docs).select("doc_id", F.explode("buckets").alias("bucket")).collect())
+    assert len({k for (k, _), n in met.items() if n > 1}) >= 398
+
+
 def test_odd_rows(spark, odd, pieces, tmp_path):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "same"), (2, None), (None, "a text without an id"), (3, "")], "item_id long, text string")
