@@ -26,6 +26,7 @@ score is 0.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections import Counter
@@ -141,7 +142,9 @@ def model(counts: DataFrame, shelf: Shelf) -> DataFrame:
     back = [F.when(F.col(f"h{k}") > 0, d[k] * F.col(f"types{k}") / F.col(f"h{k}")).otherwise(1.0) for k in (0, 1)]
     after = units(F.log(back[1] / back[0]))
     grams = rows.join(sums, "history").select(F.concat(F.lit("g"), "gram").alias("key"), (units(F.log(of(1) / of(0))) - after).alias("v"))
-    return shelf.put(grams.unionByName(sums.select(F.concat(F.lit("h"), "history").alias("key"), after.alias("v"))))
+    out = shelf.put(grams.unionByName(sums.select(F.concat(F.lit("h"), "history").alias("key"), after.alias("v"))))
+    shelf.drop(counts)
+    return out
 
 
 def word_scores(docs: DataFrame, table: DataFrame, shelf: Shelf) -> DataFrame:
@@ -290,6 +293,9 @@ def score(docs: DataFrame, labels: DataFrame, counting: Column, fitting: Column)
     counts and the curve come from; they must not overlap."""
     docs, shelf = docs.select("doc_id", "text"), Shelf(docs.sparkSession)
     table = model(gram_counts(docs.where("doc_id is not null"), labels, counting), shelf)
+    # Shuffles that nothing refers to any more leave the disks when the driver's garbage is collected.
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()
     found = features(docs, word_scores(docs, table, shelf), shelf)
     rows = found.where("doc_id is not null").where(fitting).join(marks(labels), F.col("doc_id") == F.col("label_id"))
     known = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", *FEATURES).toPandas()
