@@ -134,6 +134,12 @@ def n01_normalize_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", normalize.string(F.substring("text", 1, 400)).alias("collapsed"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS collapsed FROM documents")
+def n01_normalize_whole_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As n01_normalize_string, whose SQL reads 400 characters, over whole texts."""
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize.string(F.col("text")).alias("collapsed"))
+
+
 @query(f"SELECT doc_key, {', '.join(f'{_STATUS[f]} AS status_{f}' for f in FIELDS)}, reasons, round(overall, 6) AS overall, validation_status FROM ({VALID}) v")
 def v01_v06_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysed(spark, sf_dir).select("doc_key", *[f"status_{f}" for f in FIELDS], F.array_join("reason_codes", ",").alias("reasons"), F.round("overall", 6).alias("overall"), "validation_status")

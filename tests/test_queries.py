@@ -20,3 +20,8 @@ def test_matches_sql(spark, sf_dir, con, name):
 def test_no_python_in_plans(spark, sf_dir, name):
     plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_whole_strings(spark, sf_dir):
+    got = queries.queries()["n01_normalize_whole_string"](spark, sf_dir).selectExpr("max(length(collapsed))").first()[0]
+    assert got > 400
