@@ -38,12 +38,12 @@ def supported(mime: Column) -> Column:
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, path, content_hash, etag, mime, file_size, modified) of the supported files below a folder.
 
-    The suffix filter comes first and runs on listings, so other files' contents are never read; unreadable files are left out."""
+    Every file is read, as its type is told by its first bytes and only then by its suffix; unreadable files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder)
     clean = F.regexp_replace("path", "^file:/+", "/")
-    rows = files.where(supported(suffix_type(F.col("path")))).select(clean.alias("path"), "content", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    rows = files.where(supported(detect_type(F.col("path"), F.col("content")))).select(clean.alias("path"), "content", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
     hashed = rows.select("path", F.sha2("content", 256).alias("content_hash"), detect_type(F.col("path"), F.col("content")).alias("mime"), "file_size", "modified")
-    return hashed.where(supported(F.col("mime"))).select(F.sha2("path", 256).alias("item_id"), "path", "content_hash", F.col("content_hash").alias("etag"), "mime", "file_size", "modified")
+    return hashed.select(F.sha2("path", 256).alias("item_id"), "path", "content_hash", F.col("content_hash").alias("etag"), "mime", "file_size", "modified")
 
 
 def download_names(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.policy import Policy
 from ..plans.run import analyse
-from ..sources.local import SUPPORTED, suffix_type
+from ..sources.local import detect_type, supported
 
 
 def new_files(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
@@ -16,7 +16,7 @@ def new_files(spark: SparkSession, folder: str, late: str = "1 day") -> DataFram
     later repeats are left to the idempotency key of a batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    kept = files.where(suffix_type(F.col("path")).isin(SUPPORTED)).withColumn("content_hash", F.sha2("content", 256))
+    kept = files.where(supported(detect_type(F.col("path"), F.col("content")))).withColumn("content_hash", F.sha2("content", 256))
     return kept.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 

@@ -15,6 +15,19 @@ def test_discover(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[-1], r.mime) for r in found] == [("x.pdf", "application/pdf")]
 
 
+def test_types_by_first_bytes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = {"scan": b"%PDF-1.4 a", "invoice.pdf.bak": b"%PDF-1.4 b", "photo.data": b"\xff\xd8\xff\xe0", "plain.pdf": b"no header"}
+    for name, content in (want | {"notes.txt": b"nothing", "bare": b"nothing"}).items():
+        (tmp_path / "in" / name).write_bytes(content)
+    folder = str(tmp_path / "in")
+    assert {r.path.rsplit("/", 1)[-1] for r in local.discover(spark, folder).collect()} == set(want)
+    out = str(tmp_path / "out")
+    stream = incremental.new_files(spark, folder).select("path").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    assert stream.awaitTermination(60)
+    assert {r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(out).collect()} == set(want)
+
+
 def test_sessions(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")], "k long, t string").selectExpr("k", "cast(t as timestamp) t")
     assert sorted((r.k, r.n) for r in incremental.sessions(rows, "t", "10 minutes", "k").collect()) == [(1, 1), (1, 2), (2, 1)]
