@@ -30,10 +30,14 @@ def _bits(value: Column) -> Column:
 
 def assign(docs: DataFrame, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, depth, oversize) of every row; shard is the bits of its prefix, '' if one shard is enough."""
-    shelf = Shelf(docs.sparkSession)
+    return _assigned(docs, max_bytes, id_col, text_col, [], Shelf(docs.sparkSession))
+
+
+def _assigned(docs: DataFrame, max_bytes: int, id_col: str, text_col: str, keys: list[str], shelf: Shelf) -> DataFrame:
+    """The rows of assign() with the columns ``keys`` of ``docs`` after them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     address = F.concat(_bits(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), _bits(text), _bits(F.monotonically_increasing_id().cast("string")))
-    left = shelf.put(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), address.alias("address")))
+    left = shelf.put(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), address.alias("address"), *keys))
     total = left.agg(F.sum("n_bytes")).first()[0] or 0
     depth = max(-(-total // max_bytes) - 1, 0).bit_length() + (SPARE if total > max_bytes else 0)
     shallow, done = 0, []
@@ -47,7 +51,7 @@ def assign(docs: DataFrame, max_bytes: int = MAX_BYTES, id_col: str = "doc_id",
         paths = sums.select("prefix", F.explode(F.sequence(F.lit(shallow), F.lit(depth))).alias("depth")).withColumn("at", F.substring(F.col("prefix"), F.lit(1), F.col("depth")))
         directory = paths.join(fits, ["at", "depth"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
         found = addressed.join(directory, "prefix", "left")
-        found = found.select("doc_id", "n_bytes", "address", F.when(F.col("depth").isNull() & F.lit(last), depth).otherwise(F.col("depth")).alias("depth"))
+        found = found.select("doc_id", "n_bytes", "address", *keys, F.when(F.col("depth").isNull() & F.lit(last), depth).otherwise(F.col("depth")).alias("depth"))
         found = shelf.put(found)
         done.append(found.where("depth is not null"))
         if last or found.where("depth is null").isEmpty():
@@ -56,15 +60,18 @@ def assign(docs: DataFrame, max_bytes: int = MAX_BYTES, id_col: str = "doc_id",
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "n_bytes", F.substring(F.col("address"), F.lit(1), F.col("depth")).alias("shard"), F.col("depth").cast("long").alias("depth"), (F.col("n_bytes") > max_bytes).alias("oversize"))
+    return out.select("doc_id", "n_bytes", F.substring(F.col("address"), F.lit(1), F.col("depth")).alias("shard"), F.col("depth").cast("long").alias("depth"), (F.col("n_bytes") > max_bytes).alias("oversize"), *keys)
 
 
 def write(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of ``docs`` to one folder per shard, and return the assignment. Ids must be unique here."""
-    shards = assign(docs, max_bytes, id_col, text_col)
-    key = shards.select(F.col("doc_id").alias("shard_doc_id"), "shard")
-    docs.join(key, F.col(id_col) == F.col("shard_doc_id")).drop("shard_doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return shards
+    """Write the rows of ``docs`` to one folder per shard, and return the assignment.
+
+    Rows are numbered in a stored copy and go by their number, so ids may be null or repeated."""
+    shelf, row = Shelf(docs.sparkSession), "_".join(["row", *docs.columns])
+    numbered = shelf.put(docs.withColumn(row, F.monotonically_increasing_id()))
+    shards = shelf.put(_assigned(numbered, max_bytes, id_col, text_col, [row], shelf))
+    numbered.join(shards.select(row, "shard"), row).drop(row).repartition("shard").write.partitionBy("shard").parquet(path)
+    return shards.drop(row)
 
 
 def sql(max_bytes: int) -> str:

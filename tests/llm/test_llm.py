@@ -114,6 +114,18 @@ def test_shards_fit(spark):
     assert max(Counter(r.shard for r in sharding.assign(same_rows, 1000).collect()).values()) <= 10
 
 
+def test_written_shards_keep_all_rows(spark, tmp_path):
+    rows = [(None, f"no id {i}", i) for i in range(30)] + [(7, "hot" * 10, i) for i in range(60)] + [(i, None if i == 100 else "x" * 40, i) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    shards = sharding.write(docs, str(tmp_path / "shards"), 500)
+    got = spark.read.option("basePath", str(tmp_path / "shards")).schema("doc_id long, text string, extra int, shard string").parquet(str(tmp_path / "shards")).collect()
+    assert Counter((r.doc_id, r.text, r.extra) for r in got) == Counter(rows) and shards.count() == len(rows)
+    size = Counter()
+    for r in got:
+        size[r.shard] += len(r.text or "")
+    assert max(size.values()) <= 500
+
+
 def test_binomial_bound(spark):
     from math import comb
 
