@@ -176,6 +176,15 @@ def p05_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.resolve_collisions(named, taken, DEFAULT.naming).select("doc_key", "name", "collides")
 
 
+@query(f"""WITH p AS ({_NAMED}), q AS (SELECT doc_key, name, coalesce(name IN (SELECT name FROM p WHERE doc_key % 3 = 0), false) AS collides FROM p)
+ SELECT doc_key, CASE WHEN collides THEN replace(name, '.pdf', '_' || substr(sha256(doc_key::VARCHAR), 1, 8) || '.pdf') ELSE name END AS name, collides FROM q""")
+def p05_collisions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p05_collisions, over documents of every kind."""
+    named = _proposed(spark, sf_dir).select("doc_key", "name", "content_hash")
+    taken = named.where("doc_key % 3 = 0").select("name")
+    return naming.resolve_collisions(named, taken, DEFAULT.naming).select("doc_key", "name", "collides")
+
+
 @query(f"SELECT doc_key, proposed, n > 1 AND doc_key <> first AS renamed FROM (SELECT doc_key, coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name AS proposed, min(doc_key) OVER (PARTITION BY coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name) AS first, count(*) OVER (PARTITION BY coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name) AS n FROM ({_NAMED}) p) q")
 def p05_batch_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: names that meet within one batch."""
@@ -235,8 +244,8 @@ def d04_needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.needs_ocr(pages.documents(_pages(spark, sf_dir))).select("doc_id", "needs_ocr")
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pages(spark, sf_dir).where("page_number % 3 = 0").select("doc_id", "page_number", F.posexplode(F.split("text", " ")).alias("i", "word"))
+def _words(spark: SparkSession, sf_dir: str, chosen: str = "page_number % 3 = 0") -> DataFrame:
+    p = _pages(spark, sf_dir).where(chosen).select("doc_id", "page_number", F.posexplode(F.split("text", " ")).alias("i", "word"))
     return p.select("doc_id", "page_number", "i", "word", (F.length("word") * 7 % 101 - 1).cast("double").alias("confidence"))
 
 
@@ -255,6 +264,23 @@ def d07_ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.ocr_documents(ocr).select("doc_id", F.round("average_confidence", 6).alias("average_confidence"))
 
 
+_ALL_WORDS = _WORDS.replace(" WHERE page_number % 3 = 0", "")
+
+
+@query(f"SELECT doc_id, page_number::BIGINT AS page_number, round(coalesce(avg(confidence) FILTER ({_REAL}), 0), 6) AS confidence, count(*) FILTER ({_REAL}) AS word_count FROM ({_ALL_WORDS}) w GROUP BY doc_id, page_number")
+def d06_ocr_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As d06_ocr_pages, over every page."""
+    return pages.ocr_pages(_words(spark, sf_dir, "true")).select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.round("confidence", 6).alias("confidence"), "word_count")
+
+
+@query(f"""SELECT doc_id, round(avg(c), 6) AS average_confidence, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS text_md5 FROM
+ (SELECT doc_id, page_number, coalesce(avg(confidence) FILTER ({_REAL}), 0) AS c FROM ({_ALL_WORDS}) w GROUP BY doc_id, page_number) a JOIN ({_PAGES}) b USING (doc_id, page_number) GROUP BY doc_id""")
+def d07_ocr_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As d07_ocr_documents, over every page and with the pages' texts."""
+    ocr = pages.ocr_pages(_words(spark, sf_dir, "true")).join(_pages(spark, sf_dir), ["doc_id", "page_number"])
+    return pages.ocr_documents(ocr).select("doc_id", F.round("average_confidence", 6).alias("average_confidence"), F.md5("total_text").alias("text_md5"))
+
+
 @query(f"""SELECT doc_id, count(*) AS n_pages, count(*) FILTER (swap) AS n_from_ocr, sum(CASE WHEN swap THEN 8 ELSE n END)::BIGINT AS chars FROM (
  SELECT doc_id, n, (n < 20 OR (length(text) >= 50 AND {_RATIO} < 0.3)) AND page_number % 3 = 0 AS swap FROM (SELECT doc_id, page_number, text, {_STRIPPED} AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS tok FROM ({_PAGES}) p) q) r GROUP BY doc_id""")
 def d08_merge_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,6 +380,13 @@ def a03_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.append_events(runs.where("seq % 2 = 0"), runs.where("seq % 3 = 0"))
 
 
+@query(f"SELECT run_id, seq FROM ({RUNS}) r")
+def a03_append_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a03_append_events, with a history and a batch that overlap and together are all events."""
+    runs = render.run_events(spark, sf_dir).select("run_id", "seq")
+    return audit.append_events(runs.where("seq % 2 = 0"), runs.where("seq % 2 <> 0 or seq % 3 = 0"))
+
+
 @query(f"SELECT item_id, run_id AS existing_run_id, status AS existing_status FROM (SELECT i.item_id, run_id, status, row_number() OVER (PARTITION BY i.item_id ORDER BY updated_at DESC, run_id DESC) AS n FROM (SELECT DISTINCT user_id::VARCHAR AS item_id FROM events) i LEFT JOIN ({_LATEST}) l ON i.item_id = l.item_id AND status IN ('planned', 'applied', 'skipped')) x WHERE n = 1")
 def a05_find_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = audit.latest(render.run_events(spark, sf_dir))
@@ -430,6 +463,15 @@ def s17_plan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.apply_gate(plans, runs, compat=True).select("item_id")
 
 
+@query(f"SELECT doc_key::VARCHAR AS item_id, validation_status FROM ({_PLAN}) p WHERE status = 'planned' AND doc_key % 5 <> 0")
+def s17_gate_all_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As s17_plan_gate, over all plans and a status for each; a fifth have been applied since."""
+    plans = run.plan(_items(spark, sf_dir), DEFAULT, "b1")
+    done = F.col("item_id").cast("long") % 5 == 0
+    runs = plans.select("run_id", F.when(done, "applied").otherwise(F.col("status")).alias("status"), F.lit(1).alias("seq"), F.lit(1).alias("updated_at"))
+    return run.apply_gate(plans, runs, compat=True).select("item_id", "validation_status")
+
+
 # -- evaluation --------------------------------------------------------------------------------------------------------
 
 
