@@ -106,8 +106,52 @@ BUILDERS: dict[str, Callable[[Column, Column], Column]] = {
     "vat_number": lambda text, _: first_match(text, P.VAT_NUMBER, P.VAT_FLAGS),
     "recipient_organization": recipient,
 }
-#: Fields whose match can be shown in the text by its table alone.
-EVIDENCE = {"invoice_date": (P.INVOICE_DATE, P.INVOICE_DATE_FLAGS), "due_date": (P.DUE_DATE, None), "vat_number": (P.VAT_NUMBER, P.VAT_FLAGS), "invoice_number": (P.INVOICE_NUMBER, None), "purchase_order_number": (P.PO_NUMBER, None)}
+
+
+def _where(text: Column, table: list, flags: dict[int, str] | None, good: Callable[[Column], Column] | None = None) -> Column:
+    """The evidence of a table's first match, null if its stripped value isn't ``good``."""
+    if good is None:
+        return evidence(text, table, flags)
+    value = lambda e: strip(F.substring(text, e["start"] + 1, e["end"] - e["start"]))
+    return let(evidence(text, table, flags), lambda e: F.when(good(value(e)), e))
+
+
+def _digit(raw: Column) -> Column:
+    return raw.rlike("(?U)\\d")
+
+
+def _number_evidence(text: Column, doc_type: Column) -> Column:
+    own, by_receipt = first_match(text, P.INVOICE_NUMBER), doc_type.isin("receipt", "proof_of_payment")
+    return F.when(doc_type != "statement", F.when(own.isNotNull(), _where(text, P.INVOICE_NUMBER, None, _digit)).when(by_receipt, _where(text, P.RECEIPT_NUMBER, None, _digit)))
+
+
+def _organization_evidence(text: Column, doc_type: Column) -> Column:
+    top = F.filter(F.slice(F.transform(lines(text), strip), 1, 3), organization_line)
+    trimmed = lambda raw: F.regexp_replace(raw, "[.,;]+$", "")
+    good = lambda raw: (F.length(trimmed(raw)) >= 3) & trimmed(raw).rlike("^\\p{Lu}") & ~bad_organization(trimmed(raw))
+    return F.when(F.size(top) == 0, F.coalesce(*[_where(text, [row], None, good) for row in P.ORGANIZATION]))
+
+
+def _amount_evidence(text: Column, doc_type: Column, whole: bool = False) -> Column:
+    return F.coalesce(*[_where(text, [row], None, _digit) for row in P.total_labelled(whole)], _where(text, P.BARE_RAND, {0: "(?Ud)"}, _digit))
+
+
+def _recipient_evidence(text: Column, doc_type: Column) -> Column:
+    return _where(text, P.RECIPIENT, None, lambda raw: raw.rlike("^\\p{Lu}") & ~raw.rlike(CI + P.NOT_A_RECIPIENT))
+
+
+#: Each field's evidence: that of the pattern which wins in BUILDERS, null where a scan of lines, amounts or symbols does.
+EVIDENCE: dict[str, Callable[[Column, Column], Column]] = {
+    "invoice_number": _number_evidence,
+    "organization_name": _organization_evidence,
+    "invoice_date": lambda text, _: _where(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS),
+    "total_amount": _amount_evidence,
+    "currency": lambda text, _: _where(text, [("", P.RAND_CONTEXT, "", 0.95), ("", P.ISO_IN_TEXT, "", 0.95), ("", "\\bR\\s*\\d", "", 0.88)], {2: "(?Ud)"}),
+    "purchase_order_number": lambda text, _: _where(text, P.PO_NUMBER, None, _digit),
+    "due_date": lambda text, _: _where(text, P.DUE_DATE, None),
+    "vat_number": lambda text, _: _where(text, P.VAT_NUMBER, P.VAT_FLAGS),
+    "recipient_organization": _recipient_evidence,
+}
 
 
 def extract(df: DataFrame, fields: list[str], text: str = "text", whole_amounts: bool = False) -> DataFrame:
@@ -126,10 +170,17 @@ def extract(df: DataFrame, fields: list[str], text: str = "text", whole_amounts:
     return df
 
 
-def with_evidence(df: DataFrame, fields: list[str], text: str = "text") -> DataFrame:
-    """``df`` with ev_<field>: struct<text, start, end> of the first match of the field's table (page is always 1)."""
+def with_evidence(df: DataFrame, fields: list[str], text: str = "text", whole_amounts: bool = False) -> DataFrame:
+    """``df`` (text, and doc_type for invoice_number) with ev_<field>: struct<text, start, end> of the match of the pattern that
+    gave extract() its value (page is always 1); null if there is none."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({f"ev_{f}": evidence(body, *EVIDENCE[f]) for f in fields if f in EVIDENCE})
+    for f in fields:
+        if f == "total_amount":
+            found = _amount_evidence(body, F.col("doc_type"), whole_amounts)
+        else:
+            found = EVIDENCE[f](body, F.col("doc_type"))
+        df = df.withColumn(f"ev_{f}", found)
+    return df
 
 
 # -- plug-ins --------------------------------------------------------------------------------------------------------

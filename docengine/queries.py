@@ -115,6 +115,13 @@ def e01_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_key", F.col("ev_invoice_date.start").cast("long").alias("start_at"), F.col("ev_invoice_date.end").cast("long").alias("end_at"))
 
 
+@query()
+def e01_evidence_of_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e01_evidence_spans, for every field."""
+    found = x.with_evidence(classify(_docs(spark, sf_dir)), FIELDS)
+    return found.select("doc_key", *[F.col(f"ev_{f}.{at}").cast("long").alias(f"{at}_{f}") for f in FIELDS for at in ("start", "end")])
+
+
 # -- normalization and validation ------------------------------------------------------------------------------------
 
 

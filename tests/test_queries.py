@@ -4,6 +4,8 @@ import pytest
 from oracle import same, tables
 
 from docengine import queries
+from docengine.operators import extract
+from docengine.operators.classify import classify
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +35,21 @@ def test_whole_inputs(spark, sf_dir, con):
     for name in ("d07_ocr_all_documents", "a03_append_all_events"):
         same(q[name](spark, sf_dir), con, queries.oracle_sql()[name])
     assert q["a03_append_all_events"](spark, sf_dir).count() == con.execute(f"SELECT count(*) FROM ({queries.RUNS}) r").fetchone()[0]
+
+
+def test_evidence_of_all_fields(spark):
+    texts = [
+        "TAX INVOICE\nInvoice No: INV-77\nDate: 15/01/2024\nDue Date: 30/01/2024\nVAT No: 4123456789\nPurchase Order: PO-9\nBill To: Blue Ridge\nTotal Due: R 1,234.56",
+        "receipt\nReceipt No: 88123\nthank you for your payment\npaid in ZAR 20.00\nTotal: R 20.00", "tax invoice\nsupplier: Acme Trading\nR 45.00",
+    ]
+    docs = classify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    rows = extract.with_evidence(extract.extract(docs, queries.FIELDS), queries.FIELDS).orderBy("i").collect()
+    for r in rows:
+        for f in queries.FIELDS:
+            ev = r[f"ev_{f}"]
+            if ev and f != "currency":
+                assert r.text[ev.start : ev.end].strip().rstrip(".,;" if f == "organization_name" else "") == r[f"raw_{f}"], f
+            assert r[f"raw_{f}"] is not None or ev is None, f
+    for f in ("invoice_number", "invoice_date", "total_amount", "currency", "due_date", "vat_number", "purchase_order_number", "recipient_organization"):
+        assert rows[0][f"ev_{f}"], f
+    assert rows[1].raw_invoice_number is None or rows[1].ev_invoice_number
