@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handled at once; a batch's texts are the only ones a Python worker holds.
 SLICE_ROWS = 256
+#: Bytes of data in a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,11 @@ def map_batches(df: DataFrame, columns: list[str], schema: T.StructType | str, f
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share. It is set here only where the session has none (tests)."""
+    """The checkpoint folder that driver and executors share. It is set here only where a local session has none (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = "/tmp/docengine-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -78,6 +82,11 @@ class Shelf:
             at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most BROADCAST_BYTES; beyond that Spark shuffles both sides of its join."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
+
+
 def text_key(text: str = "text") -> list:
     """128 bits that stand for a text, as two longs; equal texts share them, others practically never."""
     return [F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.lit(2), F.col(text))]

@@ -16,6 +16,10 @@ from .common import Shelf, small_batches
 BLOCK = 256
 #: Items of sets that a worker keeps, so that a text met in several groups is taken apart once.
 CACHE_ITEMS = 4_000_000
+#: How many times more nodes lead a bucket in each round.
+LEADERS = 4
+#: Parts of a node's edges when the least neighbour is joined to them, so that no task has all edges of a hub.
+SALTS = 8
 
 
 def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
@@ -23,7 +27,8 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes: each links a node's neighbours to the least of them.
     Their number grows with the logarithm of the longest path. A step takes two shuffles of the edges that are left; the
-    least neighbour is found with partial aggregation, so a node with very many neighbours is no group of one task."""
+    least neighbour is found with partial aggregation and joined to the edges in SALTS parts, so a node with very many neighbours is
+    no group of one task."""
     now = shelf.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def mark(df: DataFrame) -> tuple:
@@ -33,9 +38,9 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _salted(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _salted(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         old, now = now, shelf.put(small)
         shelf.drop(old)
         after = mark(now)
@@ -46,6 +51,12 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _salted(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) joined to ``least`` (u, m), each node's edges in SALTS parts."""
+    parts = least.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts, ["u", "salt"]).drop("salt")
+
+
 def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, within: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the nodes whose similarity, found by ``verify``, reaches ``threshold`` within some bucket.
 
@@ -80,6 +91,50 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     return components(shelf, edges.unionByName(shelf.put(within(_blocks(named)).distinct())))
 
 
+def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that have a link; ``similar`` takes pairs (a, b) and returns those that are links.
+
+    ``members`` is (bucket, node), buckets of at least two nodes, stored. Rounds follow each other. In each, a bucket whose nodes are
+    still in different components has leaders, which are compared with its nodes in other components; then components are found
+    anew. The first leader is the node that shares most buckets with most others, so copies of one text need no second round.
+    After that LEADERS times as many lead a bucket as in the round before, nodes of its largest component excepted. A pair is
+    compared once in all buckets. It ends when no bucket is left that has nodes of two components and a node that hasn't led,
+    so no link is lost and nothing is capped; nodes of one component are never compared with each other again."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    now = shelf.put(members.join(weight, "node").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(False).alias("led")))
+    tested = edges = roots = None
+    slots = 1
+    while True:
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+        free = now.where(~F.col("led") & (F.col("comp") != F.col("largest"))) if edges is not None else now
+        lead = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "comp")).alias("x"))
+        lead = shelf.put(lead.select("bucket", F.col("x.node").alias("leader"), F.col("x.comp").alias("own")))
+        pairs = now.join(lead, "bucket").where("comp <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        pairs = shelf.put(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        fresh = False
+        if roots is None or not pairs.isEmpty():
+            new = shelf.put(similar(pairs))
+            fresh = roots is None or not new.isEmpty()
+            edges = new if edges is None else edges.unionByName(new)
+        if fresh:
+            roots = shelf.put(components(shelf, edges))
+        led = lead.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
+        named = now.select("bucket", "node", "weight", "led").join(roots, "node", "left").join(led, ["bucket", "node"], "left")
+        named = shelf.put(named.select("bucket", "node", "weight", F.coalesce("root", "node").alias("comp"), (F.col("led") | F.col("leads").isNotNull()).alias("led")))
+        # Buckets of two components or more that have a node outside the largest which hasn't led.
+        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.count_if(~F.col("led")).alias("left"))
+        wide = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max_by("left", F.struct("n", "comp")).alias("own_left"), F.sum("left").alias("left"), F.count("*").alias("comps"))
+        wide = wide.where("comps > 1 and left > own_left").select("bucket", "largest")
+        old, now = now, shelf.put(named.join(wide, "bucket"))
+        for x in (old, named, lead):
+            shelf.drop(x)
+        if now.isEmpty():
+            return roots
+        slots *= LEADERS
+
+
 def _blocks(named: DataFrame) -> DataFrame:
     """(bucket, i, j, node, comp): each node of a bucket of n blocks in the n pairs (i <= j) that its block takes part in."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -1,123 +1,103 @@
-"""Operator 10, fuzzy line deduplication by MinHash. Signatures and comparisons in numpy, see the README on the native form.
+"""Operator 10, fuzzy line deduplication by MinHash. DataFrame functions only.
 
-Lines of LEAST_CHARS characters or more (white space at the ends aside) that resemble each other are one component, of
-which one line stays: the first by (doc_id, hash of the text, place). Two lines resemble each other if the Jaccard
-similarity of their sets of SHINGLE-character shingles is at least 0.8.
+Lines that aren't blank (white space at the ends aside) and resemble each other are one component, of which one line stays: the
+first by (doc_id, hash of the text, place). Two lines resemble each other if the Jaccard similarity of their sets of
+SHINGLE-character shingles is at least 0.8; a shorter line is one shingle.
 
-Equal lines are one node from the start, a 64-bit hash. A line of any length has BANDS buckets, each a hash of ROWS MinHash
-values of the very shingles that are compared, so that a pair at 0.8 shares none with probability (1 - 0.8**4)**14 = 0.0006,
-however long its lines are and wherever they differ. Pairs are compared exactly, by :func:`.components.links`, which lists no
-pairs of a group; components come from its distributed union-find.
+Equal lines are one node from the start, a 128-bit hash. A node's shingles are hashed once and sorted, which puts the set in the order
+of one random permutation, on a ring. The signature reads the ring at STARTS fixed places: from each, the next WINDOW values are the
+WINDOW least ones of the permutation that begins there, and their hash is the bucket of one band. Two lines share it exactly if the
+next WINDOW elements of their union are in both, so with probability 0.8**6 at 0.8, and none of the 20 with 0.002. Three kinds of sets
+give buckets, and lines near a border give those of both kinds, so that a pair at 0.8 always has a kind in common:
 
-Texts are read twice: once for hashes, which are all that is shuffled, and once for the lines that are compared.
+* at most SMALL shingles: windows of 4 from every element. Among u elements on a ring of which at most a fifth differ, 4 in a row are
+  in both, so no pair is missed;
+* FEW or more: windows as above over all shingles;
+* SAMPLED or more left by a fixed choice of the first character (every third of ASCII, and everything else): windows over
+  those. They stand for a permutation that puts the chosen shingles first, and the others needn't be hashed. Lines with WHOLE or
+  more of a choice give no buckets of a wider one.
 
-Defined results: a null text has no lines and stays null; lines that are too short stay always; equal texts under one doc_id
-are one document, all its rows losing the same lines; null ids rank last; other columns pass through unread.
+Pairs are found and compared exactly by :func:`.components.linked`, components come from its distributed union-find.
+
+Defined results: a null text has no lines and stays null; blank lines stay always; equal texts under one doc_id are one document,
+all its rows losing the same lines; null ids rank last; other columns pass through unread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import mix
-from .common import Shelf, map_batches
-from .components import links, verifier, within
+from .common import Shelf, broadcast_if_small
+from .components import linked
 
-SHINGLE, BANDS, ROWS, LEAST_CHARS, SIMILAR = 5, 14, 4, 10, 0.8
-#: Characters whose hashes are made at once; a longer line is one part of its own.
-PART_CHARS = 1 << 18
+SHINGLE, SIMILAR, LEAST_CHARS = 5, 0.8, 1
+WINDOW, STARTS, SMALL_WINDOW = 6, 20, 4
+SMALL, FEW, SAMPLED, WHOLE = 40, 32, 32, 48
 SPACES = " \t\n\x0b\x0c\r"
-U = np.uint64
-_SEEDS = np.random.default_rng(10).integers(1, 1 << 62, BANDS * ROWS, np.uint64) | U(1)
-LINES = "doc_id long, seen long, place int, id long, buckets array<long>"
+#: The second half of a character that Java stores as two is no place to start at.
+ANY = "[^\\uDC00-\\uDFFF]"
+#: First characters of shingles, from the narrowest choice to all.
+FIRST = [*("[" + "".join(f"\\x{c:02x}" for c in range(0, 128, n)) + "\\u0080-\\uD7FF\\uE000-\\uFFFF\\x{10000}-\\x{10FFFF}]" for n in (3,)), ANY]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, seen, place, line, id) of every line that takes part."""
+    """(doc_id, seen, place, line) of every line that takes part."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("seen"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    rows = rows.select("doc_id", "seen", "place", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= LEAST_CHARS)
-    return rows.withColumn("id", F.xxhash64("line"))
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-
-
-def _window(codes: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``size`` characters, put together from windows of powers of two."""
-    width, have = 1, mix(codes + U(0x9E3779B97F4A7C15))
-    out, done = None, 0
-    while True:
-        if size & width:
-            rest = len(codes) - size + 1
-            if rest <= 0:
-                return np.empty(0, U)
-            piece = have[done : done + rest]
-            out = piece if out is None else mix(out * U(0xD1342543DE82EF95) + piece)
-            done += width
-        width *= 2
-        if width > size:
-            return out
-        have = mix(have[: len(have) - width // 2] * U(0x2545F4914F6CDD1D) + have[width // 2 :])
-
-
-def shingle_set(line: str) -> np.ndarray:
-    """Sorted distinct hashes of a line's SHINGLE-character shingles; a shorter line is one shingle."""
-    codes = _codes(line)
-    return np.unique(_window(codes, min(SHINGLE, len(codes)))) if len(codes) else np.empty(0, U)
-
-
-def buckets(lines: list[str]) -> np.ndarray:
-    """The BANDS buckets of each line of SHINGLE characters or more, a row of signed integers each."""
-    size = np.array([len(x) for x in lines])
-    first = np.cumsum(size) - size
-    hashes = _window(_codes("".join(lines)), SHINGLE)
-    # Windows [first, first + n) of a line, and between them those that run over its end, which are dropped.
-    bounds = np.column_stack([first, first + size - SHINGLE + 1]).ravel()
-    hashes = np.append(hashes, np.zeros(SHINGLE, U))
-    out = np.empty((len(lines), BANDS), U)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, U)
-        for s in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-            key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat((hashes ^ s) * s, bounds)[::2])
-        out[:, band] = key
-    return out.view(np.int64)
-
-
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, seen, place, id, buckets) of every line that takes part, in one narrow pass; ids are Spark's xxhash64 of lines."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        chars = 0
-
-        def flush() -> pa.RecordBatch:
-            values = buckets([h[3] for h in held])
-            ids = np.array([xxhash.xxh64_intdigest(h[3].encode(), 42) for h in held], U).view(np.int64)
-            offsets = np.arange(len(values) + 1, dtype=np.int32) * BANDS
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
-            doc, seen, place, _ = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seen, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), lists], names=["doc_id", "seen", "place", "id", "buckets"])
-
-        for doc, seen, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for place, raw in enumerate(text.split("\n") if text is not None else ()):
-                line = raw.strip(SPACES)
-                if len(line) >= LEAST_CHARS:
-                    held.append((doc, seen, place, line))
-                    chars += len(line)
-                    if chars >= PART_CHARS:
-                        yield flush()
-                        held, chars = [], 0
-        if held:
-            yield flush()
-
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("seen"), "text"), ["doc_id", "seen", "text"], LINES, run)
+    rows = rows.select("doc_id", "seen", "place", F.btrim("raw", F.lit(SPACES)).alias("line"))
+    return rows.where(F.length("line") >= LEAST_CHARS)
+
+
+def _id(line: str = "line") -> Column:
+    return F.unhex(F.md5(line))
+
+
+def shingles(line: Column, first: str = ANY) -> Column:
+    """A line's shingles that begin with ``first``, in order; a short line is one shingle."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({first}.{{{SHINGLE - 1}}}))"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
+
+
+def shingle_set(line: Column, first: str = ANY) -> Column:
+    """64-bit hashes of the different shingles."""
+    return F.array_distinct(F.transform(shingles(line, first), lambda s: F.xxhash64(s)))
+
+
+def _around(ring: Column, size: int) -> Column:
+    """A ring with its first elements once more behind it."""
+    return F.concat(ring, F.slice(ring, 1, size - 1))
+
+
+def _windows(around: Column, n: Column, kind: int, size: int, every: bool) -> Column:
+    """Hashes of ``size`` elements in a row of a ring of ``n``, from every element or from the first after each of STARTS places."""
+    at = F.sequence(F.lit(1), n)
+    if not every:
+        part = lambda i: F.floor(F.get(around, i - 1) * F.lit(STARTS / 2.0**64))
+        at = F.filter(at, lambda i: (i == 1) | (part(i) != part(i - 1)))
+    return F.transform(at, lambda i: F.xxhash64(F.lit(kind), *[F.get(around, i + k) for k in range(-1, size - 1)]))
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """(id, buckets) of different lines (id, line). What is used twice is a column of its own, so that it is evaluated once."""
+    rows, last = lines, len(FIRST) - 1
+    for k, first in enumerate(FIRST):
+        found = F.sort_array(shingle_set(F.col("line"), first))
+        rows = rows.withColumn(f"ring{k}", F.when(F.col(f"n{k - 1}") < WHOLE, found) if k else found).withColumn(f"n{k}", F.size(f"ring{k}"))
+    rows = rows.select("id", *[f"n{k}" for k in range(last + 1)], *[_around(F.col(f"ring{k}"), WINDOW).alias(f"ring{k}") for k in range(last + 1)])
+    n, everything = F.col(f"n{last}"), F.col(f"ring{last}")
+    kinds = [F.when(F.col(f"n{k}") >= (FEW if k == last else SAMPLED), _windows(F.col(f"ring{k}"), F.col(f"n{k}"), k, WINDOW, False)) for k in range(last + 1)]
+    kinds.append(F.when(n.between(1, SMALL), _windows(everything, n, last + 1, SMALL_WINDOW, True)))
+    none = F.array().cast("array<bigint>")
+    return rows.select("id", F.array_distinct(F.concat(*[F.coalesce(x, none) for x in kinds])).alias("buckets"))
+
+
+def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines resemble each other; ``texts`` is (node, line)."""
+    a = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
+    rows = pairs.join(b, "b").join(a, "a").select("a", "b", shingle_set(F.col("line_a")).alias("set_a"), shingle_set(F.col("line_b")).alias("set_b"))
+    both = rows.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("sizes"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.where(F.col("both") >= F.lit(SIMILAR) * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
@@ -125,20 +105,28 @@ def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     shelf = shelf or Shelf(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "seen", "place")
-    lines = shelf.put(signed(docs))
-    spread = lines.select("id", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
-    members = shelf.put(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node")).distinct())
-    wanted = members.select("node").distinct()
-    texts = _lines(docs).join(wanted, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    texts = shelf.put(texts.select(F.col("id").alias("node"), F.col("line").alias("text")))
-    roots = links(shelf, members, verifier(texts, shingle_set, "long"), SIMILAR, within(texts, shingle_set, "long", SIMILAR))
+    different = _lines(docs).select(_id().alias("id"), "line").groupBy("id").agg(F.any_value("line").alias("line"))
+    signatures = shelf.put(signed(different))
+    spread = signatures.select(F.col("id").alias("node"), F.explode("buckets").alias("bucket"))
+    # Only buckets are shuffled here, counted before that; a line has no bucket twice.
+    shared = shelf.put(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    members = shelf.put(spread.join(broadcast_if_small(shared, 8), "bucket").select("bucket", "node"))
+    shelf.drop(signatures)
+    shelf.drop(shared)
+    wanted = shelf.put(members.select("node").distinct())
+    texts = _lines(docs).select(_id().alias("node"), "line").join(broadcast_if_small(wanted, 16), "node", "left_semi")
+    texts = shelf.put(texts.groupBy("node").agg(F.any_value("line").alias("line")))
+    roots = shelf.put(linked(shelf, members, lambda pairs: _similar(texts, pairs)))
+    shelf.drop(members)
+    shelf.drop(texts)
+    lines = shelf.put(_lines(docs).select("doc_id", "seen", "place", _id().alias("id")))
     # Each node's first line, then each component's; lines whose node has one line and no link need no further look.
     firsts = lines.groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("times"))
-    rooted = shelf.put(firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").where("times > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first"))
+    rooted = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").where("times > 1 or root is not null")
+    rooted = shelf.put(rooted.select("id", F.coalesce("root", "id").alias("root"), "first"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    heads = rooted.join(heads, "root").select("id", "head")
-    lost = lines.select("doc_id", "seen", "place", "id").join(heads, "id")
+    heads = shelf.put(rooted.join(heads, "root").select("id", "head"))
+    lost = lines.join(broadcast_if_small(heads, 64), "id")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("seen") == F.col("head.seen")) & (F.col("place") == F.col("head.place"))
     return lost.where(~kept).groupBy("doc_id", "seen").agg(F.sort_array(F.collect_set("place")).alias("lines"))
 
@@ -155,9 +143,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines, all other columns as they were; n_chars, if there is one, follows the text."""
-    lost = dropped(docs).select(F.col("doc_id").alias("lost_id"), F.col("seen").alias("lost_seen"), F.col("lines").alias("lost_lines"))
+    shelf = Shelf(docs.sparkSession)
+    lost = shelf.put(dropped(docs, shelf)).select(F.col("doc_id").alias("lost_id"), F.col("seen").alias("lost_seen"), F.col("lines").alias("lost_lines"))
     names, mark = docs.columns, "_".join(["lost", *docs.columns])
+    n_lines = lost.agg(F.count("*"), F.sum(F.size("lost_lines"))).first()
     lost = lost.select(F.struct("lost_id", "lost_seen", "lost_lines").alias(mark))
+    lost = broadcast_if_small(lost, 32, n_lines[0] + (n_lines[1] or 0) // 8)
     joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(f"`{mark}`.lost_id")) & (F.xxhash64(docs["text"]) == F.col(f"`{mark}`.lost_seen")), "left")
     gone = F.col(f"`{mark}`.lost_lines")
     places = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
