@@ -84,6 +84,21 @@ def state_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("from_status", F.lag("to_status", 1, "pending").over(w))
 
 
+def transitions(wanted: DataFrame) -> DataFrame:
+    """Requests (run_id, seq, from_status, to_status, occurred_at, ...) with the status they lead to, whether the run moved, and
+    the event to append: state_transition with from and to. Illegal ones are ignored: the status stays and there is no event."""
+    key = F.concat_ws(">", "from_status", "to_status")
+    moved = F.coalesce(key.isin([f"{a}>{b}" for a, b in TRANSITIONS]), F.lit(False))
+    event = F.struct(F.lit("state_transition").alias("event_type"), F.col("occurred_at"), F.create_map(F.lit("from"), "from_status", F.lit("to"), "to_status").alias("data"))
+    return wanted.withColumns({"moved": moved, "status": F.when(moved, F.col("to_status")).otherwise(F.col("from_status")), "event": F.when(moved, event)})
+
+
+def timestamp(text: Column, otherwise: Column | None = None) -> Column:
+    """The time that an ISO text states, else ``otherwise`` (null; a caller may give the current time)."""
+    found = F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}([T ].*)?$"), F.try_to_timestamp(text))
+    return found if otherwise is None else F.coalesce(found, otherwise)
+
+
 def quarantine_reason(codes: Column, words: dict[str, str]) -> Column:
     """'quarantined: ' and the words of the codes, or a sentence that there is none."""
     names = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])

@@ -37,12 +37,28 @@ def propose(results: DataFrame, policy: Policy, extension: Column, content_hash:
 
 
 def batch_collisions(proposed: DataFrame, key: str = "item_id") -> DataFrame:
-    """Extension: names that several documents of one batch would get; all but the least key get a hash suffix."""
+    """Extension: names that several documents of one batch would get; all but the least key get a suffix of their content hash, and
+    copies of one content, which would get the same one, one of their key as well. ``proposed`` should be stored."""
+    stem, ext = F.regexp_replace("proposed_path", "\\.[^./]*$", ""), F.regexp_extract("proposed_path", "(\\.[^./]*)$", 1)
+    mark = F.substring("content_hash", 1, 8)
     first = proposed.groupBy("proposed_path").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    out = proposed.join(first, "proposed_path", "left")
+    same = proposed.groupBy("proposed_path", mark.alias("_mark")).agg(F.count("*").alias("_copies")).where("_copies > 1").withColumnRenamed("proposed_path", "_path")
+    out = proposed.join(first, "proposed_path", "left").join(same, (F.col("proposed_path") == F.col("_path")) & (mark == F.col("_mark")), "left")
     clash = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
-    stem, ext = F.regexp_replace("proposed_path", "\\.[^./]*$", ""), F.regexp_extract("proposed_path", "(\\.[^./]*)$", 1)
-    return out.withColumn("proposed_path", F.when(clash, F.concat(stem, F.lit("_"), F.substring("content_hash", 1, 8), ext)).otherwise(F.col("proposed_path"))).withColumn("renamed", clash).drop("_first", "_n")
+    own = F.when(F.col("_copies").isNotNull(), F.concat(F.lit("_"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8))).otherwise("")
+    renamed = F.when(clash, F.concat(stem, F.lit("_"), mark, own, ext)).otherwise(F.col("proposed_path"))
+    return out.withColumns({"proposed_path": renamed, "renamed": clash}).drop("_first", "_n", "_path", "_mark", "_copies")
+
+
+def results(analysed: DataFrame, policy: Policy) -> DataFrame:
+    """``analysed`` with the result that a caller of one document gets: overall and doc_confidence to 3 places, and ``fields`` with raw,
+    normalized (the raw one where normalization failed), confidence to 3 places (0 if the field wasn't found) and required."""
+    places = lambda c: F.round(c, 3)
+    shown = [
+        F.struct(F.col(f"raw_{f.id}").alias("raw"), value(f.id).alias("normalized"), places(F.coalesce(f"adj_{f.id}", f"conf_{f.id}", F.lit(0.0))).alias("confidence"), F.lit(f.required).alias("required")).alias(f.id)
+        for f in policy.fields
+    ]
+    return analysed.withColumns({"fields": F.struct(*shown), "overall": places(F.col("overall")), "doc_confidence": places(F.col("doc_confidence"))})
 
 
 def plan(docs: DataFrame, policy: Policy, batch_id: str, runs: DataFrame | None = None, apply: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from .operators.classify import classify
 from .operators.validate import validate
 from .plans import audit, evaluate, render, run
 from .plans.policy import DEFAULT
+from .plans.store import stored
 from .sources import local, manifest
 from .streaming import incremental
 
@@ -103,10 +104,10 @@ for _name, _field in (
     _field_query(_name, _field)
 
 
-@query(f"SELECT doc_key, doc_type, length(raw_invoice_number) AS n_number, {' , '.join(f'raw_{f} IS NOT NULL AS has_{f}' for f in FIELDS)} FROM ({TRUTH}) t")
+@query(f"SELECT doc_key, doc_type, {', '.join(f'raw_{f}, conf_{f}' for f in FIELDS)} FROM ({TRUTH}) t")
 def e20_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = x.extractor("rules-v1")(classify(_docs(spark, sf_dir)), FIELDS)
-    return found.select("doc_key", "doc_type", F.length("raw_invoice_number").cast("long").alias("n_number"), *[F.col(f"raw_{f}").isNotNull().alias(f"has_{f}") for f in FIELDS])
+    return found.select("doc_key", "doc_type", *[F.col(f"{p}_{f}") for f in FIELDS for p in ("raw", "conf")])
 
 
 @query(f"SELECT doc_key, strpos(text, raw_invoice_date) - 1 AS start_at, strpos(text, raw_invoice_date) - 1 + length(raw_invoice_date) AS end_at FROM ({TRUTH}) t JOIN (SELECT doc_key, text FROM ({render.docs_sql()}) q) s USING (doc_key) WHERE raw_invoice_date IS NOT NULL")
@@ -136,14 +137,8 @@ def n02_n03_typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_key", normalize.decimal(F.col("raw_total_amount")).cast("double").alias("total"), normalize.date(F.col("raw_invoice_date")).cast("string").alias("invoice_date"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS collapsed FROM documents")
-def n01_normalize_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", normalize.string(F.substring("text", 1, 400)).alias("collapsed"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS collapsed FROM documents")
-def n01_normalize_whole_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As n01_normalize_string, whose SQL reads 400 characters, over whole texts."""
+def n01_normalize_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", normalize.string(F.col("text")).alias("collapsed"))
 
 
@@ -176,18 +171,10 @@ def p06_o05_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proposed(spark, sf_dir).select("doc_key", "category", "proposed_path")
 
 
-@query(f"SELECT doc_key, CASE WHEN doc_key % 3 = 0 THEN replace(name, '.pdf', '_' || substr(sha256(doc_key::VARCHAR), 1, 8) || '.pdf') ELSE name END AS name, doc_key % 3 = 0 AS collides FROM ({_NAMED}) p WHERE variant = 0")
-def p05_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _proposed(spark, sf_dir).where("variant = 0")
-    taken = named.where("doc_key % 3 = 0").select("name")
-    return naming.resolve_collisions(named, taken, DEFAULT.naming).select("doc_key", "name", "collides")
-
-
 @query(f"""WITH p AS ({_NAMED}), q AS (SELECT doc_key, name, coalesce(name IN (SELECT name FROM p WHERE doc_key % 3 = 0), false) AS collides FROM p)
  SELECT doc_key, CASE WHEN collides THEN replace(name, '.pdf', '_' || substr(sha256(doc_key::VARCHAR), 1, 8) || '.pdf') ELSE name END AS name, collides FROM q""")
-def p05_collisions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p05_collisions, over documents of every kind."""
-    named = _proposed(spark, sf_dir).select("doc_key", "name", "content_hash")
+def p05_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = stored(_proposed(spark, sf_dir).select("doc_key", "name", "content_hash"))
     taken = named.where("doc_key % 3 = 0").select("name")
     return naming.resolve_collisions(named, taken, DEFAULT.naming).select("doc_key", "name", "collides")
 
@@ -195,7 +182,7 @@ def p05_collisions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_key, proposed, n > 1 AND doc_key <> first AS renamed FROM (SELECT doc_key, coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name AS proposed, min(doc_key) OVER (PARTITION BY coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name) AS first, count(*) OVER (PARTITION BY coalesce('Finance/' || folder || '/' || yy || '/' || mm, 'inbox') || '/' || name) AS n FROM ({_NAMED}) p) q")
 def p05_batch_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: names that meet within one batch."""
-    rows = _proposed(spark, sf_dir).withColumn("proposed", F.col("proposed_path"))
+    rows = stored(_proposed(spark, sf_dir).select("doc_key", "proposed_path", "content_hash")).withColumn("proposed", F.col("proposed_path"))
     return run.batch_collisions(rows, "doc_key").select("doc_key", "proposed", "renamed")
 
 
@@ -221,6 +208,13 @@ def f07_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_key", "doc_type", "raw_invoice_number", "raw_organization_name", "raw_total_amount", "conf_invoice_number", "raw_vat_number", "extractor_version")
 
 
+@query(f"SELECT doc_key, doc_type, round(overall, 3) AS overall, validation_status, {', '.join(f'coalesce(norm_{f}, raw_{f}) AS value_{f}, coalesce(round(adj_{f}, 3), 0.0) AS conf_{f}' for f in FIELDS)} FROM ({VALID}) v")
+def u06_document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of one document at a time, as rows."""
+    out = run.results(_analysed(spark, sf_dir), DEFAULT)
+    return out.select("doc_key", "doc_type", "overall", "validation_status", *[F.col(f"fields.{f}.{a}").alias(f"{b}_{f}") for f in FIELDS for a, b in (("normalized", "value"), ("confidence", "conf"))])
+
+
 # -- pages -------------------------------------------------------------------------------------------------------------
 
 
@@ -251,12 +245,12 @@ def d04_needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.needs_ocr(pages.documents(_pages(spark, sf_dir))).select("doc_id", "needs_ocr")
 
 
-def _words(spark: SparkSession, sf_dir: str, chosen: str = "page_number % 3 = 0") -> DataFrame:
-    p = _pages(spark, sf_dir).where(chosen).select("doc_id", "page_number", F.posexplode(F.split("text", " ")).alias("i", "word"))
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir).select("doc_id", "page_number", F.posexplode(F.split("text", " ")).alias("i", "word"))
     return p.select("doc_id", "page_number", "i", "word", (F.length("word") * 7 % 101 - 1).cast("double").alias("confidence"))
 
 
-_WORDS = f"SELECT doc_id, page_number, unnest(w) AS word, (length(unnest(w)) * 7 % 101 - 1)::DOUBLE AS confidence FROM (SELECT doc_id, page_number, string_split(text, ' ') AS w FROM ({_PAGES}) p WHERE page_number % 3 = 0) y"
+_WORDS = f"SELECT doc_id, page_number, unnest(w) AS word, (length(unnest(w)) * 7 % 101 - 1)::DOUBLE AS confidence FROM (SELECT doc_id, page_number, string_split(text, ' ') AS w FROM ({_PAGES}) p) y"
 _REAL = "confidence >= 0 AND trim(word, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''"
 
 
@@ -265,26 +259,10 @@ def d06_ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.ocr_pages(_words(spark, sf_dir)).select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.round("confidence", 6).alias("confidence"), "word_count")
 
 
-@query(f"SELECT doc_id, round(avg(c), 6) AS average_confidence FROM (SELECT doc_id, page_number, coalesce(avg(confidence) FILTER ({_REAL}), 0) AS c FROM ({_WORDS}) w GROUP BY doc_id, page_number) p GROUP BY doc_id")
-def d07_ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ocr = pages.ocr_pages(_words(spark, sf_dir)).withColumn("text", F.lit("x"))
-    return pages.ocr_documents(ocr).select("doc_id", F.round("average_confidence", 6).alias("average_confidence"))
-
-
-_ALL_WORDS = _WORDS.replace(" WHERE page_number % 3 = 0", "")
-
-
-@query(f"SELECT doc_id, page_number::BIGINT AS page_number, round(coalesce(avg(confidence) FILTER ({_REAL}), 0), 6) AS confidence, count(*) FILTER ({_REAL}) AS word_count FROM ({_ALL_WORDS}) w GROUP BY doc_id, page_number")
-def d06_ocr_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As d06_ocr_pages, over every page."""
-    return pages.ocr_pages(_words(spark, sf_dir, "true")).select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.round("confidence", 6).alias("confidence"), "word_count")
-
-
 @query(f"""SELECT doc_id, round(avg(c), 6) AS average_confidence, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS text_md5 FROM
- (SELECT doc_id, page_number, coalesce(avg(confidence) FILTER ({_REAL}), 0) AS c FROM ({_ALL_WORDS}) w GROUP BY doc_id, page_number) a JOIN ({_PAGES}) b USING (doc_id, page_number) GROUP BY doc_id""")
-def d07_ocr_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As d07_ocr_documents, over every page and with the pages' texts."""
-    ocr = pages.ocr_pages(_words(spark, sf_dir, "true")).join(_pages(spark, sf_dir), ["doc_id", "page_number"])
+ (SELECT doc_id, page_number, coalesce(avg(confidence) FILTER ({_REAL}), 0) AS c FROM ({_WORDS}) w GROUP BY doc_id, page_number) a JOIN ({_PAGES}) b USING (doc_id, page_number) GROUP BY doc_id""")
+def d07_ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ocr = pages.ocr_pages(_words(spark, sf_dir)).join(_pages(spark, sf_dir), ["doc_id", "page_number"])
     return pages.ocr_documents(ocr).select("doc_id", F.round("average_confidence", 6).alias("average_confidence"), F.md5("total_text").alias("text_md5"))
 
 
@@ -305,13 +283,16 @@ def s02_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("item_id"), F.sha2("html", 256).alias("content_hash"))
 
 
-_PATHS = "SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.tif' WHEN 3 THEN '.txt' ELSE '' END AS path FROM pages"
+_BY_BYTES = "CASE page_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/bmp' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'image/tiff' END"
+_BY_NAME = "CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/tiff' ELSE 'application/octet-stream' END"
 
 
-@query(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/tiff' ELSE 'application/octet-stream' END AS mime, page_id % 5 < 3 AS supported FROM ({_PATHS}) p")
+@query(f"SELECT page_id, coalesce({_BY_BYTES}, {_BY_NAME}) AS mime, coalesce({_BY_BYTES}, {_BY_NAME}) <> 'application/octet-stream' AS supported FROM pages")
 def s03_s04_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.element_at(F.array(*[F.lit(s) for s in (".pdf", ".JPG", ".tif", ".txt", "")]), (F.col("page_id") % 5 + 1).cast("int"))
-    mime = local.detect_type(F.concat("url", ends), F.encode("html", "UTF-8"))
+    """Files below the pages' urls, some with first bytes that decide, the others typed by their suffix."""
+    ends = F.element_at(F.array(*[F.lit(s) for s in ("/x.pdf", "/x.JPG", "/x.tif", "/x.txt", "/x")]), (F.col("page_id") % 5 + 1).cast("int"))
+    starts = F.get(F.array(*[F.lit(s) for s in ("%PDF-1.4", "BM", "RIFF1234WEBP", "II*\0")]), (F.col("page_id") % 7).cast("int"))
+    mime = local.detect_type(F.concat("url", ends), F.encode(F.concat(F.coalesce(starts, F.lit("")), "html"), "UTF-8"))
     return _table(spark, sf_dir, "pages").select("page_id", mime.alias("mime"), local.supported(mime).alias("supported"))
 
 
@@ -381,15 +362,9 @@ def a04_load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", F.size("events").cast("long").alias("n_events"), F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("path"))
 
 
-@query(f"SELECT run_id, seq FROM ({RUNS}) r WHERE seq % 2 = 0 OR seq % 3 = 0")
-def a03_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = render.run_events(spark, sf_dir).select("run_id", "seq")
-    return audit.append_events(runs.where("seq % 2 = 0"), runs.where("seq % 3 = 0"))
-
-
 @query(f"SELECT run_id, seq FROM ({RUNS}) r")
-def a03_append_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As a03_append_events, with a history and a batch that overlap and together are all events."""
+def a03_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history and a batch that overlap and together are all events."""
     runs = render.run_events(spark, sf_dir).select("run_id", "seq")
     return audit.append_events(runs.where("seq % 2 = 0"), runs.where("seq % 2 <> 0 or seq % 3 = 0"))
 
@@ -424,6 +399,21 @@ def o08_illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.illegal(audit.state_changes(events)).select("run_id", "seq", "from_status", "to_status")
 
 
+@query(f"SELECT run_id, seq, from_status, to_status, CASE WHEN (from_status, to_status) IN (VALUES {_LEGAL}) THEN to_status ELSE from_status END AS status, (from_status, to_status) IN (VALUES {_LEGAL}) AS moved FROM ({_CHANGES}) c")
+def o10_a08_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to move a run; illegal ones are ignored."""
+    wanted = audit.state_changes(render.run_events(spark, sf_dir).select("run_id", "seq", F.col("status").alias("to_status"), F.col("updated_at").alias("occurred_at")))
+    out = audit.transitions(wanted)
+    return out.select("run_id", "seq", "from_status", "to_status", "status", "moved")
+
+
+@query("SELECT event_id, epoch_us(CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ts WHEN 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END) AS at_us FROM events")
+def a10_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = F.when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 4 == 3, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("no time")
+    return e.select("event_id", F.unix_micros(audit.timestamp(text)).alias("at_us"))
+
+
 _WORDS_OF = "CASE c WHEN 'missing_required_field' THEN 'one or more required fields could not be extracted' WHEN 'low_confidence' THEN 'extraction confidence is below the review threshold' END"
 
 
@@ -463,17 +453,10 @@ def o02_skip_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.plan(items, DEFAULT, "b1", runs=old).select("item_id", "status")
 
 
-@query(f"SELECT doc_key::VARCHAR AS item_id FROM ({_PLAN}) p WHERE status = 'planned' AND validation_status = 'review' AND doc_key % 2 = 0")
-def s17_plan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = run.plan(_items(spark, sf_dir), DEFAULT, "b1").where("validation_status = 'review'")
-    runs = plans.where("item_id % 2 = 0").select("run_id", "status", F.lit(1).alias("seq"), F.lit(1).alias("updated_at"))
-    return run.apply_gate(plans, runs, compat=True).select("item_id")
-
-
 @query(f"SELECT doc_key::VARCHAR AS item_id, validation_status FROM ({_PLAN}) p WHERE status = 'planned' AND doc_key % 5 <> 0")
-def s17_gate_all_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As s17_plan_gate, over all plans and a status for each; a fifth have been applied since."""
-    plans = run.plan(_items(spark, sf_dir), DEFAULT, "b1")
+def s17_plan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plans and a status for each; a fifth have been applied since."""
+    plans = stored(run.plan(_items(spark, sf_dir), DEFAULT, "b1").select("run_id", "item_id", "status", "validation_status", "proposed_path"))
     done = F.col("item_id").cast("long") % 5 == 0
     runs = plans.select("run_id", F.when(done, "applied").otherwise(F.col("status")).alias("status"), F.lit(1).alias("seq"), F.lit(1).alias("updated_at"))
     return run.apply_gate(plans, runs, compat=True).select("item_id", "validation_status")

@@ -1,7 +1,8 @@
-"""Files of a folder: discovery, types, download names, and decisions on renames. Only renames themselves run on the driver."""
+"""Files of a folder: discovery, types, download names, decisions on renames, and renames."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,27 +64,56 @@ def changed(items: DataFrame, listing: DataFrame) -> DataFrame:
 
 def decide(plans: DataFrame, listing: DataFrame) -> DataFrame:
     """``plans`` (path, proposed_path, op, etag, dry_run) with a decision: missing, etag_mismatch, metadata_only, collision, dry_run
-    or rename, in this order. A null etag skips the guard. Two joins with the listing by path."""
+    or rename, in this order. A null etag skips the guard. Of plans that share a target the one of the least path may go on, as if
+    they came one after another. Two joins with the listing by path, one grouping of the targets."""
     now = listing.select("path", F.col("etag").alias("_now"))
     taken = listing.select(F.col("path").alias("_taken")).distinct()
-    out = plans.join(now, "path", "left").join(taken, F.col("proposed_path") == F.col("_taken"), "left")
+    moves = plans.where("op <> 'metadata_update' and not dry_run").groupBy(F.col("proposed_path").alias("_target")).agg(F.min("path").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    out = plans.join(now, "path", "left").join(taken, F.col("proposed_path") == F.col("_taken"), "left").join(moves, F.col("proposed_path") == F.col("_target"), "left")
     decision = (
         F.when(F.col("_now").isNull(), "missing")
         .when(F.col("etag").isNotNull() & (F.col("etag") != F.col("_now")), "etag_mismatch")
         .when(F.col("op") == "metadata_update", "metadata_only")
         .when(F.col("_taken").isNotNull(), "collision")
         .when(F.col("dry_run"), "dry_run")
+        .when(F.col("_first") != F.col("path"), "collision")
         .otherwise("rename")
     )
-    return out.withColumn("decision", decision).drop("_now", "_taken")
-
-
-def rename_approved(decisions: DataFrame, root: str = "") -> int:
-    """Carry out the renames of an approved plan on the driver's file system, streaming over its rows; returns how many."""
-    n = 0
-    for row in decisions.where(F.col("decision") == "rename").select("path", "proposed_path").toLocalIterator():
-        target = os.path.join(root, row["proposed_path"])
-        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-        os.rename(row["path"], target)
-        n += 1
-    return n
+    return out.withColumn("decision", decision).drop("_now", "_taken", "_target", "_first", "_n")
+
+
+def _rename(path: str, target: str, etag: str | None) -> str:
+    """What became of one rename. The target is created exclusively, so nothing is ever overwritten. A repeated attempt finds the
+    source gone and the target with its content, and counts as renamed."""
+    if not os.path.exists(path):
+        return "renamed" if etag and os.path.exists(target) and _hash(target) == etag else "missing"
+    if etag and _hash(path) != etag:
+        return "etag_mismatch"
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    try:
+        os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    except FileExistsError:
+        return "collision"
+    os.replace(path, target)
+    return "renamed"
+
+
+def _hash(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def rename_approved(decisions: DataFrame, outcomes: str, root: str = "") -> DataFrame:
+    """Carry out the renames of an approved plan (path, proposed_path, decision and, if there is one, etag as SHA-256 of the content)
+    on a file system that all executors see. Content and target are looked at once more at that moment. The tasks' outcomes
+    (path, proposed_path, outcome) are written to the folder ``outcomes``, which is read back."""
+    etag = F.col("etag") if "etag" in decisions.columns else F.lit(None)
+    rows = decisions.where(F.col("decision") == "rename").select("path", "proposed_path", etag.cast("string").alias("etag"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            done = [_rename(p, os.path.join(root, t), e) for p, t, e in zip(batch["path"], batch["proposed_path"], batch["etag"], strict=True)]
+            yield batch[["path", "proposed_path"]].assign(outcome=done)
+
+    rows.mapInPandas(run, "path string, proposed_path string, outcome string").write.mode("append").parquet(outcomes)
+    return decisions.sparkSession.read.schema("path string, proposed_path string, outcome string").parquet(outcomes)

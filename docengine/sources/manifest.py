@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Runs of a plan that is one JSON document.
+PLAN_ROWS = 10_000
 MANIFEST = "path string, expected map<string,string>"
 
 
@@ -24,8 +26,10 @@ def write_plan(runs: DataFrame, batch_id: str, path: str) -> None:
 
 
 def plan_array(runs: DataFrame, batch_id: str) -> DataFrame:
-    """One row with the batch's runs as a JSON array, for plans small enough to be one document."""
+    """One row with the batch's runs as a JSON array, for plans of at most PLAN_ROWS runs, which is checked; write_plan has no bound."""
     rows = runs.where(F.col("batch_id") == batch_id)
+    if rows.limit(PLAN_ROWS + 1).count() > PLAN_ROWS:
+        raise ValueError(f"batch {batch_id} has more than {PLAN_ROWS} runs: use write_plan")
     return rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sorted(rows.columns))))).alias("plan"))
 
 

@@ -24,19 +24,6 @@ def test_no_python_in_plans(spark, sf_dir, name):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_whole_strings(spark, sf_dir):
-    got = queries.queries()["n01_normalize_whole_string"](spark, sf_dir).selectExpr("max(length(collapsed))").first()[0]
-    assert got > 400
-
-
-def test_whole_inputs(spark, sf_dir, con):
-    q = queries.queries()
-    assert q["d06_ocr_all_pages"](spark, sf_dir).where("page_number % 3 <> 0").count() > 0
-    for name in ("d07_ocr_all_documents", "a03_append_all_events"):
-        same(q[name](spark, sf_dir), con, queries.oracle_sql()[name])
-    assert q["a03_append_all_events"](spark, sf_dir).count() == con.execute(f"SELECT count(*) FROM ({queries.RUNS}) r").fetchone()[0]
-
-
 def test_evidence_of_all_fields(spark):
     texts = [
         "TAX INVOICE\nInvoice No: INV-77\nDate: 15/01/2024\nDue Date: 30/01/2024\nVAT No: 4123456789\nPurchase Order: PO-9\nBill To: Blue Ridge\nTotal Due: R 1,234.56",
