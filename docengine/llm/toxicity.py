@@ -9,10 +9,11 @@ what both share. For a character c after a history h:
 
 and P_class = P_shared(c | h') if the class never saw h. D_class is n1 / (n1 + 2 n2) of its counts. Only the difference of
 the two log-likelihoods decides, and in it P_shared cancels wherever neither class saw hc: then it is that of the classes'
-backoff weights. So the model is a table of one number for each n-gram seen and one for each history. It stays a Spark table
-by their exact keys, whatever its size: the distinct words of the texts are broken up and joined to it, and a word's numbers are
-added up in units of 1 / UNIT, so that no order of summing matters. The most frequent words, at most HOT_WORDS, are sent to
-workers; the words of a text that aren't among them are joined by Spark, which gives the same values.
+backoff weights. So the model is a table of one number for each n-gram seen and one for each history, a Spark table by their exact
+keys, whatever its size, in units of 1 / UNIT, so that no order of summing matters. A model of at most MODEL_KEYS keys, which is
+checked, is sent to the workers, who score texts in one narrow pass. For a larger one the distinct words of the texts are broken up
+and joined to the table; their most frequent ones, at most HOT_WORDS, are sent to workers, and the words of a text that aren't among
+them are joined by Spark. Both ways give the same values.
 
 A word's difference is the sum over its characters. A text's features are the mean over its words, the largest mean of a
 window of WINDOW consecutive words, and the mean of its TOP_WORDS highest words, all normalised by length; a logistic curve turns them into the score. It is fitted on
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ HOT_WORDS, HOT_CHARS, HOT_STEPS, UNIT = 200_000, 64, 8, 1e9
 #: Lengths of the shared levels below ORDER, and their discount.
 BACKOFF, DISCOUNT = (5, 3, 1), 0.75
 FLUSH_WORDS = 200_000
+#: Keys of a model that is sent to workers whole, 16 bytes each; words that a worker keeps.
+MODEL_KEYS, CACHE_WORDS = 8_000_000, 400_000
 FEATURES = ["mean", "stretch", "top"]
 WORD = re.compile(r"[^\W\d_]+")
 PAD = "_"
@@ -99,24 +103,29 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """(gram, p) with p = P_shared of a gram's last character after shorter histories.
+    """``grams`` with p = P_shared of a gram's last character after shorter histories.
 
     A gram falls back to its last BACKOFF[0] characters, those to BACKOFF[1], and so on. Counts of these are continuation
-    counts: by how many different longer grams each is reached. Every level interpolates with the next shorter one, the
-    last with a uniform distribution over the characters."""
-    gram = F.col("gram")
-    chain = F.array(gram, *[F.when(F.length(gram) > n, F.expr(f"right(gram, {n})")) for n in BACKOFF])
-    chain = F.filter(chain, lambda x: x.isNotNull())
-    steps = F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.struct(i.alias("i"), F.get("chain", i - 1).alias("longer"), F.get("chain", i).alias("part")))
-    falls = grams.select("gram", chain.alias("chain")).where(F.size("chain") > 1).select("gram", F.explode(steps).alias("s")).select("gram", "s.*")
-    counts = falls.select("longer", "part").distinct().groupBy("part").agg(F.count("*").alias("n"))
-    counts = counts.withColumns({"history": F.expr("substring(part, 1, length(part) - 1)"), "size": F.length("part")})
-    sums = counts.groupBy("history", "size").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    levels = counts.join(sums, ["history", "size"]).select("part", "n", "total", "kinds")
+    counts: by how many different longer grams each is reached. Every level is made of the one above it and interpolates with the next
+    shorter one, the last with a uniform distribution over the characters. A gram meets one level only, that of its own suffix."""
     chars = grams.agg(F.count_distinct(F.expr("right(gram, 1)")).alias("chars")).first()["chars"]
-    mix = lambda p, x: (x["n"] - DISCOUNT + DISCOUNT * x["kinds"] * p) / x["total"]
-    per = falls.join(levels, "part").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("i"), "n", "total", "kinds"))).alias("x"))
-    return per.select("gram", F.aggregate("x", F.lit(1.0 / max(chars or 1, 1)), mix).alias("p"))
+    longer, parts = grams.select(F.col("gram").alias("longer")), []
+    for n in BACKOFF:
+        counts = longer.where(F.length("longer") > n).groupBy(F.expr(f"right(longer, {n})").alias("part")).agg(F.count("*").alias("n"))
+        parts.append(counts.withColumn("history", F.expr("left(part, length(part) - 1)")))
+        longer = longer.where(F.length("longer") <= n).unionByName(counts.select(F.col("part").alias("longer")))
+    below, upper, out = None, None, None
+    for n, counts in reversed(list(zip(BACKOFF, parts, strict=True))):
+        sums = counts.groupBy("history").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        level = counts.join(sums, "history")
+        # The level of single characters has one row for each character in use.
+        level = level.withColumn("q", F.lit(1.0 / max(chars or 1, 1))) if below is None else level.join(below, F.expr(f"right(part, {upper})") == F.col("below"))
+        level = level.select(F.col("part").alias("below"), ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")).alias("q"))
+        mine = grams.where((F.length("gram") > n) & (F.length("gram") <= (BACKOFF[BACKOFF.index(n) - 1] if n != BACKOFF[0] else ORDER)))
+        below, upper = F.broadcast(level) if n == 1 else level, n
+        mine = mine.join(below, F.expr(f"right(gram, {n})") == F.col("below")).drop("below").withColumnRenamed("q", "p")
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def model(counts: DataFrame, shelf: Shelf) -> DataFrame:
@@ -129,7 +138,7 @@ def model(counts: DataFrame, shelf: Shelf) -> DataFrame:
     d = [(discounts[f"d{k}1"] or 0) / ((discounts[f"d{k}1"] or 0) + 2 * (discounts[f"d{k}2"] or 0) or 1) for k in (0, 1)]
     d = [min(max(x, 0.1), 0.95) for x in d]
     history = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
-    rows = counts.withColumn("history", history).join(_shared(counts), "gram")
+    rows = _shared(counts).withColumn("history", history)
     sums = rows.groupBy("history").agg(*[x for k in (0, 1) for x in (F.sum(f"n{k}").alias(f"h{k}"), F.sum(F.when(F.col(f"n{k}") > 0, 1).otherwise(0)).alias(f"types{k}"))])
 
     def of(k: int) -> Column:
@@ -210,6 +219,57 @@ def hot_words(scores: DataFrame) -> tuple[dict[str, float], bool]:
     return dict(zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True)), hot.num_rows == sum(r["words"] for r in steps)
 
 
+class Known:
+    """A model of at most MODEL_KEYS keys as two sorted arrays, with the differences of the words that a worker has met."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values, self.words = keys, values, {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The differences of words, in order."""
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words, new = {}, list(dict.fromkeys(words))
+        if new:
+            found, ends = [], []
+            for word in new:
+                found.append("h" + PAD)
+                for g in grams_of(word):
+                    found += ["g" + g] if g[:-1] == PAD else ["g" + g, "h" + g[:-1]]
+                ends.append(len(found))
+            hashed = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in found), np.uint64, len(found)).view(np.int64)
+            at = np.minimum(np.searchsorted(self.keys, hashed), max(len(self.keys) - 1, 0))
+            units = np.where(self.keys[at] == hashed, self.values[at], 0) if len(self.keys) else np.zeros(len(found), np.int64)
+            total = np.concatenate([[0], np.cumsum(units)])[ends]
+            self.words.update(zip(new, (np.diff(total, prepend=0) / UNIT).tolist(), strict=True))
+        return np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
+
+
+_known: dict[str, Known] = {}
+
+
+def known_features(docs: DataFrame, table: DataFrame, shelf: Shelf) -> DataFrame:
+    """As :func:`features`, for a model that fits in a worker: one narrow pass over the texts, nothing is shuffled. Keys go by 64-bit
+    hashes, which are checked to differ from each other."""
+    got = table.select(F.xxhash64("key").alias("k"), "v").toArrow()
+    keys, values = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    if (keys[1:] == keys[:-1]).any():
+        return features(docs, word_scores(docs, table, shelf), shelf)
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((keys.tobytes(), values.tobytes()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if name not in _known:
+            _known.clear()
+            _known[name] = Known(*(np.frombuffer(x, np.int64) for x in shared.value))
+        out = [features_of(_known[name].of(WORD.findall(t.lower()) if t else []).astype(np.float32).astype(np.float64)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], pa.float64()) for i in range(3))], names=["doc_id", *FEATURES])
+
+    return shelf.put(map_batches(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES), run))
+
+
 def features_of(x: np.ndarray) -> tuple[float, float, float]:
     """FEATURES of a text by the differences of its words, in order."""
     if not len(x):
@@ -296,7 +356,10 @@ def score(docs: DataFrame, labels: DataFrame, counting: Column, fitting: Column)
     # Shuffles that nothing refers to any more leave the disks when the driver's garbage is collected.
     gc.collect()
     docs.sparkSession._jvm.System.gc()
-    found = features(docs, word_scores(docs, table, shelf), shelf)
+    if table.count() <= MODEL_KEYS:
+        found = known_features(docs, table, shelf)
+    else:
+        found = features(docs, word_scores(docs, table, shelf), shelf)
     rows = found.where("doc_id is not null").where(fitting).join(marks(labels), F.col("doc_id") == F.col("label_id"))
     known = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", *FEATURES).toPandas()
     y = known["toxic"].to_numpy(float)
