@@ -7,8 +7,8 @@ for one that the language's list lacks. The nearest language wins; of equals the
 
 Profiles count every n-gram of all learning rows. Workers count in parts, Spark adds the parts up. An n-gram is packed
 into one integer (21 bits a character); a text's are made by shifting the array of its code points, and one sort counts
-them. A profile has PROFILE entries and there are at most MAX_LANGUAGES of them (checked;
-the most frequent ones by documents, the rest can't be predicted), which bounds what is sent to workers.
+them. A profile has PROFILE entries. Every language that the learning rows name has one; workers are sent at most LANGUAGES of them at
+once, further ones in passes of their own, each of which keeps the nearest language so far.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; an empty learning set makes every
 prediction ``und``; repeated rows are predicted each. The score is 1 less the distance as a share of the largest one.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches
 
-PROFILE, MAX_LANGUAGES = 400, 1000
+PROFILE, LANGUAGES = 400, 1000
 #: Counts that a worker holds before it adds them up and hands them on.
 FLUSH_GRAMS = 2_000_000
 MARK = ord("_")
@@ -98,8 +98,8 @@ def learn(docs: DataFrame, lang: Column, text_col: str = "text") -> list[tuple[s
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A language has as many rows here as it has different n-grams of up to three characters, however large the corpus.
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
-    profiles = ranked.groupBy("lang").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("grams"))
-    return sorted((r["lang"], r["grams"]) for r in profiles.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
+    profiles = ranked.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("grams"))
+    return sorted((r["lang"], r["grams"]) for r in profiles.collect())
 
 
 class Profiles:
@@ -122,17 +122,27 @@ class Profiles:
         return self.names[best], float(1 - distance[best] / (PROFILE * len(grams)))
 
 
-def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text, in one narrow pass."""
-    model: list[Profiles] = []
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not model:
-            model.append(Profiles(profiles))
-        got = [model[0].predict(profile(t)) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], "doc_id long, lang_pred string, score double", run)
+def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text", languages: int = LANGUAGES) -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text, in one narrow pass for each ``languages`` profiles."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names, schema = rows.columns, "doc_id long, text string, lang_pred string, score double"
+    for start in range(0, max(len(profiles), 1), languages):
+        last, some = start + languages >= len(profiles), profiles[start : start + languages]
+        model: list[Profiles] = []
+
+        def run(batch: pa.RecordBatch, last: bool = last, some: list = some, model: list = model) -> pa.RecordBatch:
+            if not model:
+                model.append(Profiles(some))
+            got = []
+            for text, name, score in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                new = model[0].predict(profile(text))
+                # Profiles come in order of their names, so of equals the earlier one stays.
+                got.append(new if name == UND or new[1] > score else (name, score))
+            columns = [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            return pa.RecordBatch.from_arrays([c for c, n in zip(columns, names, strict=True) if not last or n != "text"], names=[n for n in names if not last or n != "text"])
+
+        rows = map_batches(rows, names, schema.replace(" text string,", "") if last else schema, run)
+    return rows
 
 
 def fold(id_col: str, n: int) -> Column:
