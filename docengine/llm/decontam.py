@@ -5,8 +5,9 @@ of 13 consecutive words, a shorter item one window of all its words. Workers hol
 the windows as a hash set; a document becomes an array of those numbers (0 for any other word), only stretches of
 benchmark words are looked at, and each hashed hit is verified word by word.
 
-The benchmark is broadcast only up to MAX_ITEM_BYTES, which is checked; a larger one is scanned in slices of at most that
-size, each by a narrow pass of its own that adds to the hits of the passes before it.
+The benchmark is broadcast only up to MAX_ITEM_BYTES, which is checked; a larger one is scanned in slices of at most that size, which is
+checked as well (one item may be larger). Each has a narrow pass of its own that adds to the hits of the stored pass before it, and the
+driver holds one slice at a time.
 
 Defined results: null texts have no words; an item without words has no window; repeated items count once per item_id,
 null item_ids are left out; an empty benchmark contaminates nothing; repeated documents give a row each; columns other
@@ -15,6 +16,7 @@ than the named ones pass through :func:`remove` unread, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, small_batches
+from .common import SLICE_ROWS, Shelf, small_batches
 
 WINDOW = 13
 MAX_ITEM_BYTES = 32 << 20
@@ -86,24 +88,28 @@ def _of(items: list[tuple[int, bytes]]) -> Windows:
     return _windows[key]
 
 
-def slices(benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> list[list[tuple[int, bytes]]]:
-    """The benchmark in lists of at most ``max_bytes`` of text each (or one item)."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
+def slices(benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> Iterator[tuple[bool, list[tuple[int, bytes]]]]:
+    """The benchmark in lists of at most ``max_bytes`` of text each (or one item), and whether each is the last."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total * 5 // (4 * max_bytes)) or 1
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    rows = ([(r[0], bytes(r[1])) for r in items.where(part == k).collect()] for k in range(n))
-    return [sorted(set(x)) for x in rows]
+    n, key = -(-total // max_bytes) or 1, F.xxhash64("item_id", "text")
+    while n > 1:
+        parts = items.groupBy(F.pmod(key, F.lit(n)).alias("part")).agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows"))
+        if parts.where((F.col("size") > max_bytes) & (F.col("rows") > 1)).isEmpty():
+            break
+        n *= 2
+    for k in range(n):
+        yield k == n - 1, sorted((r[0], bytes(r[1])) for r in items.where(F.pmod(key, F.lit(n)) == k).collect())
 
 
 def _scanned(rows: DataFrame, benchmark: DataFrame, max_bytes: int, mark: str, keep_text: bool) -> DataFrame:
-    """``rows`` with a struct ``mark`` of n_words, hits (places of words) and items. Slices follow each other as narrow
-    passes over the same rows, each adding its hits to those it gets; without ``keep_text`` the last drops the text."""
+    """``rows`` with a struct ``mark`` of n_words, hits (places of words) and items. Slices follow each other as narrow passes over the
+    same rows, each adding its hits to those it gets and stored if it isn't the last; without ``keep_text`` the last drops the text."""
     small_batches(rows.sparkSession)
+    shelf, before = Shelf(rows.sparkSession), None
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
-    parts = slices(benchmark, max_bytes)
-    for k, items in enumerate(parts):
-        names = rows.columns if keep_text or k < len(parts) - 1 else [c for c in rows.columns if c != "text"]
+    for k, (last, items) in enumerate(slices(benchmark, max_bytes)):
+        names = rows.columns if keep_text or not last else [c for c in rows.columns if c != "text"]
         names = [c for c in names if c != mark]
         ddl = rows.select(*[f"`{c}`" for c in names]).schema.add(mark, MARK)
         at = rows.columns.index("text")
@@ -119,6 +125,11 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, max_bytes: int, mark: str, k
                     yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)) for c in names), pa.array(marks, kind)], names=[*names, mark])
 
         rows = rows.mapInArrow(run, ddl)
+        if not last:
+            rows = shelf.put(rows)
+            if before is not None:
+                shelf.drop(before)
+            before = rows
     return rows
 
 
