@@ -92,7 +92,7 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
 
 
 def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the nodes that have a link; ``similar`` takes pairs (a, b) and returns those that are links.
+    """(node, root) of the nodes that have a link; ``similar`` takes pairs (a, b), a the leader, and returns those that are links.
 
     ``members`` is (bucket, node), buckets of at least two nodes, stored. Rounds follow each other. In each, a bucket whose nodes are
     still in different components has leaders, which are compared with its nodes in other components; then components are found
@@ -100,6 +100,8 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
     After that LEADERS times as many lead a bucket as in the round before, nodes of its largest component excepted. A pair is
     compared once in all buckets. It ends when no bucket is left that has nodes of two components and a node that hasn't led,
     so no link is lost and nothing is capped; nodes of one component are never compared with each other again."""
+    if members.isEmpty():
+        return members.select("node", F.col("node").alias("root"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     now = shelf.put(members.join(weight, "node").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(False).alias("led")))
@@ -110,12 +112,14 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
         free = now.where(~F.col("led") & (F.col("comp") != F.col("largest"))) if edges is not None else now
         lead = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "comp")).alias("x"))
         lead = shelf.put(lead.select("bucket", F.col("x.node").alias("leader"), F.col("x.comp").alias("own")))
-        pairs = now.join(lead, "bucket").where("comp <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        pairs = shelf.put(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        ends = [F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")]
+        pairs = now.join(lead, "bucket").where("comp <> own").groupBy(*ends).agg(F.min("leader").alias("a"))
+        pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = shelf.put(pairs.select("x", "y", "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")))
+        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
         fresh = False
         if roots is None or not pairs.isEmpty():
-            new = shelf.put(similar(pairs))
+            new = shelf.put(similar(pairs.select("a", "b")))
             fresh = roots is None or not new.isEmpty()
             edges = new if edges is None else edges.unionByName(new)
         if fresh:

@@ -92,10 +92,10 @@ def signed(lines: DataFrame) -> DataFrame:
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines resemble each other; ``texts`` is (node, line)."""
-    a = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
+    """The pairs (a, b) whose lines resemble each other; ``texts`` is (node, line). The set of a, which has many pairs, is made once."""
     b = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", shingle_set(F.col("line_a")).alias("set_a"), shingle_set(F.col("line_b")).alias("set_b"))
+    a = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), shingle_set(F.col("line")).alias("set_a"))
+    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", shingle_set(F.col("line_b")).alias("set_b"))
     both = rows.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("sizes"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     return both.where(F.col("both") >= F.lit(SIMILAR) * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
 
