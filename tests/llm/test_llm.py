@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -253,12 +254,14 @@ def test_toxicity_is_exact(spark, sf_dir, texts, hot, monkeypatch):
     toxic = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
     docs, labels, shelf = table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), table(spark, sf_dir, "labels"), Shelf(spark)
     word = brute_differences([(toxic[i], t) for i, t in texts.items() if i % 6 == 0 and t and toxic.get(i) is not None])
-    scores = toxicity.word_scores(docs, toxicity.model(toxicity.gram_counts(docs, labels, F.col("doc_id") % 6 == 0), shelf), shelf)
+    model = toxicity.model(toxicity.gram_counts(docs, labels, F.col("doc_id") % 6 == 0), shelf)
+    scores = toxicity.word_scores(docs, model, shelf)
     want = {w for i, t in texts.items() if i % 3 == 0 and t for w in toxicity.WORD.findall(t.lower())}
     got = {r.word: r.v for r in scores.collect()}
     assert set(got) == want and all(abs(got[w] - word(w)) < 1e-6 for w in want)
     found = {r.doc_id: r for r in toxicity.features(docs, scores, shelf).collect()}
     assert set(found) == {i for i in texts if i % 3 == 0}
+    assert found == {r.doc_id: r for r in toxicity.known_features(docs, model, shelf).collect()}, "the two ways differ"
     for i, r in found.items():
         x = np.array([word(w) for w in toxicity.WORD.findall((texts[i] or "").lower())])
         assert (r["mean"], r.stretch, r.top) == pytest.approx(toxicity.features_of(x), abs=1e-4)
@@ -355,6 +358,98 @@ def test_links_between_many_leaders(spark):
     assert {r.node: r.root for r in got} == {n: group(n) for n in range(120)}
 
 
+def test_certified_cutoffs_match_sql(spark, tmp_path):
+    """Thousands of good holdouts in one stratum certify cutoffs, which reject bad texts; too few in another certify nothing."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    text = lambda i, extra: " ".join([*(words[(7 * i + 3 * k) % 600] for k in range(60)), *extra])
+    rows = [(i, text(i, ["#"] * 25 if bad else ["A" * 40] if i % 997 == 0 else []), lang) for i, (bad, lang) in enumerate([(False, "en")] * 2600 + [(True, "en")] * 200 + [(False, None)] * 40 + [(True, None)] * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int("#" not in t), 0) for i, t, _ in rows] + [(5, None, 0), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    out = queries.op2_quality_rules(spark, str(tmp_path))
+    same(out, con, quality.SQL)
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in out.collect()}
+    assert not any(k or b for i, (k, b) in kept.items() if 2600 <= i < 2800), "bad texts of the large stratum go by a threshold"
+    assert all(k for i, (k, _) in kept.items() if i < 2600 or i >= 2800), "good texts stay, and all of the small stratum"
+
+
+def brute_language(text, profiles):
+    """Out-of-place distance by its definition."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not words:
+        return "und"
+    grams = Counter()
+    marked = "_" + "_".join(words) + "_"
+    for n in (1, 2, 3):
+        grams.update(g for i in range(len(marked) - n + 1) if "_" not in (g := marked[i : i + n])[1 : n - 1] and (n > 1 or g != "_"))
+    own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], pack(x[0])))][: langid.PROFILE]
+    far = {name: sum(abs(r - ranks[g]) if g in ranks else langid.PROFILE for r, g in enumerate(own)) for name, ranks in profiles.items()}
+    return min(sorted(far), key=far.__getitem__)
+
+
+def pack(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
+
+
+@pytest.mark.parametrize("languages", [1000, 3])
+def test_language_by_definition(spark, sf_dir, texts, languages):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    found = langid.learn(docs, F.col("lang"))
+    unpack = lambda g: "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0) if g >> s)
+    profiles = {name: {unpack(g): r for r, g in enumerate(grams)} for name, grams in found}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, found, languages=languages).collect()}
+    assert got == {i: brute_language(t, profiles) for i, t in texts.items() if i % 2 == 0}
+
+
+def test_ties_and_many_languages(spark):
+    docs = spark.createDataFrame([(i, "abc abd", f"l{i:02}") for i in range(30)] + [(99, "xyz", "z")], "doc_id long, text string, lang string")
+    found = langid.learn(docs, F.col("lang"))
+    assert len(found) == 31
+    for languages in (7, 1000):
+        got = {r.doc_id: r.lang_pred for r in langid.predict(docs, found, languages=languages).collect()}
+        assert got == {i: "l00" for i in range(30)} | {99: "z"}
+
+
+def test_long_and_repeated_turns(spark):
+    """A conversation over several batches, very long texts, repeated turns and columns with clashing names."""
+    turns = [(1, k // 2, ("user", "assistant")[k % 2], f"turn {k} {ODD}") for k in range(700)] + [(2, 0, "assistant", "x" * 300_000), (2, 0, "assistant", "x" * 300_000)]
+    df = spark.createDataFrame([(*t, "p", 7) for t in turns], "conv_id long, turn long, role string, text string, part string, formatted int")
+    parts = chat.format_chats(df)
+    got = {r.conv_id: r for r in chat.digests(parts).collect()}
+    for i in (1, 2):
+        rows = sorted((t for t in turns if t[0] == i), key=lambda t: t[1:])
+        learnt = "".join(t[3] for t in rows if t[2] == "assistant")
+        assert got[i].n_turns == len(rows) and got[i].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest() and got[i].loss_chars == len(learnt)
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in rows).encode()).hexdigest()
+        assert got[i].formatted_chars == sum(len(r.formatted) for r in parts.where(F.col("conv_id") == i).collect())
+    assert parts.where("conv_id = 1").count() > 1
+
+
+def test_toxicity_of_odd_rows(spark, odd):
+    """Null, empty and very long texts through a fitted model."""
+    rows = [(100 + i, "hello kind words here" if i % 2 else "awful nasty rubbish here") for i in range(60)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in rows] + [(None, 1, 1), (1, 1, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
+    third = F.coalesce(F.col("doc_id"), F.lit(0)) % 3
+    got = toxicity.score(docs, labels, third != 0, third == 0).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == odd.count() + 60 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert min(by[100 + i] for i in range(0, 60, 2)) > max(by[101 + i] for i in range(0, 60, 2)) and by[1] == by[2] == by[3]
+
+
+def test_repeated_items_in_slices(spark, odd):
+    bench = spark.createDataFrame([(1, "same"), (1, "same"), (2, "without an id"), (3, "tail word1 tail"), (4, "word2 tail word3")], "item_id long, text string")
+    whole = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.items_sha256) for r in decontam.scan(odd, bench).collect())
+    assert whole == sorted((r.doc_id or 0, r.n_hit, r.n_items, r.items_sha256) for r in decontam.scan(odd, bench, 10).collect())
+    assert {r[0]: r[2] for r in whole}[6] == 2 and len(whole) == odd.count()
+
+
 def test_odd_rows(spark, odd, pieces, tmp_path):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "same"), (2, None), (None, "a text without an id"), (3, "")], "item_id long, text string")
@@ -412,3 +507,46 @@ def test_pipeline(spark, sf_dir):
     marked = decontam.scan(seen["decontamination"][0], table(spark, sf_dir, "benchmark"))
     assert ids(seen["decontamination"][1]) == ids(marked.where("not contaminated"))
     assert all(r.round_trip for r in now.collect()) and ids(now) == ids(seen["decontamination"][1])
+
+
+def test_pipeline_run_by_brute_force(spark, sf_dir, texts, pieces, tmp_path):
+    """run() on a small table with nulls, empty and repeated rows and clashing columns, against all five stages by brute force."""
+    import corpus_pipeline as p
+
+    rows = [(i, t) for i, t in sorted(texts.items())[:50]]
+    whole = next(t for _, t in rows if t and len(t.split()) > 120)
+    rows += [(900, None), (901, ""), (902, whole + " more"), (None, whole), (903, whole), (903, whole)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", 1) for i, t in rows], DOCS + ", node string, hits int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table(spark, sf_dir, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    def good(text):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        times = Counter(zip(ws, ws[1:], ws[2:], strict=False))
+        hit = {j for i in range(len(ws) - 2) if times[ws[i], ws[i + 1], ws[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+        return len(ws) >= 50 and 100 * len(hit) <= 50 * len(ws)
+
+    left = sorted({(i is None, i or 0, t) for i, t in rows if good(t)})
+    lost = brute_dropped({x: x[2] for x in left})
+    left = [(*x[:2], "\n".join(y for k, y in enumerate(x[2].split("\n")) if k not in lost.get(x, ()))) for x in left]
+    classes = brute_classes({x: x[2] for x in left})
+    left = [x for x in left if classes[x] == x]
+    windows = defaultdict(set)
+    for r in table(spark, sf_dir, "benchmark").collect():
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        n = min(13, len(ws))
+        for i in range(len(ws) - n + 1 if ws else 0):
+            windows[tuple(ws[i : i + n])].add(r.item_id)
+    hits = {x: brute_hits(x[2], windows) for x in left}
+    left = [x for x in left if not (hits[x][1] and 20 * len(hits[x][1]) >= hits[x][0])]
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, list(r.ids)) for r in got) == sorted((x[1], pieces.encode(x[2])) for x in left)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
