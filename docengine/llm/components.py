@@ -17,7 +17,7 @@ BLOCK = 256
 #: Items of sets that a worker keeps, so that a text met in several groups is taken apart once.
 CACHE_ITEMS = 4_000_000
 #: How many times more nodes lead a bucket in each round.
-LEADERS = 4
+LEADERS = 16
 #: Parts of a node's edges when the least neighbour is joined to them, so that no task has all edges of a hub.
 SALTS = 8
 
@@ -91,6 +91,16 @@ def links(shelf: Shelf, members: DataFrame, verify: Callable[[DataFrame], DataFr
     return components(shelf, edges.unionByName(shelf.put(within(_blocks(named)).distinct())))
 
 
+def _joined(shelf: Shelf, roots: DataFrame, new: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the components that the links ``new`` (a, b) join: only old roots go through the union-find."""
+    ends = new.select(F.col("a").alias("node")).union(new.select("b")).distinct().join(roots, "node", "left_anti")
+    known = roots.unionByName(ends.withColumn("root", F.col("node")))
+    a, b = (known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    between = new.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    over = components(shelf, between).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return known.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+
+
 def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the nodes that have a link; ``similar`` takes pairs (a, b), a the leader, and returns those that are links.
 
@@ -105,11 +115,11 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     now = shelf.put(members.join(weight, "node").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(False).alias("led")))
-    tested = edges = roots = None
+    tested = roots = None
     slots = 1
     while True:
         slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-        free = now.where(~F.col("led") & (F.col("comp") != F.col("largest"))) if edges is not None else now
+        free = now.where(~F.col("led") & (F.col("comp") != F.col("largest"))) if roots is not None else now
         lead = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "comp")).alias("x"))
         lead = shelf.put(lead.select("bucket", F.col("x.node").alias("leader"), F.col("x.comp").alias("own")))
         ends = [F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")]
@@ -121,9 +131,8 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
         if roots is None or not pairs.isEmpty():
             new = shelf.put(similar(pairs.select("a", "b")))
             fresh = roots is None or not new.isEmpty()
-            edges = new if edges is None else edges.unionByName(new)
         if fresh:
-            roots = shelf.put(components(shelf, edges))
+            roots = shelf.put(components(shelf, new) if roots is None else _joined(shelf, roots, new))
         led = lead.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
         named = now.select("bucket", "node", "weight", "led").join(roots, "node", "left").join(led, ["bucket", "node"], "left")
         named = shelf.put(named.select("bucket", "node", "weight", F.coalesce("root", "node").alias("comp"), (F.col("led") | F.col("leads").isNotNull()).alias("led")))
