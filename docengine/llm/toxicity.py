@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, map_batches, small_batches
+from .bagminhash import mix
+from .common import Shelf, broadcast_if_small, map_batches, small_batches
 
 ORDER, WINDOW, TOP_WORDS, FIT_ROWS = 8, 8, 4, 200_000
 #: Words that workers hold, none of HOT_CHARS characters or more; steps of their counts, a factor of 2 each; units of a difference.
@@ -98,21 +98,24 @@ def marks(labels: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text) of the documents with a label."""
-    return docs.select("doc_id", "text").join(marks(labels), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")
+    """(doc_id, toxic, text) of the documents with a label. Texts aren't shuffled unless the labels are too many to be sent to them."""
+    known = broadcast_if_small(Shelf(docs.sparkSession).put(marks(labels)), 16)
+    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")
 
 
-def _shared(grams: DataFrame) -> DataFrame:
+def _shared(grams: DataFrame, shelf: Shelf) -> DataFrame:
     """``grams`` with p = P_shared of a gram's last character after shorter histories.
 
     A gram falls back to its last BACKOFF[0] characters, those to BACKOFF[1], and so on. Counts of these are continuation
     counts: by how many different longer grams each is reached. Every level is made of the one above it and interpolates with the next
-    shorter one, the last with a uniform distribution over the characters. A gram meets one level only, that of its own suffix."""
+    shorter one, the last with a uniform distribution over the characters. A gram meets one level only, that of its own suffix. Levels
+    are stored, as the next ones are made of them."""
     chars = grams.agg(F.count_distinct(F.expr("right(gram, 1)")).alias("chars")).first()["chars"]
     longer, parts = grams.select(F.col("gram").alias("longer")), []
     for n in BACKOFF:
         counts = longer.where(F.length("longer") > n).groupBy(F.expr(f"right(longer, {n})").alias("part")).agg(F.count("*").alias("n"))
-        parts.append(counts.withColumn("history", F.expr("left(part, length(part) - 1)")))
+        counts = shelf.put(counts.withColumn("history", F.expr("left(part, length(part) - 1)")))
+        parts.append(counts)
         longer = longer.where(F.length("longer") <= n).unionByName(counts.select(F.col("part").alias("longer")))
     below, upper, out = None, None, None
     for n, counts in reversed(list(zip(BACKOFF, parts, strict=True))):
@@ -120,7 +123,7 @@ def _shared(grams: DataFrame) -> DataFrame:
         level = counts.join(sums, "history")
         # The level of single characters has one row for each character in use.
         level = level.withColumn("q", F.lit(1.0 / max(chars or 1, 1))) if below is None else level.join(below, F.expr(f"right(part, {upper})") == F.col("below"))
-        level = level.select(F.col("part").alias("below"), ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")).alias("q"))
+        level = shelf.put(level.select(F.col("part").alias("below"), ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")).alias("q")))
         mine = grams.where((F.length("gram") > n) & (F.length("gram") <= (BACKOFF[BACKOFF.index(n) - 1] if n != BACKOFF[0] else ORDER)))
         below, upper = F.broadcast(level) if n == 1 else level, n
         mine = mine.join(below, F.expr(f"right(gram, {n})") == F.col("below")).drop("below").withColumnRenamed("q", "p")
@@ -138,7 +141,7 @@ def model(counts: DataFrame, shelf: Shelf) -> DataFrame:
     d = [(discounts[f"d{k}1"] or 0) / ((discounts[f"d{k}1"] or 0) + 2 * (discounts[f"d{k}2"] or 0) or 1) for k in (0, 1)]
     d = [min(max(x, 0.1), 0.95) for x in d]
     history = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
-    rows = _shared(counts).withColumn("history", history)
+    rows = shelf.put(_shared(counts, shelf).withColumn("history", history))
     sums = rows.groupBy("history").agg(*[x for k in (0, 1) for x in (F.sum(f"n{k}").alias(f"h{k}"), F.sum(F.when(F.col(f"n{k}") > 0, 1).otherwise(0)).alias(f"types{k}"))])
 
     def of(k: int) -> Column:
@@ -219,52 +222,86 @@ def hot_words(scores: DataFrame) -> tuple[dict[str, float], bool]:
     return dict(zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True)), hot.num_rows == sum(r["words"] for r in steps)
 
 
+def _hashed(codes: np.ndarray, start: np.ndarray, last: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """64-bit hashes of the at most ``size`` characters that end at each of ``last`` and don't begin before ``start``."""
+    out = np.full(len(last), salt, np.uint64)
+    for k in range(size):
+        at = last - k
+        out = np.where(at >= start, mix(out * np.uint64(0x9E3779B97F4A7C15) + codes[np.maximum(at, 0)]), out)
+    return out.view(np.int64)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of texts in one array, and where each begins and ends."""
+    ends = np.cumsum([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+
 class Known:
     """A model of at most MODEL_KEYS keys as two sorted arrays, with the differences of the words that a worker has met."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.keys, self.values, self.words = keys, values, {}
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The differences of words, in order."""
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
+    def units(self, hashed: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashed), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashed, self.values[at], 0)
+
+    def meet(self, words: set[str]) -> None:
+        """Take up the words that aren't known, all at once."""
+        new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, list(dict.fromkeys(words))
-        if new:
-            found, ends = [], []
-            for word in new:
-                found.append("h" + PAD)
-                for g in grams_of(word):
-                    found += ["g" + g] if g[:-1] == PAD else ["g" + g, "h" + g[:-1]]
-                ends.append(len(found))
-            hashed = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in found), np.uint64, len(found)).view(np.int64)
-            at = np.minimum(np.searchsorted(self.keys, hashed), max(len(self.keys) - 1, 0))
-            units = np.where(self.keys[at] == hashed, self.values[at], 0) if len(self.keys) else np.zeros(len(found), np.int64)
-            total = np.concatenate([[0], np.cumsum(units)])[ends]
-            self.words.update(zip(new, (np.diff(total, prepend=0) / UNIT).tolist(), strict=True))
+            self.words, new = {}, list(words)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            codes, starts, ends = _codes([PAD + w + PAD for w in some])
+            start, place = np.repeat(starts, ends - starts), np.arange(len(codes))
+            inner = place > start
+            start, place = start[inner], place[inner]
+            units = self.units(_hashed(codes, start, place, ORDER, 1)) + self.units(_hashed(codes, start, place - 1, ORDER - 1, 2))
+            per = np.concatenate([[0], np.cumsum(units)])[np.cumsum(ends - starts - 1)]
+            self.words.update(zip(some, (np.diff(per, prepend=0) / UNIT).tolist(), strict=True))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The differences of words that have been met, in order."""
         return np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
 
 
+def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    keys = batch.column(0).to_pylist()
+    codes, starts, ends = _codes(keys)
+    kind = codes[starts] == ord("g") if len(keys) else np.empty(0, bool)
+    gram, history = _hashed(codes, starts + 1, ends - 1, ORDER, 1), _hashed(codes, starts + 1, ends - 1, ORDER - 1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.where(kind, gram, history)), batch.column(1)], names=["k", "v"])
+
+
 _known: dict[str, Known] = {}
 
 
 def known_features(docs: DataFrame, table: DataFrame, shelf: Shelf) -> DataFrame:
     """As :func:`features`, for a model that fits in a worker: one narrow pass over the texts, nothing is shuffled. Keys go by 64-bit
     hashes, which are checked to differ from each other."""
-    got = table.select(F.xxhash64("key").alias("k"), "v").toArrow()
-    keys, values = got.column(0).to_numpy(), got.column(1).to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    if (keys[1:] == keys[:-1]).any():
-        return features(docs, word_scores(docs, table, shelf), shelf)
-    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((keys.tobytes(), values.tobytes()))
+    hashed = shelf.put(map_batches(table, ["key", "v"], "k long, v long", _keyed).orderBy("k"))
+    keys, values = (hashed.select(c).toArrow().column(0).to_numpy() for c in ("k", "v"))
+    if not (keys[1:] > keys[:-1]).all():
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        if (keys[1:] == keys[:-1]).any():
+            return features(docs, word_scores(docs, table, shelf), shelf)
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((keys, values))
+    del keys, values
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if name not in _known:
             _known.clear()
-            _known[name] = Known(*(np.frombuffer(x, np.int64) for x in shared.value))
-        out = [features_of(_known[name].of(WORD.findall(t.lower()) if t else []).astype(np.float32).astype(np.float64)) for t in batch.column(1).to_pylist()]
+            _known[name] = Known(*shared.value)
+        words = [WORD.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
+        _known[name].meet(set().union(*words))
+        out = [features_of(_known[name].of(w).astype(np.float32).astype(np.float64)) for w in words]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], pa.float64()) for i in range(3))], names=["doc_id", *FEATURES])
 
     return shelf.put(map_batches(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES), run))
