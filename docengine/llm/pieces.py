@@ -20,6 +20,8 @@ UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 #: Words kept by a worker in each of two generations of its cache.
 CACHE_WORDS = 300_000
+#: Pairs of pieces whose merging a worker remembers; beyond that it begins anew.
+CACHE_PAIRS = 500_000
 #: A model file is sent to every worker, so its size is checked first.
 MODEL_BYTES = 64 << 20
 UNK = -1
@@ -108,6 +110,8 @@ class PieceModel:
             return True
         known = self._apart.get((a, b))
         if known is None:
+            if len(self._apart) >= CACHE_PAIRS:
+                self._apart.clear()
             known = self._apart[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
         return known
 

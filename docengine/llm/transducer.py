@@ -1,23 +1,30 @@
 """Operator 7, SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled once per worker from the model file:
-
-* the normaliser N: an epsilon arc that writes the word mark before a text, then one state that rewrites characters;
-* the pieces L: a trie of the vocabulary whose final states write a piece id with its cost and return to the start;
-* the byte fallback B: for a character that no single-character piece covers, an arc writing its UTF-8 bytes' ids at
-  the unknown cost.
-
-An input is a linear acceptor; composing it with N and with the closure of L and B gives an acyclic lattice whose
-shortest path in the tropical semiring is the encoding. A unigram file's costs are its negated scores. A BPE file is
-encoded with the pair acceptor P composed behind L: its arc from piece a to piece b costs 0 if the two stay apart when
-their joined text is merged, else infinity. Exactly one path of finite cost is then left, the file's own encoding.
-Runs of equal-scored pieces (several spaces) are ordered by position, not by pairs; such a part is merged directly.
-
-The composition is done word by word and kept in a bounded cache, because no arc of L crosses the start of a word.
+A machine has states and arcs (input label, output label, weight, next state). These are compiled once per worker from the model file:
+
+* the normaliser N rewrites characters and writes the word mark for the mark of a text's start;
+* the lexicon L is the closure of a trie of the pieces: the arc of a piece's last character leads on into the trie, writing nothing, or
+  back to the start, writing the piece at its cost;
+* the byte fallback B, joined to L's start: a character that is no piece itself writes its UTF-8 bytes' ids at the unknown cost;
+* of a BPE file also the pair acceptor P: a state for each last piece, with an arc for a next piece only if the two stay apart when
+  their joined text is merged. Exactly one path is then left, the file's own encoding.
+
+N is composed with the closure of L and B when they are compiled (:meth:`Lexicon.after`). :class:`Composition` composes that with P, and
+:func:`shortest_path` composes an input, a linear acceptor, with the result; both make arcs when they are reached. The lattice is acyclic,
+and its shortest path in the tropical semiring (sums along a path, the least over paths, of equal ones the one whose last piece starts
+first) is the encoding. Only the states that the last character reached are held, so a text without any space needs memory for
+its ids alone. A unigram file's costs are its negated scores, a BPE file's are 0.
+
+A chunk without any path, which takes a BPE file whose pieces can't all be made by its own merges, is merged directly;
+``Codec.merged_chunks`` counts them, and the tests find none with the public file. Chunks are words with the spaces before them, kept in a
+bounded cache, because no arc of L crosses the start of a word.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Hashable, Iterable, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,102 +34,188 @@ from .common import map_batches
 from .pieces import BPE, CACHE_WORDS, SPACE, UNK, PieceModel, read_model
 
 
-class Normaliser:
-    """N: arcs are character -> character; characters without an arc copy themselves."""
+#: The label of an arc that writes nothing; arcs that read nothing aren't needed.
+EPSILON = None
+#: The label of a text's start, which is no character.
+START = "<s>"
+#: State and label pairs of a composition whose arcs a worker keeps; beyond that it begins anew.
+CACHE_ARCS = 400_000
+Arc = tuple[Hashable, float, Hashable]
+
+
+class Machine:
+    """A weighted transducer: ``arcs`` gives (output, weight, next state) of a state and an input label."""
+
+    start: Hashable = 0
+
+    def arcs(self, state: Hashable, label: Hashable) -> Sequence[Arc]:
+        raise NotImplementedError
+
+    def final(self, state: Hashable) -> bool:
+        return True
+
+
+class Normaliser(Machine):
+    """N: one state; a character without an arc of its own copies itself."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.start_output = SPACE if model.prefix else ""
-        self.arcs = {" ": SPACE}
+        self.table = {START: (SPACE if model.prefix else EPSILON, 0.0, 0), " ": (SPACE, 0.0, 0)}
 
-    def compose(self, text: str) -> str:
-        """The output side of the only path, as N is a function."""
-        if not text:
-            return ""
-        for a, b in self.arcs.items():
-            text = text.replace(a, b)
-        return self.start_output + text
+    def arcs(self, state: Hashable, label: Hashable) -> Sequence[Arc]:
+        return (self.table.get(label) or (label, 0.0, 0),)
 
 
-class PieceLexicon:
-    """L: the arcs of a trie, with the piece that each final state writes."""
+class Lexicon(Machine):
+    """The closure of L and B: state 0 is the trie's root and the only final one. Outputs are tuples of ids."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final: list[int | None] = [None]
+        self.model, pairs = model, model.kind == BPE
+        self.unknown = 0.0 if pairs else -model.unk_score
+        self.table: list[dict[str, list[Arc]]] = [{}]
         for piece, i in model.id.items():
             state = 0
-            for char in piece:
-                to = self.arcs[state].get(char)
-                if to is None:
-                    to = self.arcs[state][char] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(None)
-                state = to
-            self.final[state] = i
+            for char in piece[:-1]:
+                state = self._child(state, char)
+            self.table[state].setdefault(piece[-1], []).append(((i,), 0.0 if pairs else -model.score[i], 0))
+        for char, arcs in self.table[0].items():
+            if char not in model.known:
+                arcs += self.fallback(char)
+
+    def _child(self, state: int, char: str) -> int:
+        """The state below ``state`` by the arc that writes nothing, which stands first."""
+        found = self.table[state].setdefault(char, [])
+        if not found or found[0][0] is not EPSILON:
+            self.table.append({})
+            found.insert(0, (EPSILON, 0.0, len(self.table) - 1))
+        return found[0][2]
+
+    def fallback(self, char: str) -> list[Arc]:
+        """B's arc for a character."""
+        m = self.model
+        ids = [m.byte_id[b] for b in char.encode("utf-8", "surrogatepass")] if m.byte_fallback else [m.unk_id]
+        return [(tuple(ids), self.unknown, 0)]
+
+    def after(self, first: Normaliser) -> Lexicon:
+        """``first`` composed with this machine: an arc of its only state is one of every state here that reads its output."""
+        for read, (written, weight, _) in first.table.items():
+            for state, arcs in enumerate(self.table):
+                found = [(EPSILON, 0.0, state)] if written is EPSILON else arcs.get(written, self.fallback(written) if state == 0 else [])
+                if found:
+                    arcs[read] = [(output, weight + more, to) for output, more, to in found]
+        return self
+
+    def arcs(self, state: Hashable, label: Hashable) -> Sequence[Arc]:
+        found = self.table[state].get(label, ())
+        return found or (self.fallback(label) if state == 0 else ())
+
+    def final(self, state: Hashable) -> bool:
+        return state == 0
+
+
+class PairAcceptor(Machine):
+    """P: the state is the last piece, UNK after bytes; None is the start."""
+
+    start = None
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        self.allowed = {(i,): i for i in model.id.values() if model.whole(i)}
+        self.pieces = {(i,) for i in model.id.values()}
+
+    def arcs(self, state: Hashable, label: Hashable) -> Sequence[Arc]:
+        piece = self.allowed.get(label)
+        if piece is None:
+            return () if label in self.pieces else ((label, 0.0, UNK),)
+        return ((label, 0.0, piece),) if state is None or self.model.apart(state, piece) else ()
+
+
+class Composition(Machine):
+    """``first`` composed with ``second``, which reads what it writes; states are pairs. Arcs made before are kept, CACHE_ARCS at most."""
+
+    def __init__(self, first: Machine, second: Machine) -> None:
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+        self.made: dict[tuple, Sequence[Arc]] = {}
+
+    def arcs(self, state: Hashable, label: Hashable) -> Sequence[Arc]:
+        found = self.made.get((state, label))
+        if found is None:
+            if len(self.made) >= CACHE_ARCS:
+                self.made.clear()
+            found = self.made[state, label] = self._make(*state, label)
+        return found
+
+    def _make(self, a: Hashable, b: Hashable, label: Hashable) -> Sequence[Arc]:
+        out = []
+        for written, weight, to in self.first.arcs(a, label):
+            if written is EPSILON:
+                out.append((EPSILON, weight, (to, b)))
+            else:
+                for output, more, target in self.second.arcs(b, written):
+                    out.append((output, weight + more, (to, target)))
+        return tuple(out)
+
+    def final(self, state: Hashable) -> bool:
+        return self.first.final(state[0]) and self.second.final(state[1])
+
+
+def shortest_path(labels: Iterable[Hashable], machine: Machine) -> list | None:
+    """What ``machine`` writes for ``labels`` on the path of least weight to a final state; None if there is none.
+
+    Only an arc that writes can meet another path, and a state that was reached without writing comes from further back. So those
+    come first in the order of the states that one label reached, and of equal paths the first found stays."""
+    now: dict[Hashable, tuple] = {machine.start: (0.0, None)}
+    arcs = machine.arcs
+    for label in labels:
+        silent: dict[Hashable, tuple] = {}
+        wrote: dict[Hashable, tuple] = {}
+        for state, (cost, path) in now.items():
+            for output, weight, to in arcs(state, label):
+                reached = silent if output is EPSILON else wrote
+                known = reached.get(to)
+                if known is None or cost + weight < known[0]:
+                    reached[to] = cost + weight, path if output is EPSILON else (path, output)
+        now = silent
+        now.update(wrote)
+    ends = [found for state, found in now.items() if machine.final(state)]
+    if not ends:
+        return None
+    out, path = [], min(ends, key=lambda x: x[0])[1]
+    while path is not None:
+        path, output = path
+        out.append(output)
+    return out[::-1]
 
 
 class Codec:
-    """N, L and B of one model, with encoding by shortest path and decoding."""
+    """The machines of one model, with encoding by shortest path and decoding."""
 
     def __init__(self, data: bytes) -> None:
         self.model = m = PieceModel(data)
-        self.normaliser, self.lexicon = Normaliser(m), PieceLexicon(m)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.lexicon = Lexicon(m).after(Normaliser(m))
+        self.machine = Composition(self.lexicon, PairAcceptor(m)) if m.kind == BPE else self.lexicon
+        self.merged_chunks = 0
+        self.new: dict[tuple[bool, str], bytes] = {}
+        self.old: dict[tuple[bool, str], bytes] = {}
+        # Spaces and word marks are the same after N.
+        self.parts = re.compile(f"\n|[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+" if m.by_word else "(?s:.+)")
         self.surface = [b"" if m.type[i] == 3 else p.replace(SPACE, " ").encode() for i, p in enumerate(m.text)]
         for byte, i in m.byte_id.items():
             self.surface[i] = bytes([byte])
         self.surface[m.unk_id] = " ⁇ ".encode()
 
-    def fallback(self, char: str) -> list[int]:
-        """B's output for a character."""
-        m = self.model
-        return [m.byte_id[b] for b in char.encode("utf-8", "surrogatepass")] if m.byte_fallback else [m.unk_id]
-
-    def shortest(self, chunk: str) -> list[int]:
-        """Ids on the shortest path of the lattice of one chunk."""
-        m, n = self.model, len(chunk)
-        pairs = m.kind == BPE
-        if pairs and (chunk.startswith(SPACE * 2) or SPACE in chunk[1:]):
-            return self.merged(chunk)
-        arcs, final, inf = self.lexicon.arcs, self.lexicon.final, float("inf")
-        cost: list[float] = [0.0] + [inf] * n
-        last, back = [UNK] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            if cost[i] == inf:
-                continue
-            single, state, before, here = False, 0, last[i], cost[i]
-            for end in range(i + 1, n + 1):
-                state = arcs[state].get(chunk[end - 1])
-                if state is None:
-                    break
-                piece = final[state]
-                if piece is None:
-                    continue
-                single |= end == i + 1
-                if pairs:
-                    # One path into a position has finite cost, so a position that is reached needs no second look.
-                    if cost[end] == inf and m.whole(piece) and (i == 0 or m.apart(before, piece)):
-                        cost[end], last[end], back[end] = here, piece, i
-                elif here - m.score[piece] < cost[end]:
-                    cost[end], last[end], back[end] = here - m.score[piece], piece, i
-            if not single:
-                arc = 0.0 if pairs else -m.unk_score
-                if cost[i] + arc < cost[i + 1]:
-                    cost[i + 1], last[i + 1], back[i + 1] = cost[i] + arc, UNK, i
-        if cost[n] == inf:
-            return self.merged(chunk)
-        parts, at = [], n
-        while at:
-            parts.append(self.fallback(chunk[back[at] : at]) if last[at] == UNK else [last[at]])
-            at = back[at]
-        return [i for p in reversed(parts) for i in p]
+    def shortest(self, chunk: str, first: bool) -> list[int]:
+        """Ids on the shortest path of a chunk of a raw text, its first or a later one."""
+        path = shortest_path([START, *chunk] if first else chunk, self.machine)
+        if path is None:
+            self.merged_chunks += 1
+            return self.merged(self.model.normalised(chunk) if first else chunk.replace(" ", SPACE))
+        return [i for ids in path for i in ids]
 
     def merged(self, chunk: str) -> list[int]:
         out, at = [], 0
         for p in self.model.merge(chunk):
             size = 1 if p == UNK else len(self.model.text[p])
-            out += self.fallback(chunk[at : at + size]) if p == UNK else [p]
+            out += self.lexicon.fallback(chunk[at : at + size])[0][0] if p == UNK else [p]
             at += size
         return out
 
@@ -130,19 +223,21 @@ class Codec:
         """Ids of a whole text; none of null or the empty text."""
         if not text:
             return np.empty(0, np.int32)
-        new, old, parts = self.new, self.old, []
-        for chunk in self.model.chunks(text):
-            got = new.get(chunk)
+        new, old, parts, first = self.new, self.old, [], True
+        for chunk in self.parts.findall(text):
+            key = (first, chunk)
+            got = new.get(key)
             if got is None:
-                got = old.get(chunk)
+                got = old.get(key)
                 if got is None:
-                    got = np.asarray(self.shortest(chunk), np.int32).tobytes()
+                    got = np.asarray(self.shortest(chunk, first), np.int32).tobytes()
                 if len(new) >= CACHE_WORDS:
                     self.old, self.new = new, {}
                     new, old = self.new, self.old
                 if len(chunk) < 64:
-                    new[chunk] = got
+                    new[key] = got
             parts.append(got)
+            first = False
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:

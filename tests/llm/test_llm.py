@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import re
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -95,6 +96,34 @@ def test_encoding(spark, sf_dir, texts, pieces):
     assert {r.doc_id: r.text for r in transducer.decode(encoded, queries.MODEL).collect()} == {i: (t or "").replace("▁", " ") for i, t in texts.items()}
 
 
+def test_spaces_and_odd_words_have_one_path(pieces):
+    codec = transducer.Codec(open(queries.MODEL, "rb").read())
+    for n in range(40):
+        for word in ("", "hello", "def", "Straße", "日本", "\n", "é", "//", "\U0001f600", "▁"):
+            for text in (" " * n + word, "a" + " " * n + word + " b"):
+                assert codec.encode(text).tolist() == pieces.encode(text)
+    assert codec.merged_chunks == 0
+
+
+def test_unigram_file():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    rows += [(p, -float(k) - 1.25 / (k + 1), 1) for k, p in enumerate(("▁a", "ab", "▁", "abc", "c", "b", "a", "bca", "▁ab", "cab"), 1)]
+    for piece, score, kind in rows:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, True
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = True, False
+    codec, known = transducer.Codec(proto.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("aabbcc é") for _ in range(rng.randint(0, 14)))
+        assert codec.encode(text).tolist() == known.encode(text), text
+        assert codec.decode(codec.encode(text).tolist()) == text
+
+
 def test_quality_and_shards_match_sql(spark, sf_dir):
     con = tables(sf_dir)
     same(queries.op2_quality_rules(spark, sf_dir), con, quality.SQL)
