@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, decontam, langid, linededup, quality, sharding, token_counts, toxicity, transducer
+from . import bagminhash, centroids, chat, decontam, divergence, langid, linededup, packing, quality, sharding, token_counts, toxicity, transducer
 from .common import table
 
 #: The tokenizer that queries use; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizer that op13 packs for.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
@@ -67,9 +69,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE, ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_near_duplicates, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_near_duplicates, op4_chat_format, op5_sharding, op6_language_id, op7_sentencepiece, op8_toxicity, op9_decontamination, op10_line_dedup, op11_source_divergence, op12_centroid_clustering, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op5_sharding": sharding.sql(SHARD_BYTES)}
+    return {"op2_quality_rules": quality.SQL, "op5_sharding": sharding.sql(SHARD_BYTES), "op11_source_divergence": divergence.SQL, "op12_centroid_clustering": centroids.sql()}
