@@ -34,7 +34,7 @@ from .common import BROADCAST_BYTES, Shelf, small_batches
 MIN_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Terms of a chunk, chunks of a task, groups of a block.
 CHUNK, SPAN, BLOCK = 1024, 64, 32
-#: Terms, and bytes of terms, that a worker holds before it hands its counts on.
+#: Terms, and bytes of terms (taken as long as the longest of their text), that a worker holds before it hands its counts on.
 HELD_TERMS, HELD_BYTES = 400_000, 64 << 20
 #: Bytes to letters in lower case, and everything that isn't part of a term to spaces. Bytes above 127 are parts of letters.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -57,10 +57,11 @@ def count_terms(docs: DataFrame) -> DataFrame:
                 key, once = (lang, source), set(words)
                 if key not in n:
                     n[key], docs[key] = Counter(), Counter()
-                new = once - n[key].keys()
-                terms, held = terms + len(new), held + sum(map(len, new))
+                before = len(n[key])
                 n[key].update(words)
                 docs[key].update(once)
+                new = len(n[key]) - before
+                terms, held = terms + new, held + new * max(map(len, once))
                 if terms >= HELD_TERMS or held >= HELD_BYTES:
                     yield from handed_on(n, docs)
                     n, docs, terms, held = {}, {}, 0, 0
