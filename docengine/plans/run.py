@@ -61,6 +61,11 @@ def results(analysed: DataFrame, policy: Policy) -> DataFrame:
     return analysed.withColumns({"fields": F.struct(*shown), "overall": places(F.col("overall")), "doc_confidence": places(F.col("doc_confidence"))})
 
 
+def suffix(path: Column) -> Column:
+    """The suffix of the last part of a path, with its dot; '' if it has none."""
+    return F.regexp_extract(path, "[^/](\\.[^./]+)$", 1)
+
+
 def plan(docs: DataFrame, policy: Policy, batch_id: str, runs: DataFrame | None = None, apply: bool = False) -> DataFrame:
     """Mutation plans of ``docs`` (item_id, path, content_hash, mime, text, error): status and reason of every document.
 
@@ -73,7 +78,7 @@ def plan(docs: DataFrame, policy: Policy, batch_id: str, runs: DataFrame | None
         keyed = audit.find_existing(keyed, runs)
     else:
         keyed = keyed.withColumns({"existing_run_id": F.lit(None).cast("string"), "existing_status": F.lit(None).cast("string")})
-    found = propose(analyse(keyed, policy), policy, F.concat(F.lit("."), F.substring_index("path", ".", -1)), F.col("content_hash"))
+    found = propose(analyse(keyed, policy), policy, suffix(F.col("path")), F.col("content_hash"))
     bad_type, unread = ~F.col("mime").isin(SUPPORTED), F.col("error").isNotNull()
     refused = F.lit(apply) & (F.col("validation_status") != "accepted")
     status = F.when(audit.skips(F.col("existing_status")), "skipped").when(bad_type, "quarantined").when(unread, "failed").when(refused, "quarantined").otherwise("planned")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .journal import settle
+
 # Types by suffix and by first bytes.
 SUFFIX_TYPES = {
     ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".tiff": "image/tiff", ".tif": "image/tiff",
@@ -82,37 +83,16 @@ def decide(plans: DataFrame, listing: DataFrame) -> DataFrame:
     return out.withColumn("decision", decision).drop("_now", "_taken", "_target", "_first", "_n")
 
 
-def _rename(path: str, target: str, etag: str | None) -> str:
-    """What became of one rename. The target is created exclusively, so nothing is ever overwritten. A repeated attempt finds the
-    source gone and the target with its content, and counts as renamed."""
-    if not os.path.exists(path):
-        return "renamed" if etag and os.path.exists(target) and _hash(target) == etag else "missing"
-    if etag and _hash(path) != etag:
-        return "etag_mismatch"
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    try:
-        os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-    except FileExistsError:
-        return "collision"
-    os.replace(path, target)
-    return "renamed"
-
-
-def _hash(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
 def rename_approved(decisions: DataFrame, outcomes: str, root: str = "") -> DataFrame:
     """Carry out the renames of an approved plan (path, proposed_path, decision and, if there is one, etag as SHA-256 of the content)
     on a file system that all executors see. Content and target are looked at once more at that moment. The tasks' outcomes
-    (path, proposed_path, outcome) are written to the folder ``outcomes``, which is read back."""
+    (path, proposed_path, outcome) are written to the folder ``outcomes``, which is read back. :mod:`.journal` also stores intents."""
     etag = F.col("etag") if "etag" in decisions.columns else F.lit(None)
     rows = decisions.where(F.col("decision") == "rename").select("path", "proposed_path", etag.cast("string").alias("etag"))
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            done = [_rename(p, os.path.join(root, t), e) for p, t, e in zip(batch["path"], batch["proposed_path"], batch["etag"], strict=True)]
+            done = [settle(p, os.path.join(root, t), e) for p, t, e in zip(batch["path"], batch["proposed_path"], batch["etag"], strict=True)]
             yield batch[["path", "proposed_path"]].assign(outcome=done)
 
     rows.mapInPandas(run, "path string, proposed_path string, outcome string").write.mode("append").parquet(outcomes)

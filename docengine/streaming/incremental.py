@@ -11,13 +11,14 @@ from ..plans.run import analyse
 from ..sources.local import detect_type, supported
 
 
-def new_files(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
-    """A stream of supported files of a folder, each content once while its modification time is within ``late`` of the newest;
-    later repeats are left to the idempotency key of a batch."""
+def new_files(spark: SparkSession, folder: str, max_age: str = "36500d") -> DataFrame:
+    """A stream of the supported files of a folder, each path once, however old it is and whatever came before it.
+
+    Files of equal content are files each; copies that were applied are told by the idempotency key of a batch. ``max_age`` is how much
+    older than the newest file one may be and still be found; paths are remembered for as long."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    kept = files.where(supported(detect_type(F.col("path"), F.col("content")))).withColumn("content_hash", F.sha2("content", 256))
-    return kept.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["content_hash"])
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFileAge", max_age).load(folder)
+    return files.where(supported(detect_type(F.col("path"), F.col("content")))).withColumn("content_hash", F.sha2("content", 256))
 
 
 def analyse_stream(docs: DataFrame, policy: Policy, out: str, checkpoint: str) -> StreamingQuery:
