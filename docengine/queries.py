@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming, normalize
 from .operators import extract as x
-from .operators import filename, pages
+from .operators import filename, pages, temporal
 from .operators.classify import classify
 from .operators.validate import validate
-from .plans import audit, evaluate, render, run
+from .plans import audit, evaluate, history, render, run
 from .plans.policy import DEFAULT
-from .plans.store import stored
+from .plans.store import shared, stored
 from .sources import local, manifest
-from .streaming import incremental
+from .streaming import incremental, runs
 
 FIELDS = [f.id for f in DEFAULT.fields]
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,6 +463,70 @@ def s17_plan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.apply_gate(plans, runs, compat=True).select("item_id", "validation_status")
 
 
+_MOVES = f"SELECT run_id, seq, from_status, to_status, CASE WHEN (from_status, to_status) IN (VALUES {_LEGAL}) THEN to_status ELSE from_status END AS status, (from_status, to_status) IN (VALUES {_LEGAL}) AS moved FROM ({_CHANGES}) c"
+
+
+@query(_MOVES)
+def o10_a08_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as o10_a08_transitions, as a stream of files that each hold requests of all times: each run's state in RocksDB. A
+    last file moves the watermark beyond the lateness, so that no request waits on."""
+    wanted = render.run_events(spark, sf_dir).select("run_id", "seq", F.col("status").alias("to_status"), F.col("updated_at").cast("timestamp").alias("occurred_at"))
+    at = shared(spark, "runs")
+    wanted.repartition(6, "seq").write.parquet(f"{at}/in")
+    first, last = wanted.agg(F.min("occurred_at"), F.max("occurred_at")).first()
+    late = 0 if last is None else int((last - first).total_seconds()) + 60
+    if last is not None:
+        runs.clock(spark, last + timedelta(seconds=2 * late)).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(wanted.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
+    runs.start(runs.machine(stream, f"{late} seconds", stuck_ms=10**13, recorded=True), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return runs.outcomes(spark, f"{at}/out").select("run_id", "seq", "from_status", "to_status", "status", "moved")
+
+
+@query(f"SELECT doc_key::VARCHAR AS item_id, status, doc_type, CAST(2 AS BIGINT) AS n_events, CAST(doc_key % 3 AS BIGINT) AS batch FROM ({_PLAN}) p")
+def o01_a03_batch_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items in three batches through the exactly-once driver; each batch is offered twice. Newest versions of runs with their events."""
+    at = shared(spark, "history")
+    items, h = _items(spark, sf_dir).withColumn("arrived_at", F.timestamp_seconds(F.col("item_id").cast("long"))), history.History(spark, at)
+    for batch in (0, 1, 0, 2, 2):
+        history.add_batch(h, items.where(F.col("item_id").cast("long") % 3 == batch), DEFAULT, "scan", batch)
+    runs_ = audit.load_runs(h.read("runs").drop("query"), h.read("events"))
+    return runs_.select("item_id", "status", "doc_type", F.size("events").cast("long").alias("n_events"), "batch")
+
+
+# -- joins by time -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT l.seq, l.item_id, r.seq AS applied_seq, epoch_us(r.updated_at) AS applied_us FROM ({RUNS}) l
+ ASOF LEFT JOIN (SELECT * FROM ({RUNS}) x WHERE status = 'applied') r ON l.item_id = r.item_id AND l.updated_at >= r.updated_at""")
+def a05_applied_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version of a run the applied one that its item had at that time."""
+    rows = render.run_events(spark, sf_dir).select("seq", "item_id", "status", "updated_at")
+    applied = rows.where("status = 'applied'").select("item_id", F.col("seq").alias("applied_seq"), F.col("updated_at").alias("applied_at"))
+    out = temporal.as_of(rows, applied, ["item_id"], "updated_at", "applied_at", ["applied_seq", "applied_at"], tie="applied_seq")
+    return out.select("seq", "item_id", "applied_seq", F.unix_micros(F.col("applied_at").cast("timestamp")).alias("applied_us"))
+
+
+_DAY = "CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT)"
+
+
+@query(f"SELECT a.o_orderkey AS doc_key, b.o_orderkey AS open_key FROM (SELECT o_orderkey, o_custkey, {_DAY} AS d FROM orders) a JOIN (SELECT o_orderkey, o_custkey, {_DAY} AS d FROM orders) b ON a.o_custkey = b.o_custkey AND a.d >= b.d AND a.d < b.d + b.o_orderkey % 90 + 1")
+def r01_open_when_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose payment term, of 1 to 90 days, is running when another order of that customer comes in."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86_400_000_000)).alias("day"))
+    terms = o.select(F.col("o_orderkey").alias("open_key"), "o_custkey", F.col("day").alias("from_day"), (F.col("day") + F.col("o_orderkey") % 90 + 1).alias("to_day"))
+    return temporal.within(o, terms, "day", "from_day", "to_day", ["o_custkey"]).select(F.col("o_orderkey").alias("doc_key"), "open_key")
+
+
+@query(f"""SELECT c_custkey, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS order_keys FROM customer JOIN (SELECT o_orderkey, {_DAY} AS d FROM orders) o
+ ON d >= 8035 + c_custkey * 37 % 2400 AND d < 8035 + c_custkey * 37 % 2400 + c_custkey % 45 + 1 GROUP BY c_custkey""")
+def r02_orders_in_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies valid for 1 to 45 days, one a customer, and all orders that fall into each: a range join without keys."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86_400_000_000)).alias("day"))
+    start = F.lit(8035) + F.col("c_custkey") * 37 % 2400
+    policies = _table(spark, sf_dir, "customer").select("c_custkey", start.alias("valid_from"), (start + F.col("c_custkey") % 45 + 1).alias("valid_to"))
+    return temporal.within(o, policies, "day", "valid_from", "valid_to").groupBy("c_custkey").agg(F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("order_keys"))
+
+
 # -- evaluation --------------------------------------------------------------------------------------------------------
 
 
