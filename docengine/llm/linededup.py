@@ -4,18 +4,12 @@ Lines that aren't blank (white space at the ends aside) and resemble each other
 first by (doc_id, hash of the text, place). Two lines resemble each other if the Jaccard similarity of their sets of
 SHINGLE-character shingles is at least 0.8; a shorter line is one shingle.
 
-Equal lines are one node from the start, a 128-bit hash. A node's shingles are hashed once and sorted, which puts the set in the order
+Equal lines are one node from the start, a 128-bit hash. A node's shingles are all hashed once and sorted, which puts the set in the order
 of one random permutation, on a ring. The signature reads the ring at STARTS fixed places: from each, the next WINDOW values are the
 WINDOW least ones of the permutation that begins there, and their hash is the bucket of one band. Two lines share it exactly if the
-next WINDOW elements of their union are in both, so with probability 0.8**6 at 0.8, and none of the 20 with 0.002. Three kinds of sets
-give buckets, and lines near a border give those of both kinds, so that a pair at 0.8 always has a kind in common:
-
-* at most SMALL shingles: windows of 4 from every element. Among u elements on a ring of which at most a fifth differ, 4 in a row are
-  in both, so no pair is missed;
-* FEW or more: windows as above over all shingles;
-* SAMPLED or more left by a fixed choice of the first character (every third of ASCII, and everything else): windows over
-  those. They stand for a permutation that puts the chosen shingles first, and the others needn't be hashed. Lines with WHOLE or
-  more of a choice give no buckets of a wider one.
+next WINDOW elements of their union are in both, so with probability 0.8**6 at 0.8, and none of the 20 with 0.002, wherever and in whatever
+script they differ. Sets of at most SMALL shingles give windows of 4 from every element instead: among u elements on a ring of which at most a
+fifth differ, 4 in a row are in both, so no pair is missed. Lines of FEW to SMALL give both, so that a pair at 0.8 always has a kind in common.
 
 Pairs are found and compared exactly by :func:`.components.linked`, components come from its distributed union-find.
 
@@ -33,12 +27,10 @@ from .components import linked
 
 SHINGLE, SIMILAR, LEAST_CHARS = 5, 0.8, 1
 WINDOW, STARTS, SMALL_WINDOW = 6, 20, 4
-SMALL, FEW, SAMPLED, WHOLE = 40, 32, 32, 48
+SMALL, FEW = 40, 32
 SPACES = " \t\n\x0b\x0c\r"
 #: The second half of a character that Java stores as two is no place to start at.
 ANY = "[^\\uDC00-\\uDFFF]"
-#: First characters of shingles, from the narrowest choice to all.
-FIRST = [*("[" + "".join(f"\\x{c:02x}" for c in range(0, 128, n)) + "\\u0080-\\uD7FF\\uE000-\\uFFFF\\x{10000}-\\x{10FFFF}]" for n in (3,)), ANY]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,15 +44,15 @@ def _id(line: str = "line") -> Column:
     return F.unhex(F.md5(line))
 
 
-def shingles(line: Column, first: str = ANY) -> Column:
-    """A line's shingles that begin with ``first``, in order; a short line is one shingle."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({first}.{{{SHINGLE - 1}}}))"), F.lit(1))
+def shingles(line: Column) -> Column:
+    """A line's shingles, in order; a short line is one shingle."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({ANY}.{{{SHINGLE - 1}}}))"), F.lit(1))
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
-def shingle_set(line: Column, first: str = ANY) -> Column:
+def shingle_set(line: Column) -> Column:
     """64-bit hashes of the different shingles."""
-    return F.array_distinct(F.transform(shingles(line, first), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
 
 
 def _around(ring: Column, size: int) -> Column:
@@ -79,16 +71,12 @@ def _windows(around: Column, n: Column, kind: int, size: int, every: bool) -> Co
 
 def signed(lines: DataFrame) -> DataFrame:
     """(id, buckets) of different lines (id, line). What is used twice is a column of its own, so that it is evaluated once."""
-    rows, last = lines, len(FIRST) - 1
-    for k, first in enumerate(FIRST):
-        found = F.sort_array(shingle_set(F.col("line"), first))
-        rows = rows.withColumn(f"ring{k}", F.when(F.col(f"n{k - 1}") < WHOLE, found) if k else found).withColumn(f"n{k}", F.size(f"ring{k}"))
-    rows = rows.select("id", *[f"n{k}" for k in range(last + 1)], *[_around(F.col(f"ring{k}"), WINDOW).alias(f"ring{k}") for k in range(last + 1)])
-    n, everything = F.col(f"n{last}"), F.col(f"ring{last}")
-    kinds = [F.when(F.col(f"n{k}") >= (FEW if k == last else SAMPLED), _windows(F.col(f"ring{k}"), F.col(f"n{k}"), k, WINDOW, False)) for k in range(last + 1)]
-    kinds.append(F.when(n.between(1, SMALL), _windows(everything, n, last + 1, SMALL_WINDOW, True)))
+    rings = lines.select("id", F.sort_array(shingle_set(F.col("line"))).alias("ring")).withColumn("n", F.size("ring"))
+    n, ring = F.col("n"), F.col("ring")
+    rings = rings.select("id", "n", _around(ring, WINDOW).alias("ring"))
+    kinds = [F.when(n >= FEW, _windows(ring, n, 0, WINDOW, False)), F.when(n.between(1, SMALL), _windows(ring, n, 1, SMALL_WINDOW, True))]
     none = F.array().cast("array<bigint>")
-    return rows.select("id", F.array_distinct(F.concat(*[F.coalesce(x, none) for x in kinds])).alias("buckets"))
+    return rings.select("id", F.array_distinct(F.concat(*[F.coalesce(x, none) for x in kinds])).alias("buckets"))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
