@@ -37,7 +37,8 @@ def read_model(path: str) -> bytes:
 
 
 class PieceModel:
-    """Pieces, scores and rules of one SentencePiece model with the identity normaliser."""
+    """Pieces, scores and rules of one SentencePiece model with the identity normaliser. Characters of a normal piece are taken to be
+    pieces themselves, as its trainer makes them."""
 
     def __init__(self, data: bytes) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -136,48 +137,56 @@ class Counter:
 
     def __init__(self, data: bytes) -> None:
         self.model = PieceModel(data)
-        self.new: dict[str, tuple[int, int, float]] = {}
-        self.old: dict[str, tuple[int, int, float]] = {}
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
-    def solve(self, chunk: str) -> tuple[int, int, float]:
-        """(pieces by merging, pieces of the best path, its score). Ties: of equal paths into a position, the one whose last
-        piece starts first, as the tokenizer's own Viterbi search keeps it."""
+    def solve(self, chunk: str) -> tuple[int, int, float, tuple[bool, bool], tuple[bool, bool]]:
+        """(pieces by merging, pieces of the best path, its score, ends of both). Ties: of equal paths into a position, the one whose last
+        piece starts first, as the tokenizer's own Viterbi search keeps it.
+
+        Without byte fallback, unknown characters in a row are one piece; ends say whether a path starts and ends with one."""
         m, n = self.model, len(chunk)
         score, text = m.score, m.text
         best: list[float | None] = [None] * (n + 1)
         best_n, last, last_n = [0] * (n + 1), [UNK] * (n + 1), [0] * (n + 1)
         best[0], ok = 0.0, [False] * (n + 1)
         ok[0] = True
+        joins = not m.byte_fallback
+        # Whether the path into a position starts, and ends, with an unknown character.
+        odd, best_odd = [(False, False)] * (n + 1), [(False, False)] * (n + 1)
         merged = chunk.startswith(SPACE * 2) or SPACE in chunk[1:]
         matches = iter(m.automaton.iter(chunk))
         at = next(matches, None)
         for i, char in enumerate(chunk):
-            top, top_n, single = None, 0, False
+            top, top_n, top_odd, single = None, 0, (False, False), False
             while at is not None and at[0] == i:
                 size, piece = at[1]
                 j = i + 1 - size
                 single |= size == 1
                 if best[j] is not None and (top is None or best[j] + score[piece] > top):
-                    top, top_n = best[j] + score[piece], best_n[j] + 1
+                    top, top_n, top_odd = best[j] + score[piece], best_n[j] + 1, (best_odd[j][0], False)
                 if not merged and ok[j] and not ok[i + 1] and m.whole(piece) and (j == 0 or m.apart(last[j], piece)):
-                    ok[i + 1], last[i + 1], last_n[i + 1] = True, piece, last_n[j] + 1
+                    ok[i + 1], last[i + 1], last_n[i + 1], odd[i + 1] = True, piece, last_n[j] + 1, (odd[j][0], False)
                 at = next(matches, None)
             if not single:
                 extra = m.n_bytes(char)
                 if best[i] is not None and (top is None or best[i] + m.unk_score > top):
-                    top, top_n = best[i] + m.unk_score, best_n[i] + extra
+                    top, top_n, top_odd = best[i] + m.unk_score, best_n[i] + extra - (joins and best_odd[i][1]), (i == 0 or best_odd[i][0], True)
                 if ok[i]:
-                    ok[i + 1], last[i + 1], last_n[i + 1] = True, UNK, last_n[i] + extra
-            best[i + 1], best_n[i + 1] = top, top_n
+                    ok[i + 1], last[i + 1], last_n[i + 1], odd[i + 1] = True, UNK, last_n[i] + extra - (joins and odd[i][1]), (i == 0 or odd[i][0], True)
+            best[i + 1], best_n[i + 1], best_odd[i + 1] = top, top_n, top_odd
+        by_merge, ends = last_n[n], odd[n]
         if merged or not ok[n]:
-            by_merge = sum(1 if p != UNK else m.n_bytes(c) for p, c in _with_text(m, chunk))
-        else:
-            by_merge = last_n[n]
-        return by_merge, best_n[n], best[n] or 0.0
+            found = _with_text(m, chunk)
+            unknown = [p == UNK for p, _ in found]
+            by_merge = sum(1 if p != UNK else m.n_bytes(c) for p, c in found) - (sum(a and b for a, b in zip(unknown, unknown[1:], strict=False)) if joins else 0)
+            ends = (unknown[0], unknown[-1]) if unknown else (False, False)
+        return by_merge, best_n[n], best[n] or 0.0, ends, best_odd[n]
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Totals of a whole text; of null or the empty text zeros."""
         total, total_u, total_s = 0, 0, 0.0
+        joins, after, after_u = not self.model.byte_fallback, False, False
         if text:
             new, old = self.new, self.old
             for chunk in self.model.chunks(text):
@@ -194,6 +203,10 @@ class Counter:
                 total += got[0]
                 total_u += got[1]
                 total_s += got[2]
+                if joins:  # a run of unknown characters goes on over the start of a chunk
+                    total -= after and got[3][0]
+                    total_u -= after_u and got[4][0]
+                    after, after_u = got[3][1], got[4][1]
         return total, total_u, total_s
 
 

@@ -238,7 +238,12 @@ class Codec:
                     new[key] = got
             parts.append(got)
             first = False
-        return np.frombuffer(b"".join(parts), np.int32)
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        if self.model.byte_fallback:
+            return ids
+        # Without bytes for them, unknown characters in a row are one piece, also over the start of a word.
+        unknown = ids == self.model.unk_id
+        return ids[~np.concatenate([[False], unknown[1:] & unknown[:-1]])]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: L and B read backwards, then N's start output removed."""

@@ -85,7 +85,7 @@ def test_best_path_is_best(pieces):
             found = [(best[s][0] + m.score[m.id[chunk[s:end]]], best[s][1] + 1) for s in range(end) if chunk[s:end] in m.id and s in best]
             if found:
                 best[end] = max(found, key=lambda x: x[0])
-        _, n, score = c.solve(chunk)
+        _, n, score, *_ = c.solve(chunk)
         assert abs(score - best[len(chunk)][0]) < 1e-4 and n <= len(chunk)
 
 
@@ -105,23 +105,30 @@ def test_spaces_and_odd_words_have_one_path(pieces):
     assert codec.merged_chunks == 0
 
 
-def test_unigram_file():
-    import sentencepiece
+@pytest.mark.parametrize("kind, fallback, own", [(1, True, False), (1, False, False), (1, True, True), (1, False, True), (2, True, False), (2, False, False)])
+def test_small_files(kind, fallback, own):
+    """Unigram (1) and BPE (2) files with and without byte fallback, and a user-defined piece, against the tokenizer."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
-    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
-    rows += [(p, -float(k) - 1.25 / (k + 1), 1) for k, p in enumerate(("▁a", "ab", "▁", "abc", "c", "b", "a", "bca", "▁ab", "cab"), 1)]
-    for piece, score, kind in rows:
-        proto.pieces.add(piece=piece, score=score, type=kind)
-    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, True
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback)]
+    texts = ["▁a", "ab", "▁", "abc", "c", "b", "a", "bca", "▁ab", "cab"] if kind == 1 else ["ab", "▁a", "▁ab", "bc", "abc", "ca", "▁", "c", "b", "a"]
+    rows += [(p, -float(k) - 1.25 / (k + 1) if kind == 1 else -float(k), 1) for k, p in enumerate(texts, 1)]
+    rows += [("cc", 0.0, 4)] if own else []
+    for piece, score, type_ in rows:
+        proto.pieces.add(piece=piece, score=score, type=type_)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, fallback
     proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = True, False
-    codec, known = transducer.Codec(proto.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    data = proto.SerializeToString()
+    codec, counter, known = transducer.Codec(data), token_counts.Counter(data), sentencepiece.SentencePieceProcessor(model_proto=data)
     rng = random.Random(5)
-    for _ in range(300):
-        text = "".join(rng.choice("aabbcc é") for _ in range(rng.randint(0, 14)))
-        assert codec.encode(text).tolist() == known.encode(text), text
-        assert codec.decode(codec.encode(text).tolist()) == text
+    for _ in range(400):
+        text = "".join(rng.choice("aabbcc éx漢") for _ in range(rng.randint(0, 14)))
+        want = known.encode(text)
+        assert codec.encode(text).tolist() == want, text
+        by_merge, best, *_ = counter.count(text)
+        assert (best if kind == 1 else by_merge) == len(want), text
+        assert not fallback or codec.decode(codec.encode(text).tolist()) == text
 
 
 def test_quality_and_shards_match_sql(spark, sf_dir):
