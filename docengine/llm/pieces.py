@@ -25,6 +25,8 @@ CACHE_PAIRS = 500_000
 #: A model file is sent to every worker, so its size is checked first.
 MODEL_BYTES = 64 << 20
 UNK = -1
+#: A path that neither starts nor ends with an unknown character.
+NEITHER = (False, False)
 
 
 def read_model(path: str) -> bytes:
@@ -153,35 +155,45 @@ class Counter:
         ok[0] = True
         joins = not m.byte_fallback
         # Whether the path into a position starts, and ends, with an unknown character.
-        odd, best_odd = [(False, False)] * (n + 1), [(False, False)] * (n + 1)
+        odd, best_odd = ([NEITHER] * (n + 1), [NEITHER] * (n + 1)) if joins else (None, None)
         merged = chunk.startswith(SPACE * 2) or SPACE in chunk[1:]
         matches = iter(m.automaton.iter(chunk))
         at = next(matches, None)
         for i, char in enumerate(chunk):
-            top, top_n, top_odd, single = None, 0, (False, False), False
+            top, top_n, top_odd, single = None, 0, NEITHER, False
             while at is not None and at[0] == i:
                 size, piece = at[1]
                 j = i + 1 - size
                 single |= size == 1
                 if best[j] is not None and (top is None or best[j] + score[piece] > top):
-                    top, top_n, top_odd = best[j] + score[piece], best_n[j] + 1, (best_odd[j][0], False)
+                    top, top_n = best[j] + score[piece], best_n[j] + 1
+                    if joins:
+                        top_odd = (best_odd[j][0], False)
                 if not merged and ok[j] and not ok[i + 1] and m.whole(piece) and (j == 0 or m.apart(last[j], piece)):
-                    ok[i + 1], last[i + 1], last_n[i + 1], odd[i + 1] = True, piece, last_n[j] + 1, (odd[j][0], False)
+                    ok[i + 1], last[i + 1], last_n[i + 1] = True, piece, last_n[j] + 1
+                    if joins:
+                        odd[i + 1] = (odd[j][0], False)
                 at = next(matches, None)
             if not single:
                 extra = m.n_bytes(char)
                 if best[i] is not None and (top is None or best[i] + m.unk_score > top):
-                    top, top_n, top_odd = best[i] + m.unk_score, best_n[i] + extra - (joins and best_odd[i][1]), (i == 0 or best_odd[i][0], True)
+                    top, top_n = best[i] + m.unk_score, best_n[i] + extra
+                    if joins:
+                        top_n, top_odd = top_n - best_odd[i][1], (i == 0 or best_odd[i][0], True)
                 if ok[i]:
-                    ok[i + 1], last[i + 1], last_n[i + 1], odd[i + 1] = True, UNK, last_n[i] + extra - (joins and odd[i][1]), (i == 0 or odd[i][0], True)
-            best[i + 1], best_n[i + 1], best_odd[i + 1] = top, top_n, top_odd
-        by_merge, ends = last_n[n], odd[n]
+                    ok[i + 1], last[i + 1], last_n[i + 1] = True, UNK, last_n[i] + extra
+                    if joins:
+                        last_n[i + 1], odd[i + 1] = last_n[i + 1] - odd[i][1], (i == 0 or odd[i][0], True)
+            best[i + 1], best_n[i + 1] = top, top_n
+            if joins:
+                best_odd[i + 1] = top_odd
+        by_merge, ends = last_n[n], odd[n] if joins else NEITHER
         if merged or not ok[n]:
             found = _with_text(m, chunk)
             unknown = [p == UNK for p, _ in found]
             by_merge = sum(1 if p != UNK else m.n_bytes(c) for p, c in found) - (sum(a and b for a, b in zip(unknown, unknown[1:], strict=False)) if joins else 0)
-            ends = (unknown[0], unknown[-1]) if unknown else (False, False)
-        return by_merge, best_n[n], best[n] or 0.0, ends, best_odd[n]
+            ends = (unknown[0], unknown[-1]) if unknown else NEITHER
+        return by_merge, best_n[n], best[n] or 0.0, ends, best_odd[n] if joins else NEITHER
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Totals of a whole text; of null or the empty text zeros."""
