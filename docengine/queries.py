@@ -13,7 +13,7 @@ from .operators import extract as x
 from .operators import filename, pages, temporal
 from .operators.classify import classify
 from .operators.validate import validate
-from .plans import audit, evaluate, history, render, run
+from .plans import audit, evaluate, history, render, run, sketches
 from .plans.policy import DEFAULT
 from .plans.store import shared, stored
 from .sources import local, manifest
@@ -493,6 +493,20 @@ def o01_a03_batch_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_.select("item_id", "status", "doc_type", F.size("events").cast("long").alias("n_events"), "batch")
 
 
+@query(f"SELECT week, n, true AS users_close, true AS median_close FROM (SELECT CAST((dayofyear(ts) - 1) // 7 AS BIGINT) AS week, count(value) AS n FROM events GROUP BY 1) w UNION ALL SELECT NULL, count(value), true, true FROM events")
+def a06_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches stored by day, merged to weeks and to everything (week null), held against exact counts and ranks."""
+    rows = _table(spark, sf_dir, "events").select(F.dayofyear("ts").alias("day"), F.floor((F.dayofyear("ts") - 1) / 7).alias("week"), "user_id", "value")
+    days = stored(sketches.sketch(rows, ["week", "day"], "user_id", "value"))
+    every = sketches.merged(days, ["week"]).unionByName(sketches.merged(days).withColumn("week", F.lit(None).cast("long")))
+    found = stored(every.select("week", sketches.n_values().alias("n"), sketches.n_items().alias("users"), sketches.quantile(0.5).alias("median")))
+    both = rows.select("user_id", "value", F.explode(F.array("week", F.lit(None).cast("long"))).alias("week"))
+    held = both.join(F.broadcast(found), both["week"].eqNullSafe(found["week"])).groupBy(found["week"])  # a row a week
+    exact = held.agg(F.countDistinct("user_id").alias("exact"), F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto"), *[F.first(c).alias(c) for c in ("n", "users")])
+    close = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * sketches.DISTINCT_ERROR)
+    return exact.select("week", "n", close.alias("users_close"), ((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_close"))
+
+
 # -- joins by time -----------------------------------------------------------------------------------------------------
 
 
