@@ -99,6 +99,22 @@ def timestamp(text: Column, otherwise: Column | None = None) -> Column:
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 
+def with_data(events: DataFrame, json: str = "data") -> DataFrame:
+    """``events`` with the JSON text of a column as a variant, so that events of different types keep data of different shapes; null if it
+    isn't JSON."""
+    return events.withColumn(json, F.try_parse_json(json))
+
+
+def datum(path: str, kind: str, column: str = "data") -> Column:
+    """The value at a path of an event's data as ``kind``; null if the path isn't there or holds something else."""
+    return F.try_variant_get(column, path, kind)
+
+
+def data_shapes(events: DataFrame, by: str = "event_type", column: str = "data") -> DataFrame:
+    """(by, shape, n): the common schema of the data of each type, found with partial aggregation."""
+    return events.groupBy(by).agg(F.schema_of_variant_agg(column).alias("shape"), F.count(column).alias("n"))
+
+
 def quarantine_reason(codes: Column, words: dict[str, str]) -> Column:
     """'quarantined: ' and the words of the codes, or a sentence that there is none."""
     names = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])

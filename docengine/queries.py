@@ -507,6 +507,20 @@ def a06_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select("week", "n", close.alias("users_close"), ((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_close"))
 
 
+#: Data of a shape for each type of events, the same text in Spark and DuckDB.
+_DATA = """CASE event_type WHEN 'error' THEN '{"code": ' || CAST(event_id % 7 AS STRING) || ', "detail": {"user": ' || CAST(user_id AS STRING) || ', "fatal": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}'
+ WHEN 'view' THEN props WHEN 'signup' THEN 'no data' ELSE '{"ids": [' || CAST(event_id AS STRING) || ', ' || CAST(user_id AS STRING) || '], "k": "text"}' END"""
+
+
+@query(f"""SELECT event_id, json_valid(d) AS has_data, CASE WHEN json_valid(d) AND json_type(d, '$.k') = 'UBIGINT' THEN CAST(json_extract(d, '$.k') AS BIGINT) END AS k, CASE WHEN json_valid(d) THEN CAST(json_extract(d, '$.detail.user') AS BIGINT) END AS user_id,
+ CASE WHEN json_valid(d) THEN CAST(json_extract(d, '$.detail.fatal') AS BOOLEAN) END AS fatal, CASE WHEN json_valid(d) THEN CAST(json_extract(d, '$.ids[1]') AS BIGINT) END AS second_id FROM (SELECT event_id, {_DATA} AS d FROM events) e""")
+def a08_event_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose data differ by type, one of which has none that is JSON, as variants."""
+    e = audit.with_data(_table(spark, sf_dir, "events").select("event_id", F.expr(_DATA).alias("data")))
+    kinds = {"k": ("$.k", "bigint"), "user_id": ("$.detail.user", "bigint"), "fatal": ("$.detail.fatal", "boolean"), "second_id": ("$.ids[1]", "bigint")}
+    return e.select("event_id", F.col("data").isNotNull().alias("has_data"), *[audit.datum(*at).alias(c) for c, at in kinds.items()])
+
+
 # -- joins by time -----------------------------------------------------------------------------------------------------
 
 

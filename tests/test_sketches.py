@@ -2,7 +2,7 @@
 
 import random
 
-from docengine.plans import sketches
+from docengine.plans import audit, sketches
 
 
 def test_any_set_of_batches(spark, tmp_path):
@@ -30,3 +30,12 @@ def test_batches_are_small_and_merge_by_group(spark):
     halves = sketches.merged(made.withColumn("half", made["batch"] % 2), ["half"]).select("half", sketches.n_values().alias("n")).collect()
     assert {r.half: r.n for r in halves} == {0: 100_000, 1: 100_000}
     assert sketches.merged(made.limit(0)).select(sketches.n_items().alias("n")).first().n in (0, None)
+
+
+def test_data_of_different_shapes(spark):
+    rows = [("a", '{"x": 1, "y": {"z": [true, null, "s"]}}'), ("a", '{"x": "text"}'), ("b", "not json"), ("b", None), ("c", "[1.5, 2]")]
+    events = audit.with_data(spark.createDataFrame(rows, "event_type string, data string"))
+    got = events.select(audit.datum("$.x", "int").alias("x"), audit.datum("$.y.z[2]", "string").alias("s"), audit.datum("$[0]", "double").alias("first")).collect()
+    assert [tuple(r) for r in got] == [(1, "s", None), (None, None, None), (None, None, None), (None, None, None), (None, None, 1.5)]
+    shapes = {r.event_type: (r["shape"], r.n) for r in audit.data_shapes(events).collect()}
+    assert shapes["b"][1] == 0 and shapes["a"][1] == 2 and shapes["a"][0].startswith("OBJECT<") and shapes["c"][0].startswith("ARRAY<")
