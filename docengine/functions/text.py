@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: What separates lines: a pair or one of ten single characters.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-#: Stands between a raw value and its confidence in a packed match; no document text holds it.
+#: Stands between a raw value and its confidence in a packed match; the last one counts, as a text may hold it and a confidence doesn't.
 UNIT = "\x1f"
 
 
@@ -60,7 +60,7 @@ def pack(raw: Column, confidence: float) -> Column:
 
 
 def raw_of(packed: Column) -> Column:
-    return F.substring_index(packed, UNIT, 1)
+    return F.substr(packed, F.lit(1), F.length(packed) - F.length(F.substring_index(packed, UNIT, -1)) - 1)
 
 
 def confidence_of(packed: Column) -> Column:

@@ -3,7 +3,10 @@
 import pytest
 from oracle import same, tables
 
+from pyspark.sql import functions as F
+
 from docengine import queries
+from docengine.functions import text
 from docengine.operators import extract
 from docengine.operators.classify import classify
 
@@ -40,3 +43,12 @@ def test_evidence_of_all_fields(spark):
     for f in ("invoice_number", "invoice_date", "total_amount", "currency", "due_date", "vat_number", "purchase_order_number", "recipient_organization"):
         assert rows[0][f"ev_{f}"], f
     assert rows[1].raw_invoice_number is None or rows[1].ev_invoice_number
+
+
+def test_values_may_hold_any_character(spark):
+    """Also the one that stands between a value and its confidence while rules are tried."""
+    docs = classify(spark.createDataFrame([("tax invoice\nSupplier: Acme\x1fTrading House\nInvoice No: INV-7",)], "text string"))
+    row = extract.extract(docs, queries.FIELDS).first()
+    assert row.raw_organization_name.endswith("Acme\x1fTrading House") and row.conf_organization_name > 0.5 and row.raw_invoice_number == "INV-7"
+    packed = text.pack(F.col("text"), 0.85)
+    assert tuple(docs.select(text.raw_of(packed), text.confidence_of(packed)).first()) == (docs.first()["text"], 0.85)
