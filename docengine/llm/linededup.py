@@ -51,30 +51,37 @@ def shingles(line: Column) -> Column:
 
 
 def shingle_set(line: Column) -> Column:
-    """64-bit hashes of the different shingles."""
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    """64-bit hashes of the different shingles. In ASCII lines characters are bytes, and pieces of a binary are cut without a pattern and without
+    counting characters; the hashes are the same. The binary is bound to a lambda variable, which isn't copied at every use."""
+    last = F.length(line) - (SHINGLE - 1)
+    cut = lambda b: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr(b, i, F.lit(SHINGLE))))
+    plain = F.get(F.transform(F.array(line.cast("binary")), cut), F.lit(0))
+    hashes = F.when((F.octet_length(line) == F.length(line)) & (last >= 1), plain).otherwise(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    return F.array_distinct(hashes)
 
 
-def _around(ring: Column, size: int) -> Column:
-    """A ring with its first elements once more behind it."""
-    return F.concat(ring, F.slice(ring, 1, size - 1))
+#: The least values of STARTS equal parts of the 64-bit integers.
+PLACES = [-(-(k * 2**64) // STARTS) - 2**63 for k in range(STARTS)]
 
 
-def _windows(around: Column, n: Column, kind: int, size: int, every: bool) -> Column:
-    """Hashes of ``size`` elements in a row of a ring of ``n``, from every element or from the first after each of STARTS places."""
-    at = F.sequence(F.lit(1), n)
-    if not every:
-        part = lambda i: F.floor(F.get(around, i - 1) * F.lit(STARTS / 2.0**64))
-        at = F.filter(at, lambda i: (i == 1) | (part(i) != part(i - 1)))
-    return F.transform(at, lambda i: F.xxhash64(F.lit(kind), *[F.get(around, i + k) for k in range(-1, size - 1)]))
+def _hashed(ring: Column, at: Column, kind: int, size: int) -> Column:
+    """Hashes of ``size`` elements in a row of a ring, from each of the places ``at`` (from 1)."""
+    return F.transform(at, lambda i: F.xxhash64(F.lit(kind), *[F.get(ring, i + k) for k in range(-1, size - 1)]))
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """(id, buckets) of different lines (id, line). What is used twice is a column of its own, so that it is evaluated once."""
-    rings = lines.select("id", F.sort_array(shingle_set(F.col("line"))).alias("ring")).withColumn("n", F.size("ring"))
+    """(id, buckets) of different lines (id, line). What is used twice is a column of its own, so that it is evaluated once.
+
+    The first element after each of PLACES is found by sorting the places in among the elements: the k-th place's own position, less the k places
+    before it, is that element's position on the ring (one behind the last is the first again)."""
+    rings = lines.select("id", F.sort_array(shingle_set(F.col("line"))).alias("ring"))
+    places = F.array(*[F.lit(x).cast("long") for x in PLACES])
+    rings = rings.select("id", "ring", F.size("ring").alias("n"), F.sort_array(F.concat("ring", places)).alias("among"))
+    at = F.array(*[(F.array_position("among", F.lit(x).cast("long")) - k).cast("int") for k, x in enumerate(PLACES)])
+    # Rings go on from the start behind their last element.
+    rings = rings.select("id", "n", F.concat("ring", F.slice("ring", 1, WINDOW)).alias("ring"), F.when(F.col("n") >= FEW, F.array_distinct(at)).alias("at"))
     n, ring = F.col("n"), F.col("ring")
-    rings = rings.select("id", "n", _around(ring, WINDOW).alias("ring"))
-    kinds = [F.when(n >= FEW, _windows(ring, n, 0, WINDOW, False)), F.when(n.between(1, SMALL), _windows(ring, n, 1, SMALL_WINDOW, True))]
+    kinds = [_hashed(ring, F.col("at"), 0, WINDOW), F.when(n.between(1, SMALL), _hashed(ring, F.sequence(F.lit(1), n), 1, SMALL_WINDOW))]
     none = F.array().cast("array<bigint>")
     return rings.select("id", F.array_distinct(F.concat(*[F.coalesce(x, none) for x in kinds])).alias("buckets"))
 
