@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..functions.text import strip
 from ..operators import extract as x
 from ..operators.classify import classify
 from ..operators.validate import validate
@@ -50,15 +51,21 @@ def batch_collisions(proposed: DataFrame, key: str = "item_id") -> DataFrame:
     return out.withColumns({"proposed_path": renamed, "renamed": clash}).drop("_first", "_n", "_path", "_mark", "_copies")
 
 
-def results(analysed: DataFrame, policy: Policy) -> DataFrame:
+def results(analysed: DataFrame, policy: Policy, content_hash: Column | None = None, page_count: Column | None = None, total_chars: Column | None = None) -> DataFrame:
     """``analysed`` with the result that a caller of one document gets: overall and doc_confidence to 3 places, and ``fields`` with raw,
-    normalized (the raw one where normalization failed), confidence to 3 places (0 if the field wasn't found) and required."""
+    normalized (the raw one where normalization failed), confidence to 3 places (0 if the field wasn't found) and required.
+
+    ``content_hash`` is 64 zeros unless given. ``page_count`` is one unless given, and 0 for a document without characters; ``total_chars``, if
+    they were counted page by page, else the stripped text decides."""
     places = lambda c: F.round(c, 3)
     shown = [
         F.struct(F.col(f"raw_{f.id}").alias("raw"), value(f.id).alias("normalized"), places(F.coalesce(f"adj_{f.id}", f"conf_{f.id}", F.lit(0.0))).alias("confidence"), F.lit(f.required).alias("required")).alias(f.id)
         for f in policy.fields
     ]
-    return analysed.withColumns({"fields": F.struct(*shown), "overall": places(F.col("overall")), "doc_confidence": places(F.col("doc_confidence"))})
+    chars = F.length(F.coalesce(strip(F.col("text")), F.lit(""))) if total_chars is None else total_chars
+    pages = F.when(chars == 0, F.lit(0)).otherwise(F.lit(1) if page_count is None else page_count).cast("long")
+    hashed = F.repeat(F.lit("0"), F.lit(64)) if content_hash is None else content_hash
+    return analysed.withColumns({"fields": F.struct(*shown), "overall": places(F.col("overall")), "doc_confidence": places(F.col("doc_confidence")), "content_hash": hashed, "page_count": pages})
 
 
 def suffix(path: Column) -> Column:

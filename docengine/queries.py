@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming, normalize
 from .operators import extract as x
-from .operators import filename, pages, temporal
+from .operators import filename, pages, table_function, temporal
 from .operators.classify import classify
 from .operators.validate import validate
-from .plans import audit, evaluate, history, render, run, sketches
+from .plans import audit, evaluate, history, layout, render, run, sketches
 from .plans.policy import DEFAULT
 from .plans.store import shared, stored
 from .sources import local, manifest
-from .streaming import incremental, runs
+from .streaming import incremental, joined, runs
 
 FIELDS = [f.id for f in DEFAULT.fields]
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,15 @@ def e20_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_key", "doc_type", *[F.col(f"{p}_{f}") for f in FIELDS for p in ("raw", "conf")])
 
 
+@query(f"SELECT doc_key, doc_type, {', '.join(f'raw_{f}, conf_{f}' for f in table_function.LABELS)} FROM ({TRUTH}) t")
+def e21_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor in Python by its name in SQL; its fields are those of rules-v1."""
+    table_function.register(spark)
+    docs = classify(_docs(spark, sf_dir)).select("doc_key", "doc_type", "text")
+    columns = ", ".join(f"raw_{f}, conf_{f}" for f in table_function.LABELS)
+    return spark.sql(f"SELECT doc_key, doc_type, {columns} FROM extract_fields(TABLE({{docs}}), 'labels-v1', '{','.join(table_function.LABELS)}')", docs=docs)
+
+
 @query(f"SELECT doc_key, strpos(text, raw_invoice_date) - 1 AS start_at, strpos(text, raw_invoice_date) - 1 + length(raw_invoice_date) AS end_at FROM ({TRUTH}) t JOIN (SELECT doc_key, text FROM ({render.docs_sql()}) q) s USING (doc_key) WHERE raw_invoice_date IS NOT NULL")
 def e01_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = x.with_evidence(_docs(spark, sf_dir), ["invoice_date"]).where("ev_invoice_date is not null")
@@ -209,11 +219,11 @@ def f07_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_key", "doc_type", "raw_invoice_number", "raw_organization_name", "raw_total_amount", "conf_invoice_number", "raw_vat_number", "extractor_version")
 
 
-@query(f"SELECT doc_key, doc_type, round(overall, 3) AS overall, validation_status, {', '.join(f'coalesce(norm_{f}, raw_{f}) AS value_{f}, coalesce(round(adj_{f}, 3), 0.0) AS conf_{f}' for f in FIELDS)} FROM ({VALID}) v")
+@query(f"SELECT doc_key, doc_type, round(overall, 3) AS overall, validation_status, repeat('0', 64) AS content_hash, CAST(1 AS BIGINT) AS page_count, {', '.join(f'coalesce(norm_{f}, raw_{f}) AS value_{f}, coalesce(round(adj_{f}, 3), 0.0) AS conf_{f}' for f in FIELDS)} FROM ({VALID}) v")
 def u06_document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of one document at a time, as rows."""
     out = run.results(_analysed(spark, sf_dir), DEFAULT)
-    return out.select("doc_key", "doc_type", "overall", "validation_status", *[F.col(f"fields.{f}.{a}").alias(f"{b}_{f}") for f in FIELDS for a, b in (("normalized", "value"), ("confidence", "conf"))])
+    return out.select("doc_key", "doc_type", "overall", "validation_status", "content_hash", "page_count", *[F.col(f"fields.{f}.{a}").alias(f"{b}_{f}") for f in FIELDS for a, b in (("normalized", "value"), ("confidence", "conf"))])
 
 
 # -- pages -------------------------------------------------------------------------------------------------------------
@@ -521,6 +531,56 @@ def a08_event_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("data").isNotNull().alias("has_data"), *[audit.datum(*at).alias(c) for c, at in kinds.items()])
 
 
+def _laid(spark: SparkSession, sf_dir: str) -> layout.Laid:
+    """The history of all events in bucketed tables, added in two batches and compacted."""
+    old, new = (layout.Laid(spark, f"h{uuid4().hex}", shared(spark, "laid"), 8) for _ in range(2))
+    rows = render.run_events(spark, sf_dir)
+    for half in (rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0")):
+        for table, part in zip(("runs", "run_events"), layout.versions(half), strict=True):
+            old.add(table, part)
+    laid = old.compacted(new.name, new.root)
+    old.drop()
+    return laid
+
+
+@query(f"SELECT run_id, status, n_events, path FROM ({_LATEST}) l JOIN (SELECT run_id, count(*) AS n_events, string_agg(status, ',' ORDER BY seq) AS path FROM ({RUNS}) r GROUP BY run_id) e USING (run_id)")
+def a01_bucketed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest versions of runs with their events, from tables bucketed by run: no row of them is shuffled."""
+    return _laid(spark, sf_dir).load().select("run_id", "status", F.size("events").cast("long").alias("n_events"), F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("path"))
+
+
+@query(_sql["a05_find_existing"])
+def a01_existing_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a05_find_existing, from newest versions bucketed by the idempotency key."""
+    items = render.run_events(spark, sf_dir).select(*layout.KEY).distinct()
+    return _laid(spark, sf_dir).existing(items).select("item_id", "existing_run_id", "existing_status")
+
+
+@query("""SELECT f.event_id AS file_id, r.event_id AS result_id FROM (SELECT * FROM events WHERE event_type <> 'click') f LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r
+ ON f.user_id = r.user_id AND r.ts >= f.ts AND r.ts <= f.ts + INTERVAL 6 HOUR""")
+def o01_results_of_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events but clicks as a stream of files and clicks as a stream of results, each result joined to the files of its user in the six hours
+    before. Files of both streams hold rows of all times; a last row of each, which waits for ever, moves the watermark beyond the lateness. (Its key
+    is of no user; with a null key Spark would filter it out before it counts.)"""
+    e = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    click = F.col("event_type") == "click"
+    files = e.where(~click).select(F.col("event_id").alias("file_id"), "user_id", F.col("ts").alias("arrived_at"))
+    results = e.where(click).select(F.col("event_id").alias("result_id"), "user_id", F.col("ts").alias("finished_at"))
+    at = shared(spark, "joined")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    late = 0 if last is None else int((last - first).total_seconds()) + 60
+    streams = []
+    for nobody, (name, rows) in enumerate((("files", files), ("results", results)), 1):
+        rows.repartition(4, rows.columns[0]).write.parquet(f"{at}/{name}")
+        if last is not None:
+            end = last + timedelta(seconds=2 * late, hours=12)
+            spark.createDataFrame([(-1, -nobody, end)], rows.schema).write.mode("append").parquet(f"{at}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/{name}"))
+    both = joined.with_results(*streams, "user_id", "arrived_at", "finished_at", "6 HOURS", f"{late} seconds")
+    joined.start(both, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("file_id long, result_id long").parquet(f"{at}/out").select("file_id", "result_id")
+
+
 # -- joins by time -----------------------------------------------------------------------------------------------------
 
 
