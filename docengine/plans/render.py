@@ -11,7 +11,22 @@ from pyspark.sql import functions as F
 
 _MONTH = "CASE m WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END"
 
-#: (doc_key, variant, pieces of the document, text, filename); {orders}, {supplier} and {customer} stand for the tables.
+#: (doc_key, variant, what documents are made of); {orders}, {supplier} and {customer} stand for the tables.
+PIECES = f"""
+SELECT *, {_MONTH} AS mon, lpad(CAST(d AS STRING), 2, '0') AS dd, CAST(d AS STRING) AS dn, lpad(CAST(m AS STRING), 2, '0') AS mm, CAST(y AS STRING) AS yy,
+  CAST(amount AS STRING) AS plain, CAST(100 + doc_key % 900 AS STRING) AS cents,
+  CASE WHEN length(whole) > 3 THEN substr(whole, 1, length(whole) - 3) || ',' || substr(whole, length(whole) - 2, 3) ELSE whole END || substr(CAST(amount AS STRING), length(whole) + 1, 3) AS grouped
+FROM (
+  SELECT *, CAST(doc_key AS STRING) AS k, substr(CAST(amount AS STRING), 1, length(CAST(amount AS STRING)) - 3) AS whole, chr(10) AS nl FROM (
+    SELECT o_orderkey AS doc_key, CAST(o_orderkey % 6 AS INT) AS variant, o_orderdate, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
+      CAST(o_totalprice AS DECIMAL(18, 2)) AS amount, c_name AS cust,
+      CASE s_suppkey % 5 WHEN 0 THEN 'Acme Trading' WHEN 1 THEN 'Blue River Foods' WHEN 2 THEN 'Northwind Supply' WHEN 3 THEN 'Delta Paper Works' ELSE 'Harbour Tools' END AS org
+    FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{supplier}} ON s_suppkey = o_orderkey % 7 + 1
+  ) a
+) b
+"""
+
+#: The same with text and filename.
 DOCS = f"""
 SELECT *,
   CASE variant
@@ -24,19 +39,7 @@ SELECT *,
   END AS text,
   CASE WHEN variant = 5 THEN 'memo ' || k || '.txt'
     ELSE yy || mm || dd || ' - ' || org || ' - ' || CASE variant WHEN 0 THEN 'Inv MNT' || k WHEN 1 THEN 'Rec 2019.' || k WHEN 2 THEN 'Statement ' || yy WHEN 3 THEN 'POP' ELSE 'Order ' || k END || ' - R' || grouped || ' - Enterprise.pdf' END AS filename
-FROM (
-  SELECT *, {_MONTH} AS mon, lpad(CAST(d AS STRING), 2, '0') AS dd, CAST(d AS STRING) AS dn, lpad(CAST(m AS STRING), 2, '0') AS mm, CAST(y AS STRING) AS yy,
-    CAST(amount AS STRING) AS plain, CAST(100 + doc_key % 900 AS STRING) AS cents,
-    CASE WHEN length(whole) > 3 THEN substr(whole, 1, length(whole) - 3) || ',' || substr(whole, length(whole) - 2, 3) ELSE whole END || substr(CAST(amount AS STRING), length(whole) + 1, 3) AS grouped
-  FROM (
-    SELECT *, CAST(doc_key AS STRING) AS k, substr(CAST(amount AS STRING), 1, length(CAST(amount AS STRING)) - 3) AS whole, chr(10) AS nl FROM (
-      SELECT o_orderkey AS doc_key, CAST(o_orderkey % 6 AS INT) AS variant, o_orderdate, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
-        CAST(o_totalprice AS DECIMAL(18, 2)) AS amount, c_name AS cust,
-        CASE s_suppkey % 5 WHEN 0 THEN 'Acme Trading' WHEN 1 THEN 'Blue River Foods' WHEN 2 THEN 'Northwind Supply' WHEN 3 THEN 'Delta Paper Works' ELSE 'Harbour Tools' END AS org
-      FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{supplier}} ON s_suppkey = o_orderkey % 7 + 1
-    ) a
-  ) b
-) c
+FROM ({PIECES}) c
 """
 
 #: What the rules find in each kind of document: raw values and confidences.
@@ -69,13 +72,16 @@ FROM ({docs}) r
 TABLES = ["orders", "supplier", "customer"]
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents: text, filename and the pieces that they're made of.
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """TABLES by name. Orders are a few bytes a row but stand for texts whose rules take milliseconds, so they're dealt out by number, not bytes."""
+    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    out["orders"] = out["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return out
+
 
-    Orders are a few bytes a row but stand for texts whose rules take milliseconds, so they're dealt out by number, not bytes."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    frames["orders"] = frames["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
-    return spark.sql(DOCS, **frames)
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents: text, filename and the pieces that they're made of."""
+    return spark.sql(DOCS, **frames(spark, sf_dir))
 
 
 def docs_sql() -> str:

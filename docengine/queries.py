@@ -14,7 +14,7 @@ from .operators import extract as x
 from .operators import filename, pages, table_function, temporal
 from .operators.classify import classify
 from .operators.validate import validate
-from .plans import audit, evaluate, history, layout, render, run, sketches
+from .plans import audit, evaluate, forms, history, layout, render, run, sketches
 from .plans.policy import DEFAULT
 from .plans.store import shared, stored
 from .sources import local, manifest
@@ -127,13 +127,70 @@ def e01_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_key", F.col("ev_invoice_date.start").cast("long").alias("start_at"), F.col("ev_invoice_date.end").cast("long").alias("end_at"))
 
 
-@query()
+#: Where a field's winning pattern has its value: what precedes the value in the text, and the value, by kind of document.
+_PLACES = {
+    "invoice_number": "CASE variant WHEN 0 THEN 'Invoice No: ' WHEN 1 THEN 'Receipt No: ' WHEN 3 THEN 'Inv ' END",
+    "organization_name": "CASE variant WHEN 0 THEN 'Supplier: ' END",
+    "invoice_date": "CASE variant WHEN 0 THEN nl || 'Date: ' WHEN 1 THEN 'Paid on ' WHEN 2 THEN 'Period ending ' WHEN 3 THEN nl || 'Date: ' WHEN 4 THEN 'Due Date: ' END",
+    "total_amount": "CASE variant WHEN 0 THEN 'Total Due: R ' WHEN 1 THEN 'Amount Paid: R' WHEN 3 THEN 'Net Total: $' WHEN 4 THEN 'Grand Total: ' END",
+    "currency": "CASE variant WHEN 0 THEN 'Total Due: ' WHEN 1 THEN 'Amount Paid: ' WHEN 2 THEN plain || ' ' END",
+    "purchase_order_number": "CASE variant WHEN 4 THEN 'PURCHASE ORDER: ' END",
+    "due_date": "CASE variant WHEN 4 THEN 'Due Date: ' END",
+    "vat_number": "CASE variant WHEN 4 THEN 'VAT No: ' END",
+    "recipient_organization": "CASE variant WHEN 0 THEN 'Customer Name: ' END",
+}
+#: An amount in rand is evidence of its currency up to its first digit.
+_VALUES = {f: f"raw_{f}" for f in FIELDS} | {"currency": "CASE variant WHEN 0 THEN 'R 1' WHEN 1 THEN 'R1' ELSE raw_currency END"}
+
+
+def _span(field: str) -> str:
+    start = f"strpos(text, {_PLACES[field]}) - 1 + length({_PLACES[field]})"
+    return f"CAST({start} AS BIGINT) AS start_{field}, CAST({start} + length({_VALUES[field]}) AS BIGINT) AS end_{field}"
+
+
+@query(f"SELECT doc_key, {', '.join(_span(f) for f in FIELDS)} FROM ({TRUTH}) t JOIN (SELECT doc_key, text, nl, plain FROM ({render.docs_sql()}) q) s USING (doc_key)")
 def e01_evidence_of_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As e01_evidence_spans, for every field."""
+    """As e01_evidence_spans, for every field. What a scan of lines, amounts or symbols finds has no evidence."""
     found = x.with_evidence(classify(_docs(spark, sf_dir)), FIELDS)
     return found.select("doc_key", *[F.col(f"ev_{f}.{at}").cast("long").alias(f"{at}_{f}") for f in FIELDS for at in ("start", "end")])
 
 
+# -- a form for every pattern ----------------------------------------------------------------------------------------
+
+FORMS = forms.truth_sql(FIELDS)
+_SWAPPABLE = "WHEN regexp_matches(raw_{0}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/') AND d <= 12 AND d <> m AND raw_{0} NOT IN ('31/02/' || right(raw_{0}, 4), '01/01/1990') THEN -0.1"
+_CHANGES = {
+    "date": _SWAPPABLE, "decimal": "WHEN contains(raw_{0}, ',') AND contains(raw_{0}, '.') THEN -0.1", "currency": "WHEN raw_{0} = 'USD' THEN 0.0",
+}
+_FORM_STATUS = {
+    f.id: f"CASE WHEN raw_{f.id} IS NULL THEN 'missing' WHEN form IN ({', '.join(repr(n) for n, v in forms.INVALID.items() if v == f.id) or 'NULL'}) THEN 'invalid'"
+    f" WHEN conf_{f.id} + (CASE {_CHANGES.get(f.type, 'WHEN false THEN 0.0').format(f.id)} ELSE 0.05 END) < 0.75 - 1e-9 THEN 'low_confidence' ELSE 'ok' END"
+    for f in DEFAULT.fields
+}
+
+
+@query(f"SELECT doc_key, keyword_type AS doc_type, keyword_confidence AS doc_confidence FROM ({FORMS}) t")
+def c02_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type that each keyword stands for."""
+    docs = forms.rendered(spark, sf_dir).select("doc_key", "keyword_text")
+    return classify(docs, "keyword_text").select("doc_key", "doc_type", F.round("doc_confidence", 6).alias("doc_confidence"))
+
+
+@query(f"SELECT doc_key, form, doc_type, doc_confidence, {', '.join(f'raw_{f}, conf_{f}' for f in FIELDS)} FROM ({FORMS}) t")
+def e02_e18_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine fields of a form for every pattern that can win."""
+    found = x.extract(classify(forms.rendered(spark, sf_dir)), FIELDS)
+    return found.select("doc_key", "form", "doc_type", F.round("doc_confidence", 6).alias("doc_confidence"), *[F.col(f"{p}_{f}") for f in FIELDS for p in ("raw", "conf")])
+
+
+@query(f"""SELECT doc_key, form, {', '.join(f'status_{f}' for f in FIELDS)}, concat_ws(',', {', '.join(f"CASE status_{f.id} WHEN 'missing' THEN 'missing_required_field' WHEN 'invalid' THEN '{_CODES.get(f.type, 'missing_required_field')}' WHEN 'low_confidence' THEN 'low_confidence' END" for f in DEFAULT.fields if f.required)},
+ CASE WHEN form = 'due_before' THEN 'cross_field_inconsistency' END) AS reasons FROM (SELECT doc_key, form, {', '.join(f'{s} AS status_{f}' for f, s in _FORM_STATUS.items())} FROM ({FORMS}) t) s""")
+def v01_v04_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and reasons of the same forms: values that aren't valid, weak patterns, a due date before the document's."""
+    done = run.analyse(forms.rendered(spark, sf_dir), DEFAULT)
+    return done.select("doc_key", "form", *[f"status_{f}" for f in FIELDS], F.array_join("reason_codes", ",").alias("reasons"))
+
+
 # -- normalization and validation ------------------------------------------------------------------------------------
 
 
