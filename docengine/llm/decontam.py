@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from .common import SLICE_ROWS, Shelf, small_batches
 
 WINDOW = 13
-MAX_ITEM_BYTES = 32 << 20
+#: Text of a slice. A worker holds about 32 bytes a word and 150 a different word: some 110 MB for ordinary text, and at most 600 MB, as words that
+#: are all different have four characters or more on average.
+MAX_ITEM_BYTES = 16 << 20
 MARK = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.LongType()))])
 #: Lower-cases A-Z and turns what can't be in a word into spaces; bytes of non-ASCII characters stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,42 +41,70 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The hash set: windows by length, with a rolling key for numpy and the exact words for verification."""
+    """The hash set: of each length, the different windows by their 64-bit key, sorted, with a place where each one's words stand, for
+    verification, and the items that have it. All of it is arrays: 4 bytes a word, 20 a window and 8 for each item that has it."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.word_id: dict[bytes, int] = {}
-        self.items: dict[bytes, set[int]] = {}
-        sizes: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            ids = np.array([self.word_id.setdefault(w, len(self.word_id) + 1) for w in words(text)], np.int32)
-            if len(ids):
-                size = min(WINDOW, len(ids))
-                view = np.lib.stride_tricks.sliding_window_view(ids, size)
-                sizes.setdefault(size, []).append(view)
-                for row in view:
-                    self.items.setdefault(row.tobytes(), set()).add(item)
-        self.mix = {k: np.random.default_rng(k).integers(1, 2**63, k, np.uint64) | np.uint64(1) for k in sizes}
-        self.keys = {k: np.unique(self.key(np.concatenate(v), k)) for k, v in sizes.items()}
-
-    def key(self, view: np.ndarray, size: int) -> np.ndarray:
-        return (view.astype(np.uint64) * self.mix[size]).sum(axis=1, dtype=np.uint64)
-
-    def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[int]]:
-        """Words of a text, which of them lie in a benchmark window, and the items concerned."""
+        number = self.word_id
+        parts = [np.fromiter((number.setdefault(w, len(number) + 1) for w in words(text)), np.int32) for _, text in items]
+        self.flat = np.concatenate([np.empty(0, np.int32), *parts])
+        lengths = np.array([len(p) for p in parts], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        self.sets = {}
+        for size in np.unique(np.minimum(lengths, WINDOW)):
+            of = np.flatnonzero(np.minimum(lengths, WINDOW) == size)
+            if size:
+                start = np.concatenate([np.arange(b, b + n - size + 1, dtype=np.int32) for b, n in zip(begins[of], lengths[of], strict=True)])
+                owner = np.repeat(np.array([items[i][0] for i in of], np.int64), lengths[of] - size + 1)
+                self.sets[int(size)] = self._built(start, owner, int(size))
+
+    def _built(self, start: np.ndarray, owner: np.ndarray, size: int) -> tuple:
+        """(multipliers, keys, a start of each, ends of their items, items). Multipliers are drawn anew until different windows differ in key."""
+        seed = size
+        while True:
+            mix = np.random.default_rng(seed).integers(1, 2**63, size, np.uint64) | np.uint64(1)
+            key = keyed(self.flat, start, mix)
+            order = np.lexsort((owner, key))
+            key, place, item = key[order], start[order], owner[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            if all((self.flat[place + j] == self.flat[first + j]).all() for j in range(size)):
+                break
+            seed += WINDOW
+        once = new | np.concatenate([[True], item[1:] != item[:-1]])
+        heads = np.flatnonzero(new[once])
+        return mix, key[new], place[new], np.append(heads, int(once.sum())), item[once]
+
+    def scan(self, text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """Words of a text, which of them lie in a benchmark window, and the items concerned, sorted."""
         ws = words(text)
         ids = np.fromiter(map(self.word_id.get, ws, repeat(0)), np.int32, len(ws))
-        hit, found = np.zeros(len(ws), bool), set()
+        cover, found = np.zeros(len(ws) + 1, np.int64), [np.empty(0, np.int64)]
         inside = np.concatenate([[0], np.cumsum(ids > 0)])
-        for size, keys in self.keys.items():
+        for size, (mix, keys, place, ends, owner) in self.sets.items():
             starts = np.flatnonzero(inside[size:] - inside[: len(inside) - size] == size) if len(ws) >= size else []
             if not len(starts):
                 continue
-            view = np.lib.stride_tricks.sliding_window_view(ids, size)
-            for s in starts[np.isin(self.key(view[starts], size), keys)]:
-                if items := self.items.get(ids[s : s + size].tobytes()):
-                    hit[s : s + size] = True
-                    found |= items
-        return len(ws), hit, found
+            mine = keyed(ids, starts, mix)
+            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            good = keys[at] == mine
+            starts, at = starts[good], at[good]
+            for j in range(size):
+                good = ids[starts + j] == self.flat[place[at] + j]
+                starts, at = starts[good], at[good]
+            cover[starts] += 1
+            cover[starts + size] -= 1
+            found += [owner[ends[k] : ends[k + 1]] for k in np.unique(at)]
+        return len(ws), np.cumsum(cover[:-1]) > 0, np.unique(np.concatenate(found))
+
+
+def keyed(ids: np.ndarray, starts: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """Keys of the windows that begin at ``starts``, a word at a time, so that no copy of all their words is made."""
+    out = np.zeros(len(starts), np.uint64)
+    for j, m in enumerate(mix):
+        out += ids[starts + j].astype(np.uint64) * m
+    return out
 
 
 _windows: dict[int, Windows] = {}
@@ -121,7 +151,7 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, max_bytes: int, mark: str, k
                     b = batch.slice(i, SLICE_ROWS)
                     got = [w.scan(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
                     before = b.column(columns.index(mark)).to_pylist() if k else repeat({"hits": [], "items": []})
-                    marks = [{"n_words": n, "hits": np.union1d(p["hits"], np.flatnonzero(hit)).astype(np.int32), "items": sorted(found | set(p["items"]))} for (n, hit, found), p in zip(got, before)]  # noqa: B905
+                    marks = [{"n_words": n, "hits": np.union1d(p["hits"], np.flatnonzero(hit)).astype(np.int32), "items": np.union1d(found, np.array(p["items"], np.int64)).astype(np.int64)} for (n, hit, found), p in zip(got, before)]  # noqa: B905
                     yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)) for c in names), pa.array(marks, kind)], names=[*names, mark])
 
         rows = rows.mapInArrow(run, ddl)

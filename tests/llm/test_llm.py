@@ -4,6 +4,7 @@ import functools
 import hashlib
 import re
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -15,6 +16,7 @@ from oracle import same, tables
 from pyspark.sql import functions as F
 
 from docengine.llm import bagminhash, chat, components, decontam, langid, linededup, queries, quality, sharding, token_counts, toxicity, transducer
+from docengine.llm import pieces as pieces_module
 from docengine.llm.common import Shelf, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +107,14 @@ def test_spaces_and_odd_words_have_one_path(pieces):
     assert codec.merged_chunks == 0
 
 
+def test_spaces_are_counted_on_paths(pieces):
+    c, pick = pieces_module.Counter(open(queries.MODEL, "rb").read()), random.Random(1)
+    words = ["", "hello", "Straße", "日本", "\n", "//", "\U0001f600", "▁", "x" * 50, " " * 9]
+    texts = [a + " " * n + w + " b" for n in (0, 1, 2, 3, 7, 31, 257, 3000) for w in words for a in ("", "a")]
+    texts += ["".join(pick.choice([*words, " " * pick.randint(2, 70)]) for _ in range(pick.randint(1, 40))) for _ in range(400)]
+    assert [c.count(t)[0] for t in texts] == [len(pieces.encode(t)) for t in texts] and c.merged_chunks == 0
+
+
 @pytest.mark.parametrize("kind, fallback, own", [(1, True, False), (1, False, False), (1, True, True), (1, False, True), (2, True, False), (2, False, False)])
 def test_small_files(kind, fallback, own):
     """Unigram (1) and BPE (2) files with and without byte fallback, and a user-defined piece, against the tokenizer."""
@@ -147,6 +157,9 @@ def test_shards_fit(spark):
     assert not any(a != b and b.startswith(a) for a in size for b in size)
     for s, n in size.items():
         assert sum(m for x, m in size.items() if x.startswith(s[:-1])) > 2000, "only oversized buckets split"
+    large = spark.createDataFrame([(i, "x" * (5000 if i < 3 else 10)) for i in range(400)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sharding.assign(large, 1000).collect()}
+    assert len(got) == 400 and all(got[i].oversize and got[i].depth == 144 and len(got[i].shard) == 144 for i in range(3)) and max(got[i].depth for i in range(3, 400)) < 48
     same_rows = spark.range(50).select(F.lit(1).alias("doc_id"), F.lit("y" * 100).alias("text"))
     assert max(Counter(r.shard for r in sharding.assign(same_rows, 1000).collect()).values()) <= 10
 
@@ -329,6 +342,29 @@ def test_decontamination(spark, sf_dir, texts, max_bytes):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+def test_windows_are_small_and_exact(monkeypatch):
+    """A slice's set stays within its bound, and windows whose keys meet are told apart."""
+    pick = random.Random(3)
+    vocabulary = ["".join(pick.choices("abcdefghij", k=pick.randint(1, 9))) for _ in range(3000)]
+    items = [(i, " ".join(pick.choices(vocabulary, k=200)).encode()) for i in range(500)] + [(900 + i, b"one two three") for i in range(300)]
+    tracemalloc.start()
+    windows = decontam.Windows(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 32 * 500 * 200 + 150 * 3000 + 100_000
+    n, hit, found = windows.scan(b"x one two three " + items[7][1][:400])
+    assert n == 4 + len(decontam.words(items[7][1][:400])) and not hit[0] and hit[1:-1].all() and found.tolist() == [7, *range(900, 1200)]
+    draw, drawn = np.random.default_rng, []
+
+    class Ones:
+        def integers(self, *args):
+            return np.ones(args[2], np.uint64)
+
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: drawn.append(seed) or (Ones() if len(drawn) == 1 else draw(seed)))
+    windows = decontam.Windows([(1, b"a b c"), (2, b"c a b")])
+    assert len(drawn) == 2 and windows.scan(b"a b c")[2].tolist() == [1] and windows.scan(b"b c a b")[2].tolist() == [2] and not len(windows.scan(b"b a c")[2])
+
+
 def brute_dropped(texts):
     lines = [(i, p, x.strip(linededup.SPACES)) for i, t in sorted(texts.items()) if t is not None for p, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if len(x[2]) >= linededup.LEAST_CHARS]
