@@ -141,6 +141,7 @@ class Counter:
         self.model = PieceModel(data)
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.merged_chunks = 0
 
     def solve(self, chunk: str) -> tuple[int, int, float, tuple[bool, bool], tuple[bool, bool]]:
         """(pieces by merging, pieces of the best path, its score, ends of both). Ties: of equal paths into a position, the one whose last
@@ -156,7 +157,6 @@ class Counter:
         joins = not m.byte_fallback
         # Whether the path into a position starts, and ends, with an unknown character.
         odd, best_odd = ([NEITHER] * (n + 1), [NEITHER] * (n + 1)) if joins else (None, None)
-        merged = chunk.startswith(SPACE * 2) or SPACE in chunk[1:]
         matches = iter(m.automaton.iter(chunk))
         at = next(matches, None)
         for i, char in enumerate(chunk):
@@ -169,7 +169,7 @@ class Counter:
                     top, top_n = best[j] + score[piece], best_n[j] + 1
                     if joins:
                         top_odd = (best_odd[j][0], False)
-                if not merged and ok[j] and not ok[i + 1] and m.whole(piece) and (j == 0 or m.apart(last[j], piece)):
+                if ok[j] and not ok[i + 1] and m.whole(piece) and (j == 0 or m.apart(last[j], piece)):
                     ok[i + 1], last[i + 1], last_n[i + 1] = True, piece, last_n[j] + 1
                     if joins:
                         odd[i + 1] = (odd[j][0], False)
@@ -188,7 +188,8 @@ class Counter:
             if joins:
                 best_odd[i + 1] = top_odd
         by_merge, ends = last_n[n], odd[n] if joins else NEITHER
-        if merged or not ok[n]:
+        if not ok[n]:  # a BPE file whose pieces can't all be made by its own merges
+            self.merged_chunks += 1
             found = _with_text(m, chunk)
             unknown = [p == UNK for p, _ in found]
             by_merge = sum(1 if p != UNK else m.n_bytes(c) for p, c in found) - (sum(a and b for a, b in zip(unknown, unknown[1:], strict=False)) if joins else 0)
