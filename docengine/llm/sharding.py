@@ -40,16 +40,19 @@ def _assigned(docs: DataFrame, max_bytes: int, id_col: str, text_col: str, keys:
     left = shelf.put(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), address.alias("address"), *keys))
     total = left.agg(F.sum("n_bytes")).first()[0] or 0
     depth = max(-(-total // max_bytes) - 1, 0).bit_length() + (SPARE if total > max_bytes else 0)
-    shallow, done = 0, []
+    # The empty prefix holds all rows, whose bytes are known: where they don't fit, nothing is summed up for it.
+    shallow, done = min(depth, 1), []
     while True:
         depth = min(depth, 3 * BITS)
         last = depth == 3 * BITS
         addressed = left.withColumn("prefix", F.substring("address", 1, depth))
-        sums = addressed.groupBy("prefix").agg(F.sum("n_bytes").alias("n"))
+        sums = addressed.groupBy("prefix").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("rows"))
         levels = sums.select("prefix", "n", F.explode(F.sequence(F.lit(shallow), F.lit(depth))).alias("depth")).groupBy(F.substring(F.col("prefix"), F.lit(1), F.col("depth")).alias("at"), "depth").agg(F.sum("n").alias("n"))
         fits = levels.where(F.col("n") <= max_bytes).select("at", "depth")
         paths = sums.select("prefix", F.explode(F.sequence(F.lit(shallow), F.lit(depth))).alias("depth")).withColumn("at", F.substring(F.col("prefix"), F.lit(1), F.col("depth")))
         directory = paths.join(fits, ["at", "depth"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
+        # A row alone in its prefix and too large goes to the end of its bits at once.
+        directory = directory.unionByName(sums.where((F.col("rows") == 1) & (F.col("n") > max_bytes)).select("prefix", F.lit(3 * BITS).alias("depth")))
         found = addressed.join(directory, "prefix", "left")
         found = found.select("doc_id", "n_bytes", "address", *keys, F.when(F.col("depth").isNull() & F.lit(last), depth).otherwise(F.col("depth")).alias("depth"))
         found = shelf.put(found)
