@@ -106,7 +106,7 @@ class Profiles:
     def __init__(self, profiles: list[tuple[str, list[int]]]) -> None:
         self.names = [n for n, _ in profiles]
         self.keys = np.unique(np.concatenate([np.empty(0, np.int64), *(np.array(g, np.int64) for _, g in profiles)]))
-        self.rank = np.full((len(profiles), len(self.keys) + 1), -1, np.int64)
+        self.rank = np.full((len(profiles), len(self.keys) + 1), -1, np.int16)
         for k, (_, grams) in enumerate(profiles):
             self.rank[k, np.searchsorted(self.keys, grams)] = np.arange(len(grams))
 
@@ -115,7 +115,7 @@ class Profiles:
             return UND, 0.0
         at = np.searchsorted(self.keys, grams)
         known = (at < len(self.keys)) & (np.append(self.keys, -1)[at] == grams)
-        theirs = self.rank[:, np.where(known, at, len(self.keys))]
+        theirs = self.rank[:, np.where(known, at, len(self.keys))].astype(np.int64)
         moved = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(grams))))
         distance = moved.sum(axis=1)
         best = int(np.argmin(distance))
