@@ -74,3 +74,19 @@ def within(points: DataFrame, intervals: DataFrame, point: str, start: str, end:
     spread = spread.join(counts, at, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts)).drop("_parts")
     cut = cut.join(counts, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     return spread.join(cut, [*at, "_part"]).where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_level", "_node", "_part")
+
+
+def totals(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: Sequence[str], sums: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """What within() grouped by ``by`` (columns of ``intervals``) counts and sums: n_points and sum_<column> of all pairs of each group that has any.
+
+    No pair is made: points are added up by node first, and an interval takes the totals of the nodes that it is cut into, two a level at most. Bins
+    are single units, so nodes hold exactly the points of their intervals."""
+    groups, at = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], [*[f"_k{i}" for i in range(len(keys))], "_level", "_node"]
+    keyed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    cut = intervals.select(*groups, *keyed, F.explode(nodes(start, end, 1)).alias("_at")).select("*", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")).drop("_at")
+    levels = sorted(r._level for r in cut.select("_level").distinct().collect()) or [0]  # 64 at most
+    added = [F.sum("n_points").alias("n_points"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums]]
+    bins = points.where(F.col(point).isNotNull()).groupBy(*keyed, F.col(point).alias("_bin")).agg(F.count("*").alias("n_points"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    spread = bins.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_node", F.expr("shiftright(_bin, _level)")).groupBy(*at).agg(*added)
+    out = cut.join(spread, at).groupBy(*[f"_b{i}" for i in range(len(by))]).agg(*added)
+    return out.withColumnsRenamed({f"_b{i}": c for i, c in enumerate(by)})

@@ -63,3 +63,27 @@ def test_nodes_are_few_and_cover_each_bin_once(spark):
         assert len(r.nodes) <= 2 * (r.e - r.s).bit_length()
         covered = sorted((x.node << x.level, (x.node + 1) << x.level) for x in r.nodes)
         assert covered[0][0] == r.s and covered[-1][1] == r.e and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_totals_are_those_of_the_pairs(spark, keyed):
+    rng = random.Random(5)
+    points = [(n if n % 9 else None, rng.choice(["hot", "a", None]), None if n % 50 == 0 else rng.choice([0, rng.randrange(-300, 300)])) for n in range(400)]
+    spans = [(n % 120, rng.choice(["hot", "b", "a", None]), s, s + rng.choice([0, 1, 5, 64, rng.randrange(0, 500), -3])) for n in range(150) for s in [rng.randrange(-310, 300)]] + [(999, "hot", None, 5), (998, "hot", -(10**12), 10**12), (997, "a", 5, None)]
+    left, right = spark.createDataFrame(points, "n long, k string, p long"), spark.createDataFrame(spans, "m int, k string, s long, e long")
+    right = right if keyed else right.withColumnRenamed("k", "j")
+    got = temporal.totals(left, right, "p", "s", "e", ["m"], ["n"], ["k"] if keyed else [])
+    want = {}
+    for n, k, p in points:
+        for m, j, s, e in spans:
+            if None not in (p, s, e) and s <= p < e and (not keyed or k is not None and k == j):
+                want.setdefault(m, []).append(n)
+    assert {r.m: (r.n_points, r.sum_n) for r in got.collect()} == {m: (len(v), sum(n or 0 for n in v) if any(n is not None for n in v) else None) for m, v in want.items()} and len(want) > 30
+    assert temporal.totals(left, right.limit(0), "p", "s", "e", ["m"], ["n"]).count() == 0 == temporal.totals(left.limit(0), right, "p", "s", "e", ["m"]).count()
+
+
+def test_totals_make_no_pairs(spark):
+    """200,000 intervals that all hold the same 200,000 points: 40 billion pairs."""
+    points, spans = spark.range(200_000).selectExpr("id as n", "7L as p"), spark.range(200_000).selectExpr("id as m", "7 - id % 3 as s", "8 + id % 5 as e")
+    got = temporal.totals(points, spans, "p", "s", "e", ["m"], ["n"])
+    assert got.where("n_points = 200000 and sum_n = 19999900000").count() == 200_000
