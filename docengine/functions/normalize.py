@@ -50,19 +50,23 @@ def date(raw: Column, pivot: int = PIVOT_YEAR) -> Column:
 
 
 def _date_of(c: Column, pivot: int) -> Column:
-    a, b, y = (_int(_part(c, _NUMERIC, i)) for i in (1, 2, 3))
-    last = _part(c, _NUMERIC, 3)
-    numeric = (
-        F.when((a > 31) & (F.length(last) == 2) & (y <= 12), _date(_year(_part(c, _NUMERIC, 1), pivot), y, b))
-        .when((a > 31) & (F.length(last) == 2), _date(_year(_part(c, _NUMERIC, 1), pivot), b, y))
-        .when((a > 12) | (b <= 12), _date(_year(last, pivot), b, a))
-        .otherwise(_date(_year(last, pivot), a, b))
-    )
+    def numeric(parts: Column) -> Column:
+        a, b, y = (_int(parts[n]) for n in ("first", "second", "third"))
+        last = parts["third"]
+        swapped = (a > 31) & (F.length(last) == 2)
+        return (
+            F.when(swapped & (y <= 12), _date(_year(parts["first"], pivot), y, b))
+            .when(swapped, _date(_year(parts["first"], pivot), b, y))
+            .when((a > 12) | (b <= 12), _date(_year(last, pivot), b, a))
+            .otherwise(_date(_year(last, pivot), a, b))
+        )
+
+    of_numeric = let(F.struct(*[_part(c, _NUMERIC, i).alias(n) for i, n in enumerate(("first", "second", "third"), 1)]), numeric)
     month = lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in _MONTH_NUMBER.items() for v in kv]), F.lower(x))
     return (
         F.when(c.rlike(_ISO), _date(_int(_part(c, _ISO, 1)), _int(_part(c, _ISO, 2)), _int(_part(c, _ISO, 3))))
         .when(c.rlike("^\\d{4}[-/.]"), F.lit(None).cast("date"))
-        .when(c.rlike(_NUMERIC), numeric)
+        .when(c.rlike(_NUMERIC), of_numeric)
         .when(c.rlike(_DAY_MONTH), _date(_year(_part(c, _DAY_MONTH, 3), pivot), month(_part(c, _DAY_MONTH, 2)), _int(_part(c, _DAY_MONTH, 1))))
         .when(c.rlike(_MONTH_DAY), _date(_year(_part(c, _MONTH_DAY, 3), pivot), month(_part(c, _MONTH_DAY, 1)), _int(_part(c, _MONTH_DAY, 2))))
     )

@@ -13,7 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates lines: a pair or one of ten single characters.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+OTHER_ENDS = "\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
+LINE_END = f"\\r\\n|[\\n{OTHER_ENDS}]"
+#: What (?U)\\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stands between a raw value and its confidence in a packed match; the last one counts, as a text may hold it and a confidence doesn't.
 UNIT = "\x1f"
 
@@ -23,7 +26,7 @@ def java(pattern: str, ignore_case: bool = True, multiline: bool = False) -> str
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -38,9 +41,8 @@ def let(c: Column, then: Callable[[Column], Column]) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their ends; text that ends with a line end has no empty last line."""
-    parts = F.split(c, LINE_END)
-    n = F.size(parts)
-    return F.when(F.get(parts, n - 1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    parts = F.when(c.rlike(f"[{OTHER_ENDS}]"), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))  # Java compiles no pattern for one character
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def found(c: Column, pattern: str) -> Column:
@@ -56,7 +58,7 @@ def matches(c: Column, pattern: str) -> Column:
 def pack(raw: Column, confidence: float) -> Column:
     """raw and confidence in one string, null if raw is null or empty, so that coalesce() stops at the first match and
     each pattern runs once."""
-    return F.concat(F.nullif(raw, F.lit("")), F.lit(f"{UNIT}{confidence}"))
+    return let(raw, lambda x: F.when(x != "", F.concat(x, F.lit(f"{UNIT}{confidence}"))))
 
 
 def raw_of(packed: Column) -> Column:
@@ -68,23 +70,35 @@ def confidence_of(packed: Column) -> Column:
 
 
 def capture(c: Column, label: str, value: str, tail: str = "", flags: str = "(?iUd)") -> Column:
-    """The stripped value of the first place where label, value and tail follow each other; '' if there is none."""
-    return strip(F.regexp_extract(c, f"{flags}(?:{label})({value})(?:{tail})", 1))
+    """The stripped value of the first place where label, value and tail follow each other; null if there is none or it's empty."""
+    return let(F.regexp_extract(c, f"{flags}(?:{label})({value})(?:{tail})", 1), lambda x: F.when(x != "", strip(x)))
 
 
-def first_match(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None) -> Column:
+def folded(c: Column) -> Column:
+    """``c`` in small letters; the four other characters that (?iU) takes for ASCII letters are those letters."""
+    for odd, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        c = F.replace(c, F.lit(odd), F.lit(letter))
+    return F.lower(c)
+
+
+def where_words(low: Column | None, words: list[str] | None, then: Column) -> Column:
+    """``then`` where the folded text ``low`` holds one of ``words``, else null: spares texts without them the pattern."""
+    return then if low is None or words is None else F.when(any_of([low.contains(w) for w in words]), then)
+
+
+def first_match(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None) -> Column:
     """The packed first match of an ordered table of (label, value, tail, confidence): by order of the table, not by place."""
-    return F.coalesce(*[pack(capture(c, a, v, t, (flags or {}).get(i, "(?iUd)")), conf) for i, (a, v, t, conf) in enumerate(table)])
+    return F.coalesce(*[where_words(low, words and words[i], pack(capture(c, a, v, t, (flags or {}).get(i, "(?iUd)")), conf)) for i, (a, v, t, conf) in enumerate(table)])
 
 
-def evidence(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None) -> Column:
+def evidence(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None) -> Column:
     """struct<text, start, end> of the match that first_match takes: its stripped text and its value's place in ``c``."""
     out = []
     for i, (a, v, t, _) in enumerate(table):
         p = f"{(flags or {}).get(i, '(?iUd)')}({a})({v})(?:{t})"
         start = F.regexp_instr(c, F.lit(p)) - 1 + F.length(F.regexp_extract(c, p, 1))
         value = F.regexp_extract(c, p, 2)
-        out.append(F.when(strip(value) != "", F.struct(strip(F.regexp_extract(c, p, 0)).alias("text"), start.alias("start"), (start + F.length(value)).alias("end"))))
+        out.append(where_words(low, words and words[i], F.when(strip(value) != "", F.struct(strip(F.regexp_extract(c, p, 0)).alias("text"), start.alias("start"), (start + F.length(value)).alias("end")))))
     return F.coalesce(*out)
 
 

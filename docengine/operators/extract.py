@@ -1,4 +1,5 @@
-"""Fields of a document by ordered rules. Each builder maps (text, doc_type) to a packed raw value and confidence."""
+"""Fields of a document by ordered rules. Each builder maps (text, doc_type, folded text) to a packed raw value and
+confidence; the folded text tells by words which patterns can't match."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import any_of, collapse, confidence_of, evidence, first_match, let, lines, pack, raw_of, strip
+from ..functions.text import any_of, collapse, confidence_of, evidence, first_match, folded, let, lines, pack, raw_of, strip, where_words
 
 CI = "(?iUd)"
 
@@ -21,18 +22,18 @@ def with_digit(packed: Column) -> Column:
 # -- invoice number --------------------------------------------------------------------------------------------------
 
 
-def number_after_label(text: Column) -> Column:
+def number_after_label(text: Column, low: Column) -> Column:
     """The first code-like line among the ten that follow an invoice label, the rest of its own line included."""
     rest = F.regexp_extract(text, f"{CI}{P.INVOICE_LABEL}((?s:.*))", 1)
     good = lambda x: x.rlike(CI + P.CODE_LINE) & x.rlike("(?U)\\d") & ~x.rlike(CI + P.DATE_LINE)
     found = F.get(F.filter(F.transform(F.slice(lines(rest), 1, 10), strip), good), F.lit(0))
-    return F.when(text.rlike(CI + P.INVOICE_LABEL), pack(found, P.CODE_LINE_CONFIDENCE))
+    return F.when(low.contains("invoice") & text.rlike(CI + P.INVOICE_LABEL), pack(found, P.CODE_LINE_CONFIDENCE))
 
 
-def invoice_number(text: Column, doc_type: Column) -> Column:
-    own = first_match(text, P.INVOICE_NUMBER)
-    by_receipt = F.when(doc_type.isin("receipt", "proof_of_payment"), first_match(text, P.RECEIPT_NUMBER))
-    return F.when(doc_type != "statement", F.coalesce(with_digit(F.coalesce(own, by_receipt)), number_after_label(text)))
+def invoice_number(text: Column, doc_type: Column, low: Column) -> Column:
+    own = first_match(text, P.INVOICE_NUMBER, None, low, P.INVOICE_NUMBER_WORDS)
+    by_receipt = F.when(doc_type.isin("receipt", "proof_of_payment"), first_match(text, P.RECEIPT_NUMBER, None, low, P.RECEIPT_NUMBER_WORDS))
+    return F.when(doc_type != "statement", F.coalesce(with_digit(F.coalesce(own, by_receipt)), number_after_label(text, low)))
 
 
 # -- organization ----------------------------------------------------------------------------------------------------
@@ -48,23 +49,23 @@ def organization_line(line: Column) -> Column:
     odd = F.length(F.regexp_replace(line, "[\\p{L}\\p{N} &,.'()\\-/]", ""))
     first = F.regexp_replace(F.regexp_extract(line, "(?U)^\\S+", 0), "[.,;:]+$", "")
     excluded = [P.EMAIL_HEADER, P.CONTACT_LINE, P.CALENDAR_LINE, P.ADDRESS_LINE, P.PHONE_LINE]
-    return F.length(line).between(3, 80) & ~any_of([line.rlike(CI + x) for x in excluded]) & ~bad_organization(line) & (odd <= F.length(line) * 0.35) & line.rlike("^\\p{Lu}") & first.rlike("^\\p{L}+$")
+    return F.length(line).between(3, 80) & line.rlike("^\\p{Lu}") & first.rlike("^\\p{L}+$") & (odd <= F.length(line) * 0.35) & ~any_of([line.rlike(CI + x) for x in excluded]) & ~bad_organization(line)
 
 
-def organization(text: Column, doc_type: Column) -> Column:
+def organization(text: Column, doc_type: Column, low: Column) -> Column:
     every = F.transform(lines(text), strip)
     top = F.get(F.filter(F.slice(every, 1, 3), organization_line), F.lit(0))
     labelled = []
-    for label, value, tail, confidence in P.ORGANIZATION:
+    for (label, value, tail, confidence), words in zip(P.ORGANIZATION, P.ORGANIZATION_WORDS, strict=True):
         raw = F.regexp_replace(strip(F.regexp_extract(text, f"{CI}(?:{label})({value})(?:{tail})", 1)), "[.,;]+$", "")
         good = let(raw, lambda r: F.when((F.length(r) >= 3) & r.rlike("^\\p{Lu}") & ~bad_organization(r), r))
-        labelled.append(pack(good, confidence))
+        labelled.append(where_words(low, words, pack(good, confidence)))
     anywhere = F.get(F.filter(every, organization_line), F.lit(0))
     return F.coalesce(pack(top, 0.72), *labelled, pack(anywhere, 0.65))
 
 
-def recipient(text: Column, doc_type: Column) -> Column:
-    return let(first_match(text, P.RECIPIENT), lambda x: F.when(raw_of(x).rlike("^\\p{Lu}") & ~raw_of(x).rlike(CI + P.NOT_A_RECIPIENT), x))
+def recipient(text: Column, doc_type: Column, low: Column) -> Column:
+    return let(first_match(text, P.RECIPIENT, None, low, P.RECIPIENT_WORDS), lambda x: F.when(raw_of(x).rlike("^\\p{Lu}") & ~raw_of(x).rlike(CI + P.NOT_A_RECIPIENT), x))
 
 
 # -- amounts and currencies ------------------------------------------------------------------------------------------
@@ -73,83 +74,83 @@ def recipient(text: Column, doc_type: Column) -> Column:
 def largest_amount(text: Column) -> Column:
     """The money token with the largest number, its separators left out; of equal ones the first."""
     groups = [F.regexp_extract_all(text, F.lit(CI + P.MONEY), F.lit(i)) for i in (1, 2, 3)]
-    tokens = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda t: strip(F.coalesce(*[F.nullif(t[f"g{i}"], F.lit("")) for i in range(3)], F.lit(""))))
+    tokens = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda t: strip(F.coalesce(*[F.when(t[f"g{i}"] != "", t[f"g{i}"]) for i in range(3)], F.lit(""))))
     ranked = F.transform(tokens, lambda t, i: F.struct(F.regexp_replace(t, "(?U)[\\s,.]", "").try_cast("double").alias("n"), (-i).alias("i"), t.alias("raw")))
-    return pack(F.array_max(F.filter(ranked, lambda r: r["n"].isNotNull()))["raw"], P.LARGEST_AMOUNT)
+    return F.when(text.rlike(CI + P.MONEY), pack(F.array_max(F.filter(ranked, lambda r: r["n"].isNotNull()))["raw"], P.LARGEST_AMOUNT))
 
 
-def total_amount(text: Column, doc_type: Column, whole: bool = False) -> Column:
+def total_amount(text: Column, doc_type: Column, low: Column, whole: bool = False) -> Column:
     """``whole`` reads amounts without separators whole; by default they are cut to three digits, as they always were."""
-    labelled = [with_digit(first_match(text, [row])) for row in P.total_labelled(whole)]
+    labelled = [with_digit(first_match(text, [row], None, low, [words])) for row, words in zip(P.total_labelled(whole), P.TOTAL_WORDS, strict=True)]
     return F.coalesce(*labelled, with_digit(first_match(text, P.BARE_RAND, {0: "(?Ud)"})), largest_amount(text))
 
 
-def currency(text: Column, doc_type: Column) -> Column:
+def currency(text: Column, doc_type: Column, low: Column) -> Column:
     iso = F.upper(F.regexp_extract(text, CI + P.ISO_IN_TEXT, 1))
     counts = [F.struct(F.regexp_count(text, F.lit("\\" + s if s == "$" else s)).alias("n"), (-F.locate(s, text)).alias("place"), F.lit(s).alias("symbol")) for s in P.SYMBOLS]
-    best = F.array_max(F.array(*counts))
-    code = F.element_at(F.create_map(*[F.lit(x) for pair in P.SYMBOLS.items() for x in pair]), best["symbol"])
-    symbol = F.when(best["n"] > 0, F.when(best["symbol"] == "$", pack(code, 0.50)).otherwise(pack(code, 0.95)))
-    return F.coalesce(F.when(text.rlike(CI + P.RAND_CONTEXT), pack(F.lit("ZAR"), 0.95)), pack(iso, 0.95), F.when(text.rlike("(?Ud)\\bR\\s*\\d"), pack(F.lit("ZAR"), 0.88)), symbol)
+    code = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in P.SYMBOLS.items() for x in pair]), s)
+    symbol = let(F.array_max(F.array(*counts))["symbol"], lambda s: F.when(s == "$", pack(code(s), 0.50)).otherwise(pack(code(s), 0.95)))
+    rand = where_words(low, ["rand", "zar", "(r)"], F.when(text.rlike(CI + P.RAND_CONTEXT), pack(F.lit("ZAR"), 0.95)))
+    return F.coalesce(rand, pack(iso, 0.95), F.when(text.rlike("(?Ud)\\bR\\s*\\d"), pack(F.lit("ZAR"), 0.88)), F.when(any_of([text.contains(s) for s in P.SYMBOLS]), symbol))
 
 
 # -- the rest --------------------------------------------------------------------------------------------------------
 
-BUILDERS: dict[str, Callable[[Column, Column], Column]] = {
+BUILDERS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "invoice_number": invoice_number,
     "organization_name": organization,
-    "invoice_date": lambda text, _: first_match(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS),
+    "invoice_date": lambda text, _, low: first_match(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS, low, P.INVOICE_DATE_WORDS),
     "total_amount": total_amount,
     "currency": currency,
-    "purchase_order_number": lambda text, _: with_digit(first_match(text, P.PO_NUMBER)),
-    "due_date": lambda text, _: first_match(text, P.DUE_DATE),
-    "vat_number": lambda text, _: first_match(text, P.VAT_NUMBER, P.VAT_FLAGS),
+    "purchase_order_number": lambda text, _, low: with_digit(first_match(text, P.PO_NUMBER, None, low, P.PO_NUMBER_WORDS)),
+    "due_date": lambda text, _, low: first_match(text, P.DUE_DATE, None, low, P.DUE_DATE_WORDS),
+    "vat_number": lambda text, _, low: first_match(text, P.VAT_NUMBER, P.VAT_FLAGS, low, P.VAT_NUMBER_WORDS),
     "recipient_organization": recipient,
 }
 
 
-def _where(text: Column, table: list, flags: dict[int, str] | None, good: Callable[[Column], Column] | None = None) -> Column:
+def _where(text: Column, table: list, flags: dict[int, str] | None, low: Column, words: list, good: Callable[[Column], Column] | None = None) -> Column:
     """The evidence of a table's first match, null if its stripped value isn't ``good``."""
     if good is None:
-        return evidence(text, table, flags)
+        return evidence(text, table, flags, low, words)
     value = lambda e: strip(F.substring(text, e["start"] + 1, e["end"] - e["start"]))
-    return let(evidence(text, table, flags), lambda e: F.when(good(value(e)), e))
+    return let(evidence(text, table, flags, low, words), lambda e: F.when(good(value(e)), e))
 
 
 def _digit(raw: Column) -> Column:
     return raw.rlike("(?U)\\d")
 
 
-def _number_evidence(text: Column, doc_type: Column) -> Column:
-    own, by_receipt = first_match(text, P.INVOICE_NUMBER), doc_type.isin("receipt", "proof_of_payment")
-    return F.when(doc_type != "statement", F.when(own.isNotNull(), _where(text, P.INVOICE_NUMBER, None, _digit)).when(by_receipt, _where(text, P.RECEIPT_NUMBER, None, _digit)))
+def _number_evidence(text: Column, doc_type: Column, low: Column) -> Column:
+    own, by_receipt = first_match(text, P.INVOICE_NUMBER, None, low, P.INVOICE_NUMBER_WORDS), doc_type.isin("receipt", "proof_of_payment")
+    return F.when(doc_type != "statement", F.when(own.isNotNull(), _where(text, P.INVOICE_NUMBER, None, low, P.INVOICE_NUMBER_WORDS, _digit)).when(by_receipt, _where(text, P.RECEIPT_NUMBER, None, low, P.RECEIPT_NUMBER_WORDS, _digit)))
 
 
-def _organization_evidence(text: Column, doc_type: Column) -> Column:
+def _organization_evidence(text: Column, doc_type: Column, low: Column) -> Column:
     top = F.filter(F.slice(F.transform(lines(text), strip), 1, 3), organization_line)
     trimmed = lambda raw: F.regexp_replace(raw, "[.,;]+$", "")
     good = lambda raw: (F.length(trimmed(raw)) >= 3) & trimmed(raw).rlike("^\\p{Lu}") & ~bad_organization(trimmed(raw))
-    return F.when(F.size(top) == 0, F.coalesce(*[_where(text, [row], None, good) for row in P.ORGANIZATION]))
+    return F.when(F.size(top) == 0, F.coalesce(*[_where(text, [row], None, low, [words], good) for row, words in zip(P.ORGANIZATION, P.ORGANIZATION_WORDS, strict=True)]))
 
 
-def _amount_evidence(text: Column, doc_type: Column, whole: bool = False) -> Column:
-    return F.coalesce(*[_where(text, [row], None, _digit) for row in P.total_labelled(whole)], _where(text, P.BARE_RAND, {0: "(?Ud)"}, _digit))
+def _amount_evidence(text: Column, doc_type: Column, low: Column, whole: bool = False) -> Column:
+    return F.coalesce(*[_where(text, [row], None, low, [words], _digit) for row, words in zip(P.total_labelled(whole), P.TOTAL_WORDS, strict=True)], _where(text, P.BARE_RAND, {0: "(?Ud)"}, low, [None], _digit))
 
 
-def _recipient_evidence(text: Column, doc_type: Column) -> Column:
-    return _where(text, P.RECIPIENT, None, lambda raw: raw.rlike("^\\p{Lu}") & ~raw.rlike(CI + P.NOT_A_RECIPIENT))
+def _recipient_evidence(text: Column, doc_type: Column, low: Column) -> Column:
+    return _where(text, P.RECIPIENT, None, low, P.RECIPIENT_WORDS, lambda raw: raw.rlike("^\\p{Lu}") & ~raw.rlike(CI + P.NOT_A_RECIPIENT))
 
 
 #: Each field's evidence: that of the pattern which wins in BUILDERS, null where a scan of lines, amounts or symbols does.
-EVIDENCE: dict[str, Callable[[Column, Column], Column]] = {
+EVIDENCE: dict[str, Callable[[Column, Column, Column], Column]] = {
     "invoice_number": _number_evidence,
     "organization_name": _organization_evidence,
-    "invoice_date": lambda text, _: _where(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS),
+    "invoice_date": lambda text, _, low: _where(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS, low, P.INVOICE_DATE_WORDS),
     "total_amount": _amount_evidence,
-    "currency": lambda text, _: _where(text, [("", P.RAND_CONTEXT, "", 0.95), ("", P.ISO_IN_TEXT, "", 0.95), ("", "\\bR\\s*\\d", "", 0.88)], {2: "(?Ud)"}),
-    "purchase_order_number": lambda text, _: _where(text, P.PO_NUMBER, None, _digit),
-    "due_date": lambda text, _: _where(text, P.DUE_DATE, None),
-    "vat_number": lambda text, _: _where(text, P.VAT_NUMBER, P.VAT_FLAGS),
+    "currency": lambda text, _, low: _where(text, [("", P.RAND_CONTEXT, "", 0.95), ("", P.ISO_IN_TEXT, "", 0.95), ("", "\\bR\\s*\\d", "", 0.88)], {2: "(?Ud)"}, low, [["rand", "zar", "(r)"], None, None]),
+    "purchase_order_number": lambda text, _, low: _where(text, P.PO_NUMBER, None, low, P.PO_NUMBER_WORDS, _digit),
+    "due_date": lambda text, _, low: _where(text, P.DUE_DATE, None, low, P.DUE_DATE_WORDS),
+    "vat_number": lambda text, _, low: _where(text, P.VAT_NUMBER, P.VAT_FLAGS, low, P.VAT_NUMBER_WORDS),
     "recipient_organization": _recipient_evidence,
 }
 
@@ -157,30 +158,30 @@ EVIDENCE: dict[str, Callable[[Column, Column], Column]] = {
 def extract(df: DataFrame, fields: list[str], text: str = "text", whole_amounts: bool = False) -> DataFrame:
     """``df`` (text, doc_type) with raw_<field> and conf_<field>; null where a field isn't found or has no rule.
 
-    Each field is packed in a projection of its own, so that no generated method grows too large and no pattern runs twice."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    All fields are packed in one projection, so that rows are copied once and not once a field, and no pattern runs twice. Spark generates it in
+    small methods, which the JVM compiles, as lambdas keep it out of whole-stage code."""
+    body, packed = F.coalesce(F.col(text), F.lit("")), {}
     for f in fields:
         build = BUILDERS.get(f)
         if build is total_amount:
-            packed = total_amount(body, F.col("doc_type"), whole_amounts)
+            packed[f"_{f}"] = total_amount(body, F.col("doc_type"), F.col("_low"), whole_amounts)
         else:
-            packed = build(body, F.col("doc_type")) if build else F.lit(None).cast("string")
-        df = df.withColumn(f"_{f}", packed)
-        df = df.withColumns({f"raw_{f}": raw_of(F.col(f"_{f}")), f"conf_{f}": confidence_of(F.col(f"_{f}"))}).drop(f"_{f}")
-    return df
+            packed[f"_{f}"] = build(body, F.col("doc_type"), F.col("_low")) if build else F.lit(None).cast("string")
+    packed = {n: let(c, lambda x: x) for n, c in packed.items()}
+    df = df.withColumn("_low", folded(body)).withColumns(packed).drop("_low")
+    return df.withColumns({f"{p}_{f}": of(F.col(f"_{f}")) for f in fields for p, of in (("raw", raw_of), ("conf", confidence_of))}).drop(*packed)
 
 
 def with_evidence(df: DataFrame, fields: list[str], text: str = "text", whole_amounts: bool = False) -> DataFrame:
     """``df`` (text, and doc_type for invoice_number) with ev_<field>: struct<text, start, end> of the match of the pattern that
     gave extract() its value (page is always 1); null if there is none."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body, found = F.coalesce(F.col(text), F.lit("")), {}
     for f in fields:
         if f == "total_amount":
-            found = _amount_evidence(body, F.col("doc_type"), whole_amounts)
+            found[f"ev_{f}"] = _amount_evidence(body, F.col("doc_type"), F.col("_low"), whole_amounts)
         else:
-            found = EVIDENCE[f](body, F.col("doc_type"))
-        df = df.withColumn(f"ev_{f}", found)
-    return df
+            found[f"ev_{f}"] = EVIDENCE[f](body, F.col("doc_type"), F.col("_low"))
+    return df.withColumn("_low", folded(body)).withColumns({n: let(c, lambda x: x) for n, c in found.items()}).drop("_low")
 
 
 # -- plug-ins --------------------------------------------------------------------------------------------------------

@@ -15,11 +15,9 @@ MISSING, LOW, INCONSISTENT = "missing_required_field", "low_confidence", "cross_
 
 def normalize_fields(df: DataFrame, policy: Policy, pivot: int = normalize.PIVOT_YEAR) -> DataFrame:
     """``df`` with norm_<field> (text) and adj_<field> (confidence after adjustment, within 0 and 1) for each raw_<field>."""
-    for f in policy.fields:
-        value, change = normalize.normalized(f.type, F.col(f"raw_{f.id}"), pivot)
-        df = df.withColumn(f"norm_{f.id}", value)
-        df = df.withColumn(f"adj_{f.id}", F.when(F.col(f"norm_{f.id}").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"conf_{f.id}") + change))))
-    return df
+    both = {f.id: normalize.normalized(f.type, F.col(f"raw_{f.id}"), pivot) for f in policy.fields}
+    df = df.withColumns({f"norm_{f}": F.when(F.col(f"raw_{f}").isNotNull(), value) for f, (value, _) in both.items()})
+    return df.withColumns({f"adj_{f}": F.when(F.col(f"norm_{f}").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"conf_{f}") + change))) for f, (_, change) in both.items()})
 
 
 def field_status(policy: Policy, field: str) -> Column:
@@ -47,18 +45,12 @@ def validate(df: DataFrame, policy: Policy, pivot: int = normalize.PIVOT_YEAR) -
     if {"invoice_date", "due_date"} <= ids:
         across = F.coalesce(F.col("norm_due_date") < F.col("norm_invoice_date"), F.lit(False))
     reasons = F.concat(none, *[F.col("field_codes")[f.id] for f in policy.fields if f.required], F.when(across, F.array(F.lit(INCONSISTENT))).otherwise(none))
-    parts = [
-        F.struct(
-            F.when(F.col(f"status_{f.id}").isin("ok", LOW), F.col(f"adj_{f.id}") * (2.0 if f.required else 1.0)).otherwise(0.0).alias("score"),
-            F.when((F.col(f"status_{f.id}") == "missing") & F.lit(not f.required), 0.0).otherwise(2.0 if f.required else 1.0).alias("weight"),
-        )
-        for f in policy.fields
-    ]
-    if parts:
-        zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
-        total = F.aggregate(F.array(*parts), zero, lambda a, x: F.struct((a["score"] + x["score"]).alias("score"), (a["weight"] + x["weight"]).alias("weight")), lambda a: F.when(a["weight"] == 0.0, 0.0).otherwise(F.try_divide(a["score"], a["weight"])))
-    else:
-        total = F.lit(0.0)
+    score, weight = F.lit(0.0), F.lit(0.0)
+    for f in policy.fields:
+        full = 2.0 if f.required else 1.0
+        score = score + F.when(F.col(f"status_{f.id}").isin("ok", LOW), F.col(f"adj_{f.id}") * full).otherwise(0.0)
+        weight = weight + F.when((F.col(f"status_{f.id}") == "missing") & F.lit(not f.required), 0.0).otherwise(full)
+    total = F.when(weight == 0.0, 0.0).otherwise(F.try_divide(score, weight))
     df = df.withColumns({"reason_codes": reasons, "overall": total})
     broken = F.lit(False)
     for f in policy.fields:
