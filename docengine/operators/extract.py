@@ -53,14 +53,14 @@ def organization_line(line: Column) -> Column:
 
 
 def organization(text: Column, doc_type: Column, low: Column) -> Column:
-    every = F.transform(lines(text), strip)
-    top = F.get(F.filter(F.slice(every, 1, 3), organization_line), F.lit(0))
+    good_line = lambda line: let(strip(line), lambda x: F.when(organization_line(x), x))
+    top = let(lines(text), lambda every: F.coalesce(*[good_line(F.get(every, F.lit(i))) for i in range(3)]))
     labelled = []
     for (label, value, tail, confidence), words in zip(P.ORGANIZATION, P.ORGANIZATION_WORDS, strict=True):
         raw = F.regexp_replace(strip(F.regexp_extract(text, f"{CI}(?:{label})({value})(?:{tail})", 1)), "[.,;]+$", "")
         good = let(raw, lambda r: F.when((F.length(r) >= 3) & r.rlike("^\\p{Lu}") & ~bad_organization(r), r))
         labelled.append(where_words(low, words, pack(good, confidence)))
-    anywhere = F.get(F.filter(every, organization_line), F.lit(0))
+    anywhere = F.get(F.filter(F.transform(lines(text), strip), organization_line), F.lit(0))
     return F.coalesce(pack(top, 0.72), *labelled, pack(anywhere, 0.65))
 
 
