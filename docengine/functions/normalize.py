@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,13 @@ def string(raw: Column) -> Column:
     return collapse(raw)
 
 
-def _part(c: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(c, pattern, i)
+#: What stands between the three parts of a date that matches one of the patterns below.
+_BETWEEN = "[\\s,./-]+"
+
+
+def _parts(c: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """``then`` of a date's three parts, which one split finds."""
+    return let(F.split(c, _BETWEEN), lambda p: then(*[F.get(p, F.lit(i)) for i in range(3)]))
 
 
 def _int(c: Column) -> Column:
@@ -27,8 +34,8 @@ def _int(c: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.isNotNull() & m.between(1, 12) & d.between(1, 31), F.try_to_date(text, "yyyy-MM-dd"))
+    text = F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in ((y, 4), (m, 2), (d, 2))])
+    return F.when(y.isNotNull() & m.between(1, 12) & d.between(1, 31), text.try_cast("date"))
 
 
 def _year(text: Column, pivot: int) -> Column:
@@ -50,35 +57,30 @@ def date(raw: Column, pivot: int = PIVOT_YEAR) -> Column:
 
 
 def _date_of(c: Column, pivot: int) -> Column:
-    def numeric(parts: Column) -> Column:
-        a, b, y = (_int(parts[n]) for n in ("first", "second", "third"))
-        last = parts["third"]
+    def numeric(first: Column, second: Column, last: Column) -> Column:
+        a, b, y = _int(first), _int(second), _int(last)
         swapped = (a > 31) & (F.length(last) == 2)
         return (
-            F.when(swapped & (y <= 12), _date(_year(parts["first"], pivot), y, b))
-            .when(swapped, _date(_year(parts["first"], pivot), b, y))
+            F.when(swapped & (y <= 12), _date(_year(first, pivot), y, b))
+            .when(swapped, _date(_year(first, pivot), b, y))
             .when((a > 12) | (b <= 12), _date(_year(last, pivot), b, a))
             .otherwise(_date(_year(last, pivot), a, b))
         )
 
-    of_numeric = let(F.struct(*[_part(c, _NUMERIC, i).alias(n) for i, n in enumerate(("first", "second", "third"), 1)]), numeric)
     month = lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in _MONTH_NUMBER.items() for v in kv]), F.lower(x))
     return (
-        F.when(c.rlike(_ISO), _date(_int(_part(c, _ISO, 1)), _int(_part(c, _ISO, 2)), _int(_part(c, _ISO, 3))))
+        F.when(c.rlike(_ISO), _parts(c, lambda y, m, d: _date(_int(y), _int(m), _int(d))))
         .when(c.rlike("^\\d{4}[-/.]"), F.lit(None).cast("date"))
-        .when(c.rlike(_NUMERIC), of_numeric)
-        .when(c.rlike(_DAY_MONTH), _date(_year(_part(c, _DAY_MONTH, 3), pivot), month(_part(c, _DAY_MONTH, 2)), _int(_part(c, _DAY_MONTH, 1))))
-        .when(c.rlike(_MONTH_DAY), _date(_year(_part(c, _MONTH_DAY, 3), pivot), month(_part(c, _MONTH_DAY, 1)), _int(_part(c, _MONTH_DAY, 2))))
+        .when(c.rlike(_NUMERIC), _parts(c, numeric))
+        .when(c.rlike(_DAY_MONTH), _parts(c, lambda d, m, y: _date(_year(y, pivot), month(m), _int(d))))
+        .when(c.rlike(_MONTH_DAY), _parts(c, lambda m, d, y: _date(_year(y, pivot), month(m), _int(d))))
     )
 
 
 def date_adjustment(raw: Column) -> Column:
     """-0.10 where day and month could change places, else 0.05."""
-    def of(c: Column) -> Column:
-        a, b = (_int(_part(c, _NUMERIC, i)) for i in (1, 2))
-        return F.when(c.rlike(_NUMERIC) & (a <= 12) & (b <= 12) & (a != b), -0.10).otherwise(0.05)
-
-    return let(collapse(raw), of)
+    swaps = lambda a, b, _: (_int(a) <= 12) & (_int(b) <= 12) & (_int(a) != _int(b))
+    return let(collapse(raw), lambda c: F.when(c.rlike(_NUMERIC) & _parts(c, swaps), -0.10).otherwise(0.05))
 
 
 def decimal_text(raw: Column) -> Column:

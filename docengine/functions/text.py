@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import MAY_BE_BLANK
+
 #: What separates lines: a pair or one of ten single characters.
 OTHER_ENDS = "\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
 LINE_END = f"\\r\\n|[\\n{OTHER_ENDS}]"
@@ -30,8 +32,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.regexp_replace(strip(c), "(?U)\\s+", " ")
+    """White space runs as one space, none at the ends. Single spaces, which stay, aren't matched."""
+    return F.regexp_replace(strip(c), "(?U)\\s\\s+|[\\s&&[^ ]]", " ")
 
 
 def let(c: Column, then: Callable[[Column], Column]) -> Column:
@@ -39,6 +41,12 @@ def let(c: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
+def apart(c: Column) -> Column:
+    """``c`` kept out of whole-stage code by a lambda. Spark then generates its projection in small methods, which the JVM compiles; one method of
+    more than 8000 bytes, as of many columns at once, is interpreted for every row."""
+    return let(c, lambda x: x)
+
+
 def lines(c: Column) -> Column:
     """Lines without their ends; text that ends with a line end has no empty last line."""
     parts = F.when(c.rlike(f"[{OTHER_ENDS}]"), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))  # Java compiles no pattern for one character
@@ -69,11 +77,6 @@ def confidence_of(packed: Column) -> Column:
     return F.substring_index(packed, UNIT, -1).cast("double")
 
 
-def capture(c: Column, label: str, value: str, tail: str = "", flags: str = "(?iUd)") -> Column:
-    """The stripped value of the first place where label, value and tail follow each other; null if there is none or it's empty."""
-    return let(F.regexp_extract(c, f"{flags}(?:{label})({value})(?:{tail})", 1), lambda x: F.when(x != "", strip(x)))
-
-
 def folded(c: Column) -> Column:
     """``c`` in small letters; the four other characters that (?iU) takes for ASCII letters are those letters."""
     for odd, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
@@ -88,7 +91,14 @@ def where_words(low: Column | None, words: list[str] | None, then: Column) -> Co
 
 def first_match(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None) -> Column:
     """The packed first match of an ordered table of (label, value, tail, confidence): by order of the table, not by place."""
-    return F.coalesce(*[where_words(low, words and words[i], pack(capture(c, a, v, t, (flags or {}).get(i, "(?iUd)")), conf)) for i, (a, v, t, conf) in enumerate(table)])
+    out = []
+    for i, (a, v, t, confidence) in enumerate(table):
+        # A pattern that doesn't match, as most don't, runs once; no lambda, so that Spark generates code for all of it.
+        pattern = f"{(flags or {}).get(i, '(?iUd)')}(?:{a})({v})(?:{t})"
+        value = strip(F.regexp_extract(c, pattern, 1))
+        some = c.rlike(pattern) if v not in MAY_BE_BLANK else value != ""
+        out.append(where_words(low, words and words[i], F.when(some, F.concat(value, F.lit(f"{UNIT}{confidence}")))))
+    return F.coalesce(*out)
 
 
 def evidence(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None) -> Column:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import any_of, collapse, confidence_of, evidence, first_match, folded, let, lines, pack, raw_of, strip, where_words
+from ..functions.text import UNIT, any_of, apart, collapse, confidence_of, evidence, first_match, folded, let, lines, pack, raw_of, strip, where_words
 
 CI = "(?iUd)"
 
 
 def with_digit(packed: Column) -> Column:
     """``packed`` where its raw value has a digit, else null."""
-    return let(packed, lambda x: F.when(raw_of(x).rlike("(?U)\\d"), x))
+    return F.when(raw_of(packed).rlike("(?U)\\d"), packed)
 
 
 # -- invoice number --------------------------------------------------------------------------------------------------
@@ -33,7 +33,11 @@ def number_after_label(text: Column, low: Column) -> Column:
 def invoice_number(text: Column, doc_type: Column, low: Column) -> Column:
     own = first_match(text, P.INVOICE_NUMBER, None, low, P.INVOICE_NUMBER_WORDS)
     by_receipt = F.when(doc_type.isin("receipt", "proof_of_payment"), first_match(text, P.RECEIPT_NUMBER, None, low, P.RECEIPT_NUMBER_WORDS))
-    return F.when(doc_type != "statement", F.coalesce(with_digit(F.coalesce(own, by_receipt)), number_after_label(text, low)))
+    return F.when(doc_type != "statement", F.coalesce(own, by_receipt))
+
+
+def checked_number(packed: Column, text: Column, doc_type: Column, low: Column) -> Column:
+    return F.when(doc_type != "statement", F.coalesce(with_digit(packed), number_after_label(text, low)))
 
 
 # -- organization ----------------------------------------------------------------------------------------------------
@@ -46,26 +50,27 @@ def bad_organization(raw: Column) -> Column:
 
 def organization_line(line: Column) -> Column:
     """Whether a stripped line may be the name of an organization."""
-    odd = F.length(F.regexp_replace(line, "[\\p{L}\\p{N} &,.'()\\-/]", ""))
-    first = F.regexp_replace(F.regexp_extract(line, "(?U)^\\S+", 0), "[.,;:]+$", "")
-    excluded = [P.EMAIL_HEADER, P.CONTACT_LINE, P.CALENDAR_LINE, P.ADDRESS_LINE, P.PHONE_LINE]
-    return F.length(line).between(3, 80) & line.rlike("^\\p{Lu}") & first.rlike("^\\p{L}+$") & (odd <= F.length(line) * 0.35) & ~any_of([line.rlike(CI + x) for x in excluded]) & ~bad_organization(line)
+    odd = F.length(F.regexp_replace(line, "[\\p{L}\\p{N} &,.'()\\-/]+", ""))
+    begins = line.rlike("(?U)^\\p{Lu}\\p{L}*[.,;:]*(?!\\S)")  # its first word has letters only, punctuation at its end aside
+    excluded = "|".join(f"(?:{p})" for p in (P.EMAIL_HEADER, P.CONTACT_LINE, P.CALENDAR_LINE, P.ADDRESS_LINE, P.PHONE_LINE))
+    return F.length(line).between(3, 80) & begins & ~line.rlike(CI + excluded) & ~bad_organization(line) & (odd <= F.length(line) * 0.35)
 
 
-def organization(text: Column, doc_type: Column, low: Column) -> Column:
-    good_line = lambda line: let(strip(line), lambda x: F.when(organization_line(x), x))
-    top = let(lines(text), lambda every: F.coalesce(*[good_line(F.get(every, F.lit(i))) for i in range(3)]))
+def organization(text: Column, doc_type: Column, low: Column, top: list[Column]) -> Column:
+    """``top`` are the first three lines, stripped, columns of their own as they are used often."""
+    first = F.coalesce(*[F.when(organization_line(x), F.concat(x, F.lit(f"{UNIT}0.72"))) for x in top])
     labelled = []
     for (label, value, tail, confidence), words in zip(P.ORGANIZATION, P.ORGANIZATION_WORDS, strict=True):
         raw = F.regexp_replace(strip(F.regexp_extract(text, f"{CI}(?:{label})({value})(?:{tail})", 1)), "[.,;]+$", "")
         good = let(raw, lambda r: F.when((F.length(r) >= 3) & r.rlike("^\\p{Lu}") & ~bad_organization(r), r))
-        labelled.append(where_words(low, words, pack(good, confidence)))
+        # A name is tried at every place in up to 60 lengths, so what has to follow it is looked for first.
+        labelled.append(where_words(low, words, F.when(text.rlike(f"{CI}(?:{tail})"), pack(good, confidence)) if tail else pack(good, confidence)))
     anywhere = F.get(F.filter(F.transform(lines(text), strip), organization_line), F.lit(0))
-    return F.coalesce(pack(top, 0.72), *labelled, pack(anywhere, 0.65))
+    return F.coalesce(first, *labelled, pack(anywhere, 0.65))
 
 
-def recipient(text: Column, doc_type: Column, low: Column) -> Column:
-    return let(first_match(text, P.RECIPIENT, None, low, P.RECIPIENT_WORDS), lambda x: F.when(raw_of(x).rlike("^\\p{Lu}") & ~raw_of(x).rlike(CI + P.NOT_A_RECIPIENT), x))
+def checked_recipient(packed: Column) -> Column:
+    return F.when(raw_of(packed).rlike("^\\p{Lu}") & ~raw_of(packed).rlike(CI + P.NOT_A_RECIPIENT), packed)
 
 
 # -- amounts and currencies ------------------------------------------------------------------------------------------
@@ -81,31 +86,36 @@ def largest_amount(text: Column) -> Column:
 
 def total_amount(text: Column, doc_type: Column, low: Column, whole: bool = False) -> Column:
     """``whole`` reads amounts without separators whole; by default they are cut to three digits, as they always were."""
-    labelled = [with_digit(first_match(text, [row], None, low, [words])) for row, words in zip(P.total_labelled(whole), P.TOTAL_WORDS, strict=True)]
-    return F.coalesce(*labelled, with_digit(first_match(text, P.BARE_RAND, {0: "(?Ud)"})), largest_amount(text))
+    return F.coalesce(first_match(text, P.total_labelled(whole), None, low, P.TOTAL_WORDS), first_match(text, P.BARE_RAND, {0: "(?Ud)"}), largest_amount(text))
 
 
 def currency(text: Column, doc_type: Column, low: Column) -> Column:
-    iso = F.upper(F.regexp_extract(text, CI + P.ISO_IN_TEXT, 1))
+    iso = F.when(text.rlike(CI + P.ISO_IN_TEXT), F.concat(F.upper(F.regexp_extract(text, CI + P.ISO_IN_TEXT, 1)), F.lit(f"{UNIT}0.95")))
     counts = [F.struct(F.regexp_count(text, F.lit("\\" + s if s == "$" else s)).alias("n"), (-F.locate(s, text)).alias("place"), F.lit(s).alias("symbol")) for s in P.SYMBOLS]
     code = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in P.SYMBOLS.items() for x in pair]), s)
     symbol = let(F.array_max(F.array(*counts))["symbol"], lambda s: F.when(s == "$", pack(code(s), 0.50)).otherwise(pack(code(s), 0.95)))
-    rand = where_words(low, ["rand", "zar", "(r)"], F.when(text.rlike(CI + P.RAND_CONTEXT), pack(F.lit("ZAR"), 0.95)))
-    return F.coalesce(rand, pack(iso, 0.95), F.when(text.rlike("(?Ud)\\bR\\s*\\d"), pack(F.lit("ZAR"), 0.88)), F.when(any_of([text.contains(s) for s in P.SYMBOLS]), symbol))
+    rand = where_words(low, ["rand", "zar", "(r)"], F.when(text.rlike(CI + P.RAND_CONTEXT), F.lit(f"ZAR{UNIT}0.95")))
+    return F.coalesce(rand, iso, F.when(text.rlike("(?Ud)R(?<=\\bR)\\s*\\d"), F.lit(f"ZAR{UNIT}0.88")), F.when(any_of([text.contains(s) for s in P.SYMBOLS]), symbol))
 
 
 # -- the rest --------------------------------------------------------------------------------------------------------
 
-BUILDERS: dict[str, Callable[[Column, Column, Column], Column]] = {
+BUILDERS: dict[str, Callable[..., Column]] = {
     "invoice_number": invoice_number,
     "organization_name": organization,
     "invoice_date": lambda text, _, low: first_match(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS, low, P.INVOICE_DATE_WORDS),
     "total_amount": total_amount,
     "currency": currency,
-    "purchase_order_number": lambda text, _, low: with_digit(first_match(text, P.PO_NUMBER, None, low, P.PO_NUMBER_WORDS)),
+    "purchase_order_number": lambda text, _, low: first_match(text, P.PO_NUMBER, None, low, P.PO_NUMBER_WORDS),
     "due_date": lambda text, _, low: first_match(text, P.DUE_DATE, None, low, P.DUE_DATE_WORDS),
     "vat_number": lambda text, _, low: first_match(text, P.VAT_NUMBER, P.VAT_FLAGS, low, P.VAT_NUMBER_WORDS),
-    "recipient_organization": recipient,
+    "recipient_organization": lambda text, _, low: first_match(text, P.RECIPIENT, None, low, P.RECIPIENT_WORDS),
+}
+#: What is asked of a packed value after that, which then is a column of its own and not evaluated at each use.
+CHECKS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
+    "invoice_number": checked_number,
+    "purchase_order_number": lambda packed, *_: with_digit(packed),
+    "recipient_organization": lambda packed, *_: checked_recipient(packed),
 }
 
 
@@ -159,17 +169,22 @@ def extract(df: DataFrame, fields: list[str], text: str = "text", whole_amounts:
     """``df`` (text, doc_type) with raw_<field> and conf_<field>; null where a field isn't found or has no rule.
 
     All fields are packed in one projection, so that rows are copied once and not once a field, and no pattern runs twice. Spark generates it in
-    small methods, which the JVM compiles, as lambdas keep it out of whole-stage code."""
+    small methods (``apart``). Few lambdas are left in it, as Spark evaluates those without generated code."""
     body, packed = F.coalesce(F.col(text), F.lit("")), {}
     for f in fields:
         build = BUILDERS.get(f)
         if build is total_amount:
             packed[f"_{f}"] = total_amount(body, F.col("doc_type"), F.col("_low"), whole_amounts)
+        elif build is organization:
+            packed[f"_{f}"] = organization(body, F.col("doc_type"), F.col("_low"), [F.col(f"_top{i}") for i in range(3)])
         else:
             packed[f"_{f}"] = build(body, F.col("doc_type"), F.col("_low")) if build else F.lit(None).cast("string")
-    packed = {n: let(c, lambda x: x) for n, c in packed.items()}
-    df = df.withColumn("_low", folded(body)).withColumns(packed).drop("_low")
-    return df.withColumns({f"{p}_{f}": of(F.col(f"_{f}")) for f in fields for p, of in (("raw", raw_of), ("conf", confidence_of))}).drop(*packed)
+    df = df.withColumns({"_low": apart(folded(body)), "_lines": F.slice(lines(body), 1, 3)})
+    df = df.withColumns({f"_top{i}": apart(strip(F.get("_lines", F.lit(i)))) for i in range(3)})
+    df = df.withColumns(packed)
+    checks = {f"_{f}": CHECKS[f](F.col(f"_{f}"), body, F.col("doc_type"), F.col("_low")) for f in fields if f in CHECKS}
+    df = df.withColumns(checks).drop("_low", "_lines", *[f"_top{i}" for i in range(3)])
+    return df.withColumns({f"{p}_{f}": of(F.col(f"_{f}")) for f in fields for p, of in (("raw", raw_of), ("conf", lambda c: apart(confidence_of(c))))}).drop(*packed)
 
 
 def with_evidence(df: DataFrame, fields: list[str], text: str = "text", whole_amounts: bool = False) -> DataFrame:
@@ -181,7 +196,7 @@ def with_evidence(df: DataFrame, fields: list[str], text: str = "text", whole_am
             found[f"ev_{f}"] = _amount_evidence(body, F.col("doc_type"), F.col("_low"), whole_amounts)
         else:
             found[f"ev_{f}"] = EVIDENCE[f](body, F.col("doc_type"), F.col("_low"))
-    return df.withColumn("_low", folded(body)).withColumns({n: let(c, lambda x: x) for n, c in found.items()}).drop("_low")
+    return df.withColumn("_low", folded(body)).withColumns({n: apart(c) for n, c in found.items()}).drop("_low")
 
 
 # -- plug-ins --------------------------------------------------------------------------------------------------------

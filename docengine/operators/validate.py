@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize
+from ..functions.text import apart
 from ..plans.policy import Policy
 
 #: Reason code of an invalid value by field type.
@@ -31,7 +32,7 @@ def validate(df: DataFrame, policy: Policy, pivot: int = normalize.PIVOT_YEAR) -
 
     The score adds weighted confidences in the order of the policy's fields, so it is the same to the last bit everywhere."""
     df = normalize_fields(df, policy, pivot)
-    df = df.withColumns({f"status_{f.id}": field_status(policy, f.id) for f in policy.fields})
+    df = df.withColumns({f"status_{f.id}": apart(field_status(policy, f.id)) for f in policy.fields})
     none = F.array().cast("array<string>")
 
     def codes(f) -> Column:  # noqa: ANN001
@@ -39,23 +40,23 @@ def validate(df: DataFrame, policy: Policy, pivot: int = normalize.PIVOT_YEAR) -
         missing = F.array(F.lit(MISSING)) if f.required else none
         return F.when(s == "missing", missing).when(s == "invalid", F.array(F.lit(INVALID.get(f.type, MISSING)))).when(s == LOW, F.array(F.lit(LOW))).otherwise(none)
 
-    df = df.withColumn("field_codes", F.create_map(*[x for f in policy.fields for x in (F.lit(f.id), codes(f))]) if policy.fields else F.lit(None).cast("map<string,array<string>>"))
+    df = df.withColumn("field_codes", apart(F.create_map(*[x for f in policy.fields for x in (F.lit(f.id), codes(f))])) if policy.fields else F.lit(None).cast("map<string,array<string>>"))
     ids = {f.id for f in policy.fields}
     across = F.lit(False)
     if {"invoice_date", "due_date"} <= ids:
         across = F.coalesce(F.col("norm_due_date") < F.col("norm_invoice_date"), F.lit(False))
-    reasons = F.concat(none, *[F.col("field_codes")[f.id] for f in policy.fields if f.required], F.when(across, F.array(F.lit(INCONSISTENT))).otherwise(none))
+    reasons = F.concat(none, *[codes(f) for f in policy.fields if f.required], F.when(across, F.array(F.lit(INCONSISTENT))).otherwise(none))
     score, weight = F.lit(0.0), F.lit(0.0)
     for f in policy.fields:
         full = 2.0 if f.required else 1.0
         score = score + F.when(F.col(f"status_{f.id}").isin("ok", LOW), F.col(f"adj_{f.id}") * full).otherwise(0.0)
         weight = weight + F.when((F.col(f"status_{f.id}") == "missing") & F.lit(not f.required), 0.0).otherwise(full)
     total = F.when(weight == 0.0, 0.0).otherwise(F.try_divide(score, weight))
-    df = df.withColumns({"reason_codes": reasons, "overall": total})
+    df = df.withColumns({"reason_codes": apart(reasons), "overall": apart(total)})
     broken = F.lit(False)
     for f in policy.fields:
         if f.required:
             broken = broken | F.col(f"status_{f.id}").isin("missing", "invalid")
     t = policy.thresholds
     status = F.when(broken, "rejected").when(F.col("overall") >= t.auto_apply, "accepted").when(F.col("overall") >= t.manual_review, "review").otherwise("rejected")
-    return df.withColumn("validation_status", status)
+    return df.withColumn("validation_status", apart(status))

@@ -116,3 +116,18 @@ def test_folded_letters_and_stripped_spaces(spark):
     ends = F.concat(F.lit("x"), "c", F.lit("y\r\nz\n"), "c")
     split = F.split(ends, text.LINE_END)
     assert not chars.where(text.lines(ends) != F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)).count()
+
+
+def test_analysis_is_generated_in_small_methods(spark):
+    """The JVM interprets methods of more than 8000 bytes; validation's was 10,732 bytes long, and its patterns were lambdas, which Spark evaluates without generated code."""
+    from docengine.functions import patterns
+    from docengine.operators.validate import validate
+    from docengine.plans.store import stored
+
+    docs = stored(spark.createDataFrame([(1, "Tax Invoice\nInvoice No: INV-1\nDate: 03/04/2020\nTotal Due: R 12.50")], "doc_key long, text string"))
+    found = stored(extract.extract(classify(docs), queries.FIELDS))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = debug.codegenStringSeq(validate(found, queries.DEFAULT)._jdf.queryExecution().executedPlan())
+    assert all(parts.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(parts.length()))
+    packed = docs.select(text.first_match(F.col("text"), patterns.INVOICE_NUMBER), text.first_match(F.col("text"), patterns.VAT_NUMBER))
+    assert "lambda" not in packed._jdf.queryExecution().toString()
