@@ -7,10 +7,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, small_batches
+from .common import Shelf, broadcast_if_small, small_batches
 
 #: Nodes of a block; a pair of blocks is handled by one task at once.
 BLOCK = 256
@@ -18,6 +18,8 @@ BLOCK = 256
 CACHE_ITEMS = 4_000_000
 #: How many times more nodes lead a bucket in each round.
 LEADERS = 16
+#: Words of 64 bits in the sketch of a set.
+SKETCH_WORDS = 8
 #: Parts of a node's edges when the least neighbour is joined to them, so that no task has all edges of a hub.
 SALTS = 8
 
@@ -101,7 +103,23 @@ def _joined(shelf: Shelf, roots: DataFrame, new: DataFrame) -> DataFrame:
     return known.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
 
 
-def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def sketched(sets: DataFrame) -> DataFrame:
+    """(node, size, w0, w1, ...) of sets (node, items) of 64-bit hashes: each item flips one bit of a sketch of SKETCH_WORDS words. Two sketches
+    differ in at most as many bits as there are items in only one of the sets."""
+    rows = sets.select("node", F.explode("items").alias("x"))
+    word, bit = F.expr(f"shiftrightunsigned(x, 6) % {SKETCH_WORDS}"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))")
+    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(SKETCH_WORDS)]
+    return rows.groupBy("node").agg(F.count("*").alias("size"), *words)
+
+
+def may_reach(threshold: float, other: str) -> Column:
+    """False only if the Jaccard similarity of two sketched sets, the columns of one with the prefix ``other``, is below ``threshold``."""
+    bits = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"{other}w{k}"))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{other}w0"))))
+    only_one = F.greatest(bits.cast("long"), F.abs(F.col("size") - F.col(f"{other}size")))
+    return only_one <= (F.col("size") + F.col(f"{other}size")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.0) -> DataFrame:
     """(node, root) of the nodes that have a link; ``similar`` takes pairs (a, b), a the leader, and returns those that are links.
 
     ``members`` is (bucket, node), buckets of at least two nodes, stored. Rounds follow each other. In each, a bucket whose nodes are
@@ -109,13 +127,17 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
     anew. The first leader is the node that shares most buckets with most others, so copies of one text need no second round.
     After that LEADERS times as many lead a bucket as in the round before, nodes of its largest component excepted. A pair is
     compared once in all buckets. It ends when no bucket is left that has nodes of two components and a node that hasn't led,
-    so no link is lost and nothing is capped; nodes of one component are never compared with each other again."""
+    so no link is lost and nothing is capped; nodes of one component are never compared with each other again.
+
+    With ``sets``, which gives (node, items) of nodes, links have a Jaccard similarity of at least ``threshold``. After the first round leaders
+    and nodes then meet by sketch, and pairs whose sketches differ too much for a link are no rows. What a bucket of nodes that don't
+    resemble each other costs is still a look at the sketches of all its pairs within the join, but no pair that is stored, shuffled and verified."""
     if members.isEmpty():
         return members.select("node", F.col("node").alias("root"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     now = shelf.put(members.join(weight, "node").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(False).alias("led")))
-    tested = roots = None
+    tested = roots = sketches = None
     slots = 1
     while True:
         slot = F.pmod(F.xxhash64("node"), F.lit(slots))
@@ -123,7 +145,12 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
         lead = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "comp")).alias("x"))
         lead = shelf.put(lead.select("bucket", F.col("x.node").alias("leader"), F.col("x.comp").alias("own")))
         ends = [F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")]
-        pairs = now.join(lead, "bucket").where("comp <> own").groupBy(*ends).agg(F.min("leader").alias("a"))
+        if sketches is None:
+            met = now.join(lead, "bucket").where("comp <> own")
+        else:
+            of_lead = sketches.select(*[F.col(c).alias("leader" if c == "node" else f"lead_{c}") for c in sketches.columns])
+            met = now.join(sketches, "node").join(lead.join(of_lead, "leader"), "bucket").where("comp <> own").where(may_reach(threshold, "lead_"))
+        pairs = met.groupBy(*ends).agg(F.min("leader").alias("a"))
         pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
         pairs = shelf.put(pairs.select("x", "y", "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")))
         tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
@@ -145,6 +172,9 @@ def linked(shelf: Shelf, members: DataFrame, similar: Callable[[DataFrame], Data
             shelf.drop(x)
         if now.isEmpty():
             return roots
+        if sets and sketches is None:
+            sketches = shelf.put(sketched(sets(now.select("node").distinct())))
+            sketches = broadcast_if_small(sketches, 8 * (SKETCH_WORDS + 4))
         slots *= LEADERS
 
 

@@ -11,7 +11,7 @@ next WINDOW elements of their union are in both, so with probability 0.8**6 at 0
 script they differ. Sets of at most SMALL shingles give windows of 4 from every element instead: among u elements on a ring of which at most a
 fifth differ, 4 in a row are in both, so no pair is missed. Lines of FEW to SMALL give both, so that a pair at 0.8 always has a kind in common.
 
-Pairs are found and compared exactly by :func:`.components.linked`, components come from its distributed union-find.
+Pairs are found and compared exactly by :func:`.components.linked`, after its first round only those whose sketches don't rule out a link; components come from its distributed union-find.
 
 Defined results: a null text has no lines and stays null; blank lines stay always; equal texts under one doc_id are one document,
 all its rows losing the same lines; null ids rank last; other columns pass through unread.
@@ -111,7 +111,10 @@ def dropped(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     wanted = shelf.put(members.select("node").distinct())
     texts = _lines(docs).select(_id().alias("node"), "line").join(broadcast_if_small(wanted, 16), "node", "left_semi")
     texts = shelf.put(texts.groupBy("node").agg(F.any_value("line").alias("line")))
-    roots = shelf.put(linked(shelf, members, lambda pairs: _similar(texts, pairs)))
+    def sets(nodes: DataFrame) -> DataFrame:
+        return texts.join(broadcast_if_small(shelf.put(nodes), 16), "node", "left_semi").select("node", shingle_set(F.col("line")).alias("items"))
+
+    roots = shelf.put(linked(shelf, members, lambda pairs: _similar(texts, pairs), sets, SIMILAR))
     shelf.drop(members)
     shelf.drop(texts)
     lines = shelf.put(_lines(docs).select("doc_id", "seen", "place", _id().alias("id")))

@@ -464,6 +464,38 @@ def test_links_between_many_leaders(spark):
     assert {r.node: r.root for r in got} == {n: group(n) for n in range(120)}
 
 
+def test_unlike_nodes_of_a_bucket_are_told_by_sketches(spark) -> None:
+    """120 sets that share seven tenths with each other and 30 that have a partner at 0.8 to 0.95, all in one bucket: the links of
+    brute force, and far fewer pairs to verify than the bucket has. Long sets, whose sketches are full, lose no link either."""
+    rng = random.Random(11)
+    new = lambda n: [rng.getrandbits(64) - 2**63 for _ in range(n)]
+    common, long_ = new(150), new(9000)
+    sets = {k: common + new(32) for k in range(120)}
+    sets |= {120 + k: sets[k][: -(k % 4 * 5 + 1)] + new(k % 4 * 5 + 1) for k in range(30)}
+    sets |= {150: long_, 151: long_[:8600] + new(300), 152: long_[:5000] + new(3000)}
+    jaccard = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    links = [(a, b) for a, b in combinations(sets, 2) if jaccard(a, b) >= 0.8]
+    rows = spark.createDataFrame(list(sets.items()), "node long, items array<long>").localCheckpoint()
+    table_ = components.sketched(rows).localCheckpoint()
+    both = table_.crossJoin(table_.select(*[F.col(c).alias(f"o_{c}") for c in table_.columns])).where("node < o_node").where(components.may_reach(0.8, "o_"))
+    may = {(r.node, r.o_node) for r in both.collect()}
+    assert set(links) <= may and len(may) < 2 * len(links)
+    seen: list[int] = []
+
+    def similar(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        seen.append(len(found))
+        return spark.createDataFrame([(a, b) for a, b in found if jaccard(a, b) >= 0.8], "a long, b long")
+
+    members = spark.createDataFrame([(1, k) for k in sets], "bucket long, node long")
+    got = components.linked(Shelf(spark), members, similar, lambda nodes: rows.join(nodes, "node"), 0.8).collect()
+    root = {k: k for k in sets}
+    for a, b in sorted(links) * len(sets):
+        root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in got} == {k: root[k] for k in sets if any(k in x for x in links)}
+    assert seen[0] == len(sets) - 1 and sum(seen[1:]) < 200
+
+
 def test_certified_cutoffs_match_sql(spark, tmp_path):
     """Thousands of good holdouts in one stratum certify cutoffs, which reject bad texts; too few in another certify nothing."""
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
