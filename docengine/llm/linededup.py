@@ -51,13 +51,15 @@ def shingles(line: Column) -> Column:
 
 
 def shingle_set(line: Column) -> Column:
-    """64-bit hashes of the different shingles. In ASCII lines characters are bytes, and pieces of a binary are cut without a pattern and without
-    counting characters; the hashes are the same. The binary is bound to a lambda variable, which isn't copied at every use."""
-    last = F.length(line) - (SHINGLE - 1)
-    cut = lambda b: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr(b, i, F.lit(SHINGLE))))
-    plain = F.get(F.transform(F.array(line.cast("binary")), cut), F.lit(0))
-    hashes = F.when((F.octet_length(line) == F.length(line)) & (last >= 1), plain).otherwise(F.transform(shingles(line), lambda s: F.xxhash64(s)))
-    return F.array_distinct(hashes)
+    """64-bit hashes of the different :func:`shingles`. Lines are cut in UTF-32, where a character of any script is four bytes, so without a pattern and
+    without counting characters. The binary is bound to a lambda variable, which isn't copied at every use."""
+    size = 4 * SHINGLE
+
+    def cut(b: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.octet_length(b) - (size - 1), F.lit(4))
+        return F.when(F.octet_length(b) < size, F.array(F.xxhash64(b))).otherwise(F.transform(starts, lambda i: F.xxhash64(F.substr(b, i, F.lit(size)))))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
 
 #: The least values of STARTS equal parts of the 64-bit integers.

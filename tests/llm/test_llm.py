@@ -456,6 +456,17 @@ def test_shingles_are_those_of_characters(spark):
     assert [set(r.s) for r in got] == [{x[i : i + 5] for i in range(max(len(x) - 4, 1))} for x in lines]
 
 
+def test_shingle_sets_of_any_script_without_a_pattern(spark, capsys):
+    """Hashes of the different shingles, the same for a shingle in lines of any script; no regular expression cuts them."""
+    lines = ["a", "abcd", "abcde", "abcde漢", "x😀yz漢字😀", "😀" * 7, "ab\ncdefg", "a" * 50, "é" + "a" * 50, "abcd漢"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", linededup.shingle_set(F.col("line")).alias("s"))
+    shingles = [{x[i : i + 5] for i in range(max(len(x) - 4, 1))} for x in lines]
+    got = [set(r.s) for r in rows.orderBy("i").collect()]
+    assert all(len(got[a] & got[b]) == len(shingles[a] & shingles[b]) for a in range(len(lines)) for b in range(len(lines)))
+    rows.explain()
+    assert "regexp" not in capsys.readouterr().out
+
+
 def test_links_between_many_leaders(spark):
     """A bucket of several groups, none of whose nodes resembles its first leader."""
     group = lambda n: n % 7
