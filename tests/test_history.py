@@ -269,6 +269,21 @@ def test_runs_as_a_stream(spark, tmp_path, recorded):
     assert {r.kind for r in out.where("not moved").collect()} == {"refused"} and {r.kind for r in out.where("moved").collect()} == {"moved"}
 
 
+def test_state_is_read_by_shard_and_not_by_run(spark, tmp_path):
+    """Runs of a shard share a key of the state: its lists and its timer are read once a batch, however many runs there are."""
+    kind, at, n = "run_id string, seq long, to_status string, occurred_at timestamp", str(tmp_path / "in"), 3000
+    rows = [(f"r{k % n}", k, audit.STATUSES[1 + k % 5], T0 + dt.timedelta(seconds=k)) for k in range(2 * n)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(at)
+    runs.clock(spark, T0 + dt.timedelta(days=2)).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(at)
+    query = runs.start(runs.machine(stream, "3 hours", stuck_ms=10**12, shards=4), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert query.awaitTermination(300)
+    out = runs.outcomes(spark, str(tmp_path / "out"))
+    assert sorted((r.run_id, r.seq, r.from_status, r.to_status, r.status, r.moved) for r in out.collect()) == brute(rows, False)
+    timers = [op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators]
+    assert 0 < max(timers) <= 5
+
+
 def test_stuck_runs_are_told_once(spark, tmp_path):
     kind, at = "run_id string, seq long, to_status string, occurred_at timestamp", str(tmp_path / "in")
     day = lambda n: T0 + dt.timedelta(days=n)
