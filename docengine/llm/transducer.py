@@ -41,6 +41,8 @@ EPSILON = None
 START = "<s>"
 #: Arcs of P that a worker keeps; beyond that it begins anew.
 CACHE_ARCS = 2_000_000
+#: Chunks that begin with the same so many characters share the states that these reach; what a worker keeps of them.
+HEAD, CACHE_HEADS = 5, 50_000
 #: A piece, UNK after a character without one; the ids it stands for; its cost.
 Written = tuple[int, tuple[int, ...], float]
 
@@ -129,13 +131,12 @@ class PairAcceptor:
         return state[piece]
 
 
-def shortest_path(labels: Iterable[str], lexicon: Lexicon, pairs: PairAcceptor) -> list[tuple[int, ...]] | None:
-    """What the composed machines write for ``labels`` on the path of least weight to a final state; None if there is none.
+def reach(now: list[tuple], labels: Iterable[str], lexicon: Lexicon, pairs: PairAcceptor) -> list[tuple]:
+    """The states (trie node, state of P, weight, path) that ``labels`` lead to from those of ``now``, which stays as it is.
 
     Only an arc that writes can meet another path, and a state that was reached without writing comes from further back. So those
     come first in the order of the states that one label reached, and of equal paths the first found stays."""
     root, make = lexicon.start, pairs.arc
-    now: list[tuple] = [(root, pairs.start, 0.0, None)]
     for label in labels:
         reached: list[tuple] = []
         wrote: dict[Last, tuple] = {}
@@ -155,7 +156,19 @@ def shortest_path(labels: Iterable[str], lexicon: Lexicon, pairs: PairAcceptor)
         if wrote:
             reached += wrote.values()
         now = reached
-    ends = [(cost, path) for node, _, cost, path in now if node is root]
+    return now
+
+
+def begin(lexicon: Lexicon, pairs: PairAcceptor) -> list[tuple]:
+    """The state before the first label."""
+    return [(lexicon.start, pairs.start, 0.0, None)]
+
+
+def shortest_path(labels: Iterable[str], lexicon: Lexicon, pairs: PairAcceptor, now: list[tuple] | None = None) -> list[tuple[int, ...]] | None:
+    """What the composed machines write for ``labels`` on the path of least weight to a final state; None if there is none. ``now`` are the states
+    that the labels before them have reached."""
+    now = reach(now or begin(lexicon, pairs), labels, lexicon, pairs)
+    ends = [(cost, path) for node, _, cost, path in now if node is lexicon.start]
     if not ends:
         return None
     out, path = [], min(ends, key=lambda x: x[0])[1]
@@ -173,6 +186,7 @@ class Codec:
         self.lexicon = Lexicon(m).after(Normaliser(m))
         self.pairs = PairAcceptor(m)
         self.merged_chunks = 0
+        self.begun: dict[str, list[tuple]] = {}
         self.new: dict[tuple[bool, str], bytes] = {}
         self.old: dict[tuple[bool, str], bytes] = {}
         # Spaces and word marks are the same after N.
@@ -184,7 +198,16 @@ class Codec:
 
     def shortest(self, chunk: str, first: bool) -> list[int]:
         """Ids on the shortest path of a chunk of a raw text, its first or a later one."""
-        path = shortest_path([START, *chunk] if first else chunk, self.lexicon, self.pairs)
+        if first or len(chunk) <= HEAD:
+            path = shortest_path([START, *chunk] if first else chunk, self.lexicon, self.pairs)
+        else:
+            head = chunk[:HEAD]
+            begun = self.begun.get(head)
+            if begun is None:
+                if len(self.begun) >= CACHE_HEADS:
+                    self.begun.clear()
+                begun = self.begun[head] = reach(begin(self.lexicon, self.pairs), head, self.lexicon, self.pairs)
+            path = shortest_path(chunk[HEAD:], self.lexicon, self.pairs, begun) if begun else None
         if path is None:
             self.merged_chunks += 1
             return self.merged(self.model.normalised(chunk) if first else chunk.replace(" ", SPACE))

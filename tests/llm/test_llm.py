@@ -449,6 +449,22 @@ def test_lines_of_mixed_scripts_meet(spark, letters):
     assert len(near) >= 500 and met.select("k").distinct().count() >= 0.99 * len(near)
 
 
+def test_heads_of_chunks_are_composed_once(monkeypatch):
+    """Chunks that begin alike share the states of their first characters, also when few are kept; ids are those of whole paths."""
+    codec, rng = transducer.Codec(open(queries.MODEL, "rb").read()), random.Random(8)
+    chunks = [" unde" + "".join(rng.choices("rstaéß漢😀0", k=rng.randrange(9))) for _ in range(300)] + ["".join(rng.choices(" abc漢", k=12)) for _ in range(300)]
+    want = [[i for ids in transducer.shortest_path(c, codec.lexicon, codec.pairs) for i in ids] for c in chunks]
+    for kept in (transducer.CACHE_HEADS, 3):
+        monkeypatch.setattr(transducer, "CACHE_HEADS", kept)
+        codec.begun.clear()
+        assert [codec.shortest(c, False) for c in chunks] == want
+    codec.begun.clear()
+    read, reach = [], transducer.reach
+    monkeypatch.setattr(transducer, "reach", lambda now, labels, *rest: read.extend(labels) or reach(now, labels, *rest))
+    codec.shortest(" underst", False), codec.shortest(" underta", False)
+    assert "".join(read) == " underst" + "rta"
+
+
 def test_shingles_are_those_of_characters(spark):
     lines = ["", "a", "abcd", "abcde", "x😀yz漢字😀", "😀" * 7, "ab\ncdefg", "a" * 50]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
