@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import MAY_BE_BLANK
@@ -47,6 +47,12 @@ def apart(c: Column) -> Column:
     return let(c, lambda x: x)
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``df`` for which ``condition`` holds, looked at after ``df``'s columns are made. Spark moves a filter below the columns that it reads and
+    writes them out in it, patterns and texts with them, once for each use; arrays of one row or none stay where they are."""
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*df.columns)))))
+
+
 def lines(c: Column) -> Column:
     """Lines without their ends; text that ends with a line end has no empty last line."""
     parts = F.when(c.rlike(f"[{OTHER_ENDS}]"), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))  # Java compiles no pattern for one character
