@@ -20,13 +20,13 @@ def string(raw: Column) -> Column:
     return collapse(raw)
 
 
-#: What stands between the three parts of a date that matches one of the patterns below.
-_BETWEEN = "[\\s,./-]+"
+#: One of the three parts of a date that matches one of the patterns below.
+_PART = "[^\\s,./-]+"
 
 
 def _parts(c: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
-    """``then`` of a date's three parts, which one split finds."""
-    return let(F.split(c, _BETWEEN), lambda p: then(*[F.get(p, F.lit(i)) for i in range(3)]))
+    """``then`` of a date's three parts, found at once; split() would compile its pattern for every row."""
+    return let(F.regexp_extract_all(c, F.lit(_PART), F.lit(0)), lambda p: then(*[F.get(p, F.lit(i)) for i in range(3)]))
 
 
 def _int(c: Column) -> Column:
@@ -45,6 +45,8 @@ def _year(text: Column, pivot: int) -> Column:
 
 
 _ISO = "^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})$"
+_YEAR_FIRST = _ISO[:-1] + "\\z"
+_DAY_FIRST = "^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{4})\\z"
 _NUMERIC = "^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{2,4})$"
 _DAY_MONTH = "^(\\d{1,2})[\\s/-]+([A-Za-z]+)\\.?[\\s,/-]+(\\d{2,4})$"
 _MONTH_DAY = "^([A-Za-z]+)\\.?\\s+(\\d{1,2}),?\\s+(\\d{2,4})$"
@@ -52,8 +54,16 @@ _MONTH_DAY = "^([A-Za-z]+)\\.?\\s+(\\d{1,2}),?\\s+(\\d{2,4})$"
 
 def date(raw: Column, pivot: int = PIVOT_YEAR) -> Column:
     """The date of a raw string: year first if it begins with four digits, else day first with a month-first repair.
-    Incomplete dates are invalid."""
-    return let(collapse(raw), lambda c: _date_of(c, pivot))
+    Incomplete dates are invalid.
+
+    Numbers with a year of four digits, most dates, are put in order and cast in generated code: where day first is no date, month first is
+    what the repair gives, or no date either."""
+    ordered = lambda pattern, parts: F.regexp_replace(raw, pattern, parts).try_cast("date")
+    return (
+        F.when(raw.rlike(_DAY_FIRST), F.coalesce(ordered(_DAY_FIRST, "$3-$2-$1"), ordered(_DAY_FIRST, "$3-$1-$2")))
+        .when(raw.rlike(_YEAR_FIRST), ordered(_YEAR_FIRST, "$1-$2-$3"))
+        .otherwise(let(collapse(raw), lambda c: _date_of(c, pivot)))
+    )
 
 
 def _date_of(c: Column, pivot: int) -> Column:
@@ -88,6 +98,7 @@ def decimal_text(raw: Column) -> Column:
     c = collapse(F.regexp_replace(collapse(raw), "[£€$¥₹]", ""))
     c = F.regexp_replace(F.regexp_replace(c, "^[A-Za-z]+\\s*", ""), "\\s*[A-Za-z]+$", "")
     c = F.regexp_replace(c, "(?<=\\d)\\s+(?=\\d)", "")
+    c = F.when(raw.rlike("^[0-9,.]+\\z"), raw).otherwise(c)  # most amounts, in which none of these finds anything
     number = lambda x: F.when(x.rlike("^[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?$"), x)
     return let(let(c, lambda x: F.regexp_replace(F.trim(_separated(x)), "(?<=\\d)_(?=\\d)", "")), number)
 

@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import MAY_BE_BLANK
-
 #: What separates lines: a pair or one of ten single characters.
 OTHER_ENDS = "\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
 LINE_END = f"\\r\\n|[\\n{OTHER_ENDS}]"
@@ -85,9 +83,10 @@ def confidence_of(packed: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """``c`` in small letters; the four other characters that (?iU) takes for ASCII letters are those letters."""
+    plain = c
     for odd, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
         c = F.replace(c, F.lit(odd), F.lit(letter))
-    return F.lower(c)
+    return F.lower(F.when(F.length(plain) == F.octet_length(plain), plain).otherwise(c))  # ASCII texts have none of them
 
 
 def where_words(low: Column | None, words: list[str] | None, then: Column) -> Column:
@@ -95,15 +94,21 @@ def where_words(low: Column | None, words: list[str] | None, then: Column) -> Co
     return then if low is None or words is None else F.when(any_of([low.contains(w) for w in words]), then)
 
 
-def first_match(c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None) -> Column:
+def beginning(first: str | None) -> str:
+    """What begins a pattern whose matches begin with one of the characters ``first``."""
+    return f"(?=[{first}])" if first else ""
+
+
+def first_match(
+    c: Column, table: list[tuple[str, str, str, float]], flags: dict[int, str] | None = None, low: Column | None = None, words: list[list[str] | None] | None = None, first: list[str | None] | None = None,
+) -> Column:
     """The packed first match of an ordered table of (label, value, tail, confidence): by order of the table, not by place."""
     out = []
     for i, (a, v, t, confidence) in enumerate(table):
-        # A pattern that doesn't match, as most don't, runs once; no lambda, so that Spark generates code for all of it.
-        pattern = f"{(flags or {}).get(i, '(?iUd)')}(?:{a})({v})(?:{t})"
-        value = strip(F.regexp_extract(c, pattern, 1))
-        some = c.rlike(pattern) if v not in MAY_BE_BLANK else value != ""
-        out.append(where_words(low, words and words[i], F.when(some, F.concat(value, F.lit(f"{UNIT}{confidence}")))))
+        pattern = f"{beginning(first and first[i])}{(flags or {}).get(i, '(?iUd)')}(?:{a})({v})(?:{t})"
+        packed = F.concat(strip(F.regexp_extract(c, pattern, 1)), F.lit(f"{UNIT}{confidence}"))
+        # Each pattern runs once, matched or not: of a packed value that is empty nothing is left. No lambda, so that Spark generates code for all of it.
+        out.append(where_words(low, words and words[i], F.get(F.regexp_extract_all(packed, F.lit(f"(?s)^[^{UNIT}].*"), F.lit(0)), F.lit(0))))
     return F.coalesce(*out)
 
 

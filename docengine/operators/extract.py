@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import UNIT, any_of, apart, collapse, confidence_of, evidence, first_match, folded, let, lines, pack, raw_of, strip, where_words
+from ..functions.text import UNIT, any_of, apart, beginning, collapse, confidence_of, evidence, first_match, folded, let, lines, pack, raw_of, strip, where_words
 
 CI = "(?iUd)"
 
@@ -57,7 +57,7 @@ def organization_line(line: Column) -> Column:
 
 
 def organization(text: Column, doc_type: Column, low: Column, top: list[Column]) -> Column:
-    """``top`` are the first three lines, stripped, columns of their own as they are used often."""
+    """``top`` are the first three lines, stripped, of a column of their own as they are used often."""
     first = F.coalesce(*[F.when(organization_line(x), F.concat(x, F.lit(f"{UNIT}0.72"))) for x in top])
     labelled = []
     for (label, value, tail, confidence), words in zip(P.ORGANIZATION, P.ORGANIZATION_WORDS, strict=True):
@@ -78,15 +78,22 @@ def checked_recipient(packed: Column) -> Column:
 
 def largest_amount(text: Column) -> Column:
     """The money token with the largest number, its separators left out; of equal ones the first."""
-    groups = [F.regexp_extract_all(text, F.lit(CI + P.MONEY), F.lit(i)) for i in (1, 2, 3)]
-    tokens = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda t: strip(F.coalesce(*[F.when(t[f"g{i}"] != "", t[f"g{i}"]) for i in range(3)], F.lit(""))))
-    ranked = F.transform(tokens, lambda t, i: F.struct(F.regexp_replace(t, "(?U)[\\s,.]", "").try_cast("double").alias("n"), (-i).alias("i"), t.alias("raw")))
-    return F.when(text.rlike(CI + P.MONEY), pack(F.array_max(F.filter(ranked, lambda r: r["n"].isNotNull()))["raw"], P.LARGEST_AMOUNT))
+    found = F.regexp_extract_all(text, F.lit(beginning(P.MONEY_FIRST) + CI + P.MONEY), F.lit(0))
+    # A code of three letters follows an amount; a symbol or an R stands before one.
+    amount = lambda t: strip(F.when(t.rlike("(?U)^\\d"), F.substr(t, F.lit(1), F.length(t) - 3)).otherwise(F.substr(t, F.lit(2))))
+    ranked = F.transform(F.transform(found, amount), lambda t, i: F.struct(F.regexp_replace(t, "(?U)[\\s,.]", "").try_cast("double").alias("n"), (-i).alias("i"), t.alias("raw")))
+    return pack(F.array_max(F.filter(ranked, lambda r: r["n"].isNotNull()))["raw"], P.LARGEST_AMOUNT)
 
 
 def total_amount(text: Column, doc_type: Column, low: Column, whole: bool = False) -> Column:
     """``whole`` reads amounts without separators whole; by default they are cut to three digits, as they always were."""
-    return F.coalesce(first_match(text, P.total_labelled(whole), None, low, P.TOTAL_WORDS), first_match(text, P.BARE_RAND, {0: "(?Ud)"}), largest_amount(text))
+    unlabelled = F.when(text.rlike(f"[{P.MONEY_HOLDS}]"), F.coalesce(first_match(text, P.BARE_RAND, {0: "(?Ud)"}), largest_amount(text)))
+    return F.coalesce(first_match(text, P.total_labelled(whole), None, low, P.TOTAL_WORDS, P.TOTAL_FIRST), unlabelled)
+
+
+def invoice_date(text: Column, doc_type: Column, low: Column) -> Column:
+    """Every pattern of dates has a digit."""
+    return F.when(text.rlike("(?U)\\d"), first_match(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS, low, P.INVOICE_DATE_WORDS, P.INVOICE_DATE_FIRST))
 
 
 def currency(text: Column, doc_type: Column, low: Column) -> Column:
@@ -103,7 +110,7 @@ def currency(text: Column, doc_type: Column, low: Column) -> Column:
 BUILDERS: dict[str, Callable[..., Column]] = {
     "invoice_number": invoice_number,
     "organization_name": organization,
-    "invoice_date": lambda text, _, low: first_match(text, P.INVOICE_DATE, P.INVOICE_DATE_FLAGS, low, P.INVOICE_DATE_WORDS),
+    "invoice_date": invoice_date,
     "total_amount": total_amount,
     "currency": currency,
     "purchase_order_number": lambda text, _, low: first_match(text, P.PO_NUMBER, None, low, P.PO_NUMBER_WORDS),
@@ -176,14 +183,13 @@ def extract(df: DataFrame, fields: list[str], text: str = "text", whole_amounts:
         if build is total_amount:
             packed[f"_{f}"] = total_amount(body, F.col("doc_type"), F.col("_low"), whole_amounts)
         elif build is organization:
-            packed[f"_{f}"] = organization(body, F.col("doc_type"), F.col("_low"), [F.col(f"_top{i}") for i in range(3)])
+            packed[f"_{f}"] = organization(body, F.col("doc_type"), F.col("_low"), [F.get("_top", F.lit(i)) for i in range(3)])
         else:
             packed[f"_{f}"] = build(body, F.col("doc_type"), F.col("_low")) if build else F.lit(None).cast("string")
-    df = df.withColumns({"_low": apart(folded(body)), "_lines": F.slice(lines(body), 1, 3)})
-    df = df.withColumns({f"_top{i}": apart(strip(F.get("_lines", F.lit(i)))) for i in range(3)})
+    df = df.withColumns({"_low": apart(folded(body)), "_top": F.transform(F.slice(lines(body), 1, 3), strip)})
     df = df.withColumns(packed)
     checks = {f"_{f}": CHECKS[f](F.col(f"_{f}"), body, F.col("doc_type"), F.col("_low")) for f in fields if f in CHECKS}
-    df = df.withColumns(checks).drop("_low", "_lines", *[f"_top{i}" for i in range(3)])
+    df = df.withColumns(checks).drop("_low", "_top")
     return df.withColumns({f"{p}_{f}": of(F.col(f"_{f}")) for f in fields for p, of in (("raw", raw_of), ("conf", lambda c: apart(confidence_of(c))))}).drop(*packed)
 
 
